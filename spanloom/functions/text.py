@@ -22,14 +22,13 @@ def canonical_class(text: Column) -> Column:
 
 
 def stem(word: Column) -> Column:
-    """Drop the first matching suffix when more than two letters stay before it."""
+    """Drop a suffix when at least three letters stay before it.
+
+    The suffixes are tried in order; a plain ``s`` precedes every other one that
+    ends in s, so the shortest match, which the greedy prefix takes, is the first.
+    """
     base = F.btrim(F.lower(word), F.lit(_EDGE))
-    out = None
-    for suffix in STEM_SUFFIXES:
-        hit = base.endswith(suffix) & (F.length(base) > len(suffix) + 2)
-        cut = F.substring(base, F.lit(1), F.length(base) - len(suffix))
-        out = F.when(hit, cut) if out is None else out.when(hit, cut)
-    return out.otherwise(base)
+    return F.regexp_replace(base, "(?s)^(.{3,})(?:" + "|".join(STEM_SUFFIXES) + ")$", "$1")
 
 
 def label_tokens(cleaned: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -102,11 +102,15 @@ def participant_slots(rows: DataFrame, selection: Selection) -> DataFrame:
         options = F.col("participants")
         if all(k in b.classes for b in selection.branches):
             wanted = sorted({c for b in selection.branches for c in b.classes[k]})
-            options = F.filter(options, lambda p, w=wanted: p["class"].isin(*w))
+            options = F.filter(options, _in_classes(wanted))
         rows = rows.withColumn(f"__p{k}", F.explode(options))
     return rows
 
 
+def _in_classes(classes: Sequence[str]) -> Callable[[Column], Column]:
+    return lambda participant: participant["class"].isin(*classes)
+
+
 def with_seconds(intervals: DataFrame, fps: Column) -> DataFrame:
     """Add the time-domain bounds st, et to the frame-domain ones."""
     return intervals.withColumn("st", frames_to_seconds(F.col("sf"), fps)).withColumn(

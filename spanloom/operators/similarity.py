@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from spanloom.functions.vectors import NORM_FLOOR
 
+# Distances are compared at this precision, so rounding noise never orders ties.
+DISTANCE_DIGITS = 9
 # Frames per tile side; a task multiplies two tiles and keeps k rows per query.
 TILE_FRAMES = 1024
 
@@ -34,9 +36,14 @@ def nearest_earlier(queries: DataFrame, entries: DataFrame, k: int,
     asks = queries.withColumn("q_tile", tile)
     last = asks.groupBy("analysis_id").agg(F.max("q_tile").alias("__last"))
     asks = asks.withColumn("e_tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_tile"))))
-    held = entries.withColumn("e_tile", tile).join(last, "analysis_id").where(
-        "e_tile <= __last").withColumn(
-        "q_tile", F.explode(F.sequence(F.col("e_tile"), F.col("__last")))).drop("__last")
+    # Fresh column names: both sides often come from one table.
+    known = entries.select(F.col("analysis_id").alias("__a"), F.col("frame").alias("known_frame"),
+                           F.col("class_id").alias("known_id"), F.col("embedding").alias("known_vector"),
+                           tile.alias("__e"))
+    held = known.join(last, known["__a"] == last["analysis_id"]).where("__e <= __last").select(
+        F.col("__a").alias("known_analysis"), "known_frame", "known_id", "known_vector",
+        F.col("__e").alias("known_tile"),
+        F.explode(F.sequence(F.col("__e"), F.col("__last"))).alias("asked_tile"))
     key_type = queries.schema["query_id"].dataType
     schema = T.StructType([
         queries.schema["analysis_id"], T.StructField("query_id", key_type),
@@ -46,19 +53,21 @@ def nearest_earlier(queries: DataFrame, entries: DataFrame, k: int,
     def compare(key, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or known.empty:
             return pd.DataFrame(columns=schema.names)
-        frames, ids = known["frame"].to_numpy(), known["class_id"].to_numpy()
-        distance = 1.0 - _unit(asked["embedding"]) @ _unit(known["embedding"]).T
+        frames, ids = known["known_frame"].to_numpy(), known["known_id"].to_numpy()
+        distance = 1.0 - _unit(asked["embedding"]) @ _unit(known["known_vector"]).T
+        distance = np.round(np.maximum(distance, 0.0), DISTANCE_DIGITS)
         distance[frames[None, :] >= asked["frame"].to_numpy()[:, None]] = np.inf
         cut = min(k, distance.shape[1]) - 1
         worst = np.partition(distance, cut, axis=1)[:, cut]
         rows, cols = np.nonzero((distance <= worst[:, None]) & np.isfinite(distance))
         return pd.DataFrame({
-            "analysis_id": key[0], "query_id": asked["query_id"].to_numpy()[rows],
+            "analysis_id": key[0], "query_id": asked["query_id"].iloc[rows].to_numpy(),
             "query_frame": asked["frame"].to_numpy()[rows], "frame": frames[cols],
             "class_id": ids[cols], "distance": distance[rows, cols]})
 
-    keys = ["analysis_id", "e_tile", "q_tile"]
-    partial = asks.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(compare, schema)
+    asked_side = asks.groupBy("analysis_id", "e_tile", "q_tile")
+    known_side = held.groupBy("known_analysis", "known_tile", "asked_tile")
+    partial = asked_side.cogroup(known_side).applyInPandas(compare, schema)
     order = Window.partitionBy("analysis_id", "query_id").orderBy("distance", "frame", "class_id")
     return partial.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 

@@ -68,8 +68,8 @@ def coalesce_audio(v: Views):
     return islands.coalesce_audio(_predictions(v), 60)
 
 
-@registry.query(with_views("iv") + ", c AS (SELECT *, 0.0 AS confidence FROM iv), x AS ("
-                + coalesce_sql("c", "analysis_id, pred", 30)
+@registry.query(with_views("iv") + """, c AS (SELECT *, 0.0 AS confidence FROM iv),
+    x AS (WITH """ + coalesce_sql("c", "analysis_id, pred", 30)
                 + ") SELECT analysis_id, pred, start_frame AS sf, end_frame AS ef FROM x")
 def coalesce_intervals(v: Views):
     return islands.merge_close(v.iv, ["analysis_id", "pred"], "sf", "ef", 30)

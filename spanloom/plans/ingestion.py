@@ -218,8 +218,8 @@ def _labels(v: Views):
 @registry.query(f"""WITH {_SYN},
     l AS (SELECT p_partkey, {_LABEL_SQL} AS label FROM part),
     c AS (SELECT p_partkey, label, {_CLEAN.format(t='label')} AS cleaned FROM l),
-    k AS (SELECT p_partkey, unnest(list_filter(string_split(cleaned, '_'), x -> length(x) >= 2)) AS token,
-            generate_subscripts(list_filter(string_split(cleaned, '_'), x -> length(x) >= 2), 1) AS pos FROM c),
+    k AS (SELECT p_partkey, unnest(list_filter(string_split(cleaned, '_'), lambda x: length(x) >= 2)) AS token,
+            generate_subscripts(list_filter(string_split(cleaned, '_'), lambda x: length(x) >= 2), 1) AS pos FROM c),
     h AS (SELECT k.p_partkey, coalesce(a.class, b.class) AS class, pos FROM k
           LEFT JOIN syn a ON a.keyword = k.token LEFT JOIN syn b ON b.keyword = {stem_sql('k.token')}),
     f AS (SELECT p_partkey, min_by(class, pos) AS class FROM h WHERE class IS NOT NULL GROUP BY 1)
@@ -281,8 +281,8 @@ def blocks_json_round_trip(v: Views):
 
 
 @registry.query("""
-    WITH d AS (SELECT vec_id, list_transform(embedding, x -> x::DOUBLE * 3) AS e FROM embeddings),
-      n AS (SELECT vec_id, list_transform(e, x -> x / greatest(sqrt(list_dot_product(e, e)), 1e-6)) AS u FROM d)
+    WITH d AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS e FROM embeddings),
+      n AS (SELECT vec_id, list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-6)) AS u FROM d)
     SELECT a.vec_id, round(list_sum(a.u), 6) AS component_sum, round(sqrt(list_dot_product(a.u, a.u)), 6) AS norm,
       round(1 - list_dot_product(a.u, b.u), 6) AS distance_to_next
     FROM n a JOIN n b ON b.vec_id = a.vec_id + 1""")

@@ -240,8 +240,8 @@ registry.add("parameter_sweep", sweep_scores, _SWEEP + " SELECT * FROM metrics")
 
 
 @registry.query(_SWEEP + """
-    SELECT delta, rho, event, f1, precision, row_number() OVER (PARTITION BY event
-      ORDER BY f1 DESC, precision DESC, delta, rho) AS place FROM metrics""")
+    SELECT delta, rho, event, f1, precision, CAST(row_number() OVER (PARTITION BY event
+      ORDER BY f1 DESC, precision DESC, delta, rho) AS INT) AS place FROM metrics""")
 def sweep_ranking(v: Views):
     rows = scoring.ranked(sweep_scores(v), ["event"], ["delta", "rho"])
     return rows.select("delta", "rho", "event", "f1", "precision", "place")

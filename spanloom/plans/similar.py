@@ -11,15 +11,19 @@ from spanloom.plans.views import Views, with_views
 registry = Registry()
 
 _PAIRS = with_views("memory") + """,
-    v AS (SELECT *, list_transform(embedding, x -> x::DOUBLE) AS e FROM memory),
+    v AS (SELECT *, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM memory),
     u AS (SELECT analysis_id, frame, class_id, class,
-            list_transform(e, x -> x / greatest(sqrt(list_dot_product(e, e)), 1e-6)) AS e FROM v)"""
+            list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-6)) AS e FROM v)"""
 
 
-@registry.query(_PAIRS + """
+# The distance, at the precision ties are decided on.
+_D = "round(greatest(1 - list_dot_product(q.e, e.e), 0), 9)"
+
+
+@registry.query(_PAIRS + f"""
     SELECT query_frame, frame, class_id, distance, place FROM (
-      SELECT q.frame AS query_frame, e.frame, e.class_id, round(1 - list_dot_product(q.e, e.e), 6) AS distance,
-        row_number() OVER (PARTITION BY q.frame ORDER BY 1 - list_dot_product(q.e, e.e), e.frame) AS place
+      SELECT q.frame AS query_frame, e.frame, e.class_id, round({_D}, 6) AS distance,
+        CAST(row_number() OVER (PARTITION BY q.frame ORDER BY {_D}, e.frame) AS INT) AS place
       FROM u q JOIN u e ON e.frame < q.frame) WHERE place <= 5""")
 def nearest_earlier_vectors(v: Views):
     queries = v.memory.select("analysis_id", F.col("frame").alias("query_id"), "frame", "embedding")
@@ -28,22 +32,22 @@ def nearest_earlier_vectors(v: Views):
                        "place")
 
 
-_SIMILAR = _PAIRS + """,
-    near AS (SELECT q.frame + o.ahead AS target, e.frame, e.class_id, 1 - list_dot_product(q.e, e.e) AS d,
+_SIMILAR = _PAIRS + f""",
+    near AS (SELECT q.frame + o.ahead AS target, e.frame, e.class_id, {_D} AS d,
         row_number() OVER (PARTITION BY q.frame + o.ahead, q.frame
-          ORDER BY 1 - list_dot_product(q.e, e.e), e.frame) AS rn
+          ORDER BY {_D}, e.frame) AS rn
       FROM u q JOIN (SELECT unnest([1, 2, 3]) AS ahead) o ON true JOIN u e ON e.frame < q.frame + o.ahead
       WHERE q.frame + o.ahead IN (SELECT frame FROM memory)),
     best AS (SELECT target, class_id, min(d) AS d, min_by(frame, (d, frame)) AS origin FROM near WHERE rn <= 5
       GROUP BY target, class_id),
-    similar AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY d, class_id) AS place FROM best),
+    alike AS (SELECT *, CAST(row_number() OVER (PARTITION BY target ORDER BY d, class_id) AS INT) AS place FROM best),
     recent AS (SELECT m.frame + o.ahead AS target, m.class_id, min(m.frame) AS origin FROM memory m
       JOIN (SELECT unnest([1, 2, 3]) AS ahead) o ON true
       WHERE m.frame + o.ahead IN (SELECT frame FROM memory) GROUP BY 1, 2)"""
 
 
 @registry.query(_SIMILAR + """
-    SELECT target AS frame, class_id, origin, round(d, 6) AS distance, place FROM similar WHERE place <= 5""")
+    SELECT target AS frame, class_id, origin, round(d, 6) AS distance, place FROM alike WHERE place <= 5""")
 def similar_earlier_objects(v: Views):
     rows = similarity.similar_objects(v.memory, v.memory, 1, 3, 5)
     return rows.select("frame", "class_id", "origin", F.round("distance", 6).alias("distance"), "place")
@@ -57,10 +61,10 @@ def recent_objects(v: Views):
 
 @registry.query(_SIMILAR + """,
     ctx AS (SELECT target, class_id, origin, 0 AS source, CAST(origin AS DOUBLE) AS rk FROM recent
-      UNION ALL SELECT target, class_id, origin, 1, d FROM similar s WHERE place <= 5 AND NOT EXISTS (
+      UNION ALL SELECT target, class_id, origin, 1, d FROM alike s WHERE place <= 5 AND NOT EXISTS (
         SELECT 1 FROM recent r WHERE r.target = s.target AND r.class_id = s.class_id))
-    SELECT * FROM (SELECT target AS frame, class_id, origin, source, row_number() OVER (
-      PARTITION BY target ORDER BY source, rk, class_id) AS place FROM ctx) WHERE place <= 6""")
+    SELECT * FROM (SELECT target AS frame, class_id, origin, source, CAST(row_number() OVER (
+      PARTITION BY target ORDER BY source, rk, class_id) AS INT) AS place FROM ctx) WHERE place <= 6""")
 def tracking_context(v: Views):
     recent = similarity.recent_objects(v.memory.select("analysis_id", "frame", "class_id"), v.memory, 1, 3)
     similar = similarity.similar_objects(v.memory, v.memory, 1, 3, 5)

@@ -147,8 +147,8 @@ def rekey_runs(v: Views):
 
 
 @registry.query(with_views("iv") + """
-    SELECT analysis_id, to_json({'analysis_id': analysis_id, 'pred': pred, 'arg1': CASE WHEN sf % 2 = 0 THEN arg1 END,
-      'sf': sf, 'ef': ef}) AS record FROM iv""")
+    SELECT analysis_id, CAST(to_json({'analysis_id': analysis_id, 'pred': pred, 'arg1': CASE WHEN sf % 2 = 0 THEN arg1 END,
+      'sf': sf, 'ef': ef}) AS VARCHAR) AS record FROM iv""")
 def json_records(v: Views):
     rows = v.iv.select("analysis_id", "pred", F.when(F.col("sf") % 2 == 0, F.col("arg1")).alias("arg1"),
                        "sf", "ef")

@@ -19,9 +19,9 @@ class StreamViews(Views):
     """The same views over streamed files."""
 
     def table(self, name: str) -> DataFrame:
-        path = f"{self.sf_dir}/{name}.parquet"
-        schema = self.spark.read.parquet(path).schema
-        return self.spark.readStream.schema(schema).parquet(path)
+        schema = super().table(name).schema
+        # A stream reads a folder or a pattern, and the table is one file.
+        return self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/{name}.parque[t]")
 
 
 @registry.query(with_views("frame_rel") + ", " + collapse_sql(
