@@ -74,8 +74,8 @@ class Duration:
 
 
 def aliased(intervals: DataFrame, alias: str, key: str = "analysis_id") -> DataFrame:
-    return intervals.select(F.col(key), *[
-        F.col(c).alias(f"{alias}_{c}") for c in intervals.columns if c != key])
+    return intervals.selectExpr(key, *[
+        f"`{c}` AS `{alias}_{c}`" for c in intervals.columns if c != key])
 
 
 def chain(intervals: Sequence[DataFrame], operators: Sequence[Temporal],

@@ -11,7 +11,7 @@ CELLS_PER_CHUNK = 1 << 14
 
 
 def merge_close(rows: DataFrame, keys: Sequence[str], start: str, end: str, gap: int,
-                maxima: Sequence[str] = (), cells_per_chunk: int = CELLS_PER_CHUNK) -> DataFrame:
+                maxima: Sequence[str] = (), cells_per_chunk: int | None = CELLS_PER_CHUNK) -> DataFrame:
     """Merge a row into its predecessors when ``start <= their largest end + gap``.
 
     Result: keys, start, end and the maximum of each extra column.  Exact for any
@@ -22,24 +22,20 @@ def merge_close(rows: DataFrame, keys: Sequence[str], start: str, end: str, gap:
     2. Chunks of cells are merged independently, at most ``cells_per_chunk``
        rows each, and one summary row per chunk says what reaches into the next.
     3. Pieces of an interval that crosses chunks are joined by one aggregate.
+
+    ``cells_per_chunk=None`` scans each key whole, which saves two shuffles when
+    every key is known to be short.
     """
     if gap < 0:
         raise ValueError("gap must not be negative")
     cell = F.floor(F.col(start) / F.lit(gap + 1)).cast("long")
     folded = rows.groupBy(*keys, cell.alias("__cell")).agg(
         F.min(start).alias("__s"), F.max(end).alias("__e"), *[F.max(m).alias(m) for m in maxima],
-    ).withColumn("__chunk", F.floor(F.col("__cell") / F.lit(cells_per_chunk)).cast("long"))
-
-    inside = Window.partitionBy(*keys, "__chunk").orderBy("__s")
-    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max("__e").over(earlier)
-    flagged = folded.withColumn(
-        "__piece", F.when(reach.isNull() | (F.col("__s") > reach + gap), F.col("__s")))
-    pieces = flagged.withColumn(
-        "__piece", F.last("__piece", ignorenulls=True).over(
-            inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-    ).groupBy(*keys, "__chunk", "__piece").agg(
-        F.max("__e").alias("__e"), *[F.max(m).alias(m) for m in maxima])
+    )
+    if cells_per_chunk is None:
+        return _pieces(folded, keys, gap, maxima).withColumnsRenamed({"__piece": start, "__e": end})
+    folded = folded.withColumn("__chunk", F.floor(F.col("__cell") / F.lit(cells_per_chunk)).cast("long"))
+    pieces = _pieces(folded, [*keys, "__chunk"], gap, maxima)
 
     # Per chunk: how far earlier chunks reach, and where the interval open at the
     # chunk's edge began.  A chunk's last piece opens a new interval unless it is
@@ -68,6 +64,17 @@ def merge_close(rows: DataFrame, keys: Sequence[str], start: str, end: str, gap:
         F.max("__e").alias(end), *[F.max(m).alias(m) for m in maxima])
 
 
+def _pieces(folded: DataFrame, keys: Sequence[str], gap: int, maxima: Sequence[str]) -> DataFrame:
+    """Merged rows per key by one ordered scan: ``__piece`` (start) and ``__e`` (end)."""
+    inside = Window.partitionBy(*keys).orderBy("__s")
+    reach = F.max("__e").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    opened = F.when(reach.isNull() | (F.col("__s") > reach + gap), F.col("__s"))
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return folded.withColumn("__piece", opened).withColumn(
+        "__piece", F.last("__piece", ignorenulls=True).over(so_far)
+    ).groupBy(*keys, "__piece").agg(F.max("__e").alias("__e"), *[F.max(m).alias(m) for m in maxima])
+
+
 def participant_sets(relations: DataFrame) -> DataFrame:
     """One row per relation in a frame, with its participants as a sorted array."""
     return relations.groupBy("analysis_id", "frame", "relation_id", "relation_type").agg(

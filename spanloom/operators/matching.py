@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanloom.functions.time import overlap_length
-from spanloom.operators.islands import merge_close
+from spanloom.operators.prefix import prefix_max
 from spanloom.operators.range_join import overlap_join
 
 
@@ -39,26 +39,31 @@ def capture_table(truth: DataFrame, predictions: DataFrame, keys: Sequence[str],
         "correct", F.coalesce(F.col("pred_class") == F.col("class"), F.lit(False)))
 
 
-def touches(rows: DataFrame, others: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
+def touches(rows: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add ``touched``: whether any of ``others`` with equal keys meets the interval.
 
-    The others are merged into disjoint intervals first; that covers the same
-    points and leaves few candidates however many of them pile up.
+    One does exactly if the furthest end among those that start by the row's end
+    reaches the row's start: a running maximum along the time line, so no pair is
+    ever formed.  Equal intervals and equal starts fold beforehand.
     """
-    cover = merge_close(others, keys, "sf", "ef", 0).select(
-        *[F.col(k).alias("o_" + k) for k in keys], F.col("sf").alias("o_sf"),
-        F.col("ef").alias("o_ef"))
-    hit = overlap_join(rows, cover, [(k, "o_" + k) for k in keys], ("sf", "ef"), ("o_sf", "o_ef"))
-    ids = hit.select(row_id).distinct().withColumn("touched", F.lit(True))
-    return rows.join(ids, row_id, "left").withColumn("touched", F.coalesce("touched", F.lit(False)))
-
-
-def class_outcomes(truth: DataFrame, predictions: DataFrame, keys: Sequence[str],
-                   truth_id: str, prediction_id: str) -> DataFrame:
+    spans = rows.select(*keys, "sf", "ef").distinct()
+    ends = others.groupBy(*keys, "sf").agg(F.max("ef").alias("reach"))
+    no_end = F.lit(None).cast(ends.schema["reach"].dataType)
+    line = ends.select(*keys, F.col("sf").alias("pos"), F.lit(0).alias("side"), "sf", "reach").union(
+        spans.select(*keys, F.col("ef").alias("pos"), F.lit(1).alias("side"), "sf", no_end))
+    reached = prefix_max(line, keys, "pos", "reach", "furthest", ties=["side", "sf"], inclusive=True)
+    flags = reached.where("side = 1").select(
+        *keys, "sf", F.col("pos").alias("ef"),
+        F.coalesce(F.col("furthest") >= F.col("sf"), F.lit(False)).alias("touched"))
+    return rows.join(flags, [*keys, "sf", "ef"], "left").withColumn(
+        "touched", F.coalesce("touched", F.lit(False)))
+
+
+def class_outcomes(truth: DataFrame, predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """TP, FN and FP rows by same-class overlap: keys, class, result."""
     same = [*keys, "class"]
-    covered = touches(truth, predictions, same, truth_id)
-    spurious = touches(predictions, truth, same, prediction_id).where(~F.col("touched"))
+    covered = touches(truth, predictions, same)
+    spurious = touches(predictions, truth, same).where(~F.col("touched"))
     return covered.select(*same, F.when(F.col("touched"), "TP").otherwise("FN").alias("result")).union(
         spurious.select(*same, F.lit("FP")))
 

@@ -29,57 +29,47 @@ def _join_summary(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> D
     return rows.join(renamed, condition, "left").drop(*["__s_" + k for k in names])
 
 
+def _running(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], size: int,
+             over_rows, per_chunk: Column, over_chunks, last_row: int) -> DataFrame:
+    """Columns ``__local`` (this chunk's rows up to ``last_row``) and ``__carry`` (earlier chunks)."""
+    rows = df.withColumn("__chunk", chunk_of(F.col(order), size))
+    inside = (Window.partitionBy(*keys, "__chunk").orderBy(order, *ties)
+              .rowsBetween(Window.unboundedPreceding, last_row))
+    before = (Window.partitionBy(*keys).orderBy("__chunk")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    summary = rows.groupBy(*keys, "__chunk").agg(per_chunk.alias("__part")).withColumn(
+        "__carry", over_chunks(F.col("__part")).over(before)).drop("__part")
+    scanned = rows.withColumn("__local", over_rows.over(inside))
+    return _join_summary(scanned, summary, keys).drop("__chunk")
+
+
 def prefix_sum(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str,
                size: int = CHUNK) -> DataFrame:
     """Sum of ``value`` over the key's rows with a smaller ``order``, 0 at the start.
 
     ``order`` must be unique within the key.
     """
-    rows = df.withColumn("__chunk", chunk_of(F.col(order), size))
-    inside = (Window.partitionBy(*keys, "__chunk").orderBy(order)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    before = (Window.partitionBy(*keys).orderBy("__chunk")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    totals = rows.groupBy(*keys, "__chunk").agg(F.sum(value).alias("__total")).withColumn(
-        "__carry", F.sum("__total").over(before)).drop("__total")
-    scanned = rows.withColumn("__local", F.sum(value).over(inside))
-    return _join_summary(scanned, totals, keys).withColumn(
+    both = _running(df, keys, order, (), size, F.sum(value), F.sum(value), F.sum, -1)
+    return both.withColumn(
         out, F.coalesce("__local", F.lit(0)) + F.coalesce("__carry", F.lit(0))
-    ).drop("__chunk", "__local", "__carry")
+    ).drop("__local", "__carry")
 
 
 def prefix_max(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str,
-               size: int = CHUNK) -> DataFrame:
-    """Maximum of ``value`` over the key's rows with a smaller ``order``, else NULL."""
-    rows = df.withColumn("__chunk", chunk_of(F.col(order), size))
-    inside = (Window.partitionBy(*keys, "__chunk").orderBy(order)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    before = (Window.partitionBy(*keys).orderBy("__chunk")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    tops = rows.groupBy(*keys, "__chunk").agg(F.max(value).alias("__top")).withColumn(
-        "__carry", F.max("__top").over(before)).drop("__top")
-    scanned = rows.withColumn("__local", F.max(value).over(inside))
-    return _join_summary(scanned, tops, keys).withColumn(
-        out, F.greatest("__local", "__carry")).drop("__chunk", "__local", "__carry")
+               size: int = CHUNK, ties: Sequence[str] = (), inclusive: bool = False) -> DataFrame:
+    """Maximum of ``value`` over the key's rows before this one, by (order, ties)."""
+    last = Window.currentRow if inclusive else -1
+    both = _running(df, keys, order, ties, size, F.max(value), F.max(value), F.max, last)
+    return both.withColumn(out, F.greatest("__local", "__carry")).drop("__local", "__carry")
 
 
 def carry_last(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], value: str,
                out: str, size: int = CHUNK) -> DataFrame:
     """The latest non-null ``value`` at or before each row, by (order, ties)."""
-    rows = df.withColumn("__chunk", chunk_of(F.col(order), size))
-    inside = (Window.partitionBy(*keys, "__chunk").orderBy(order, *ties)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    before = (Window.partitionBy(*keys).orderBy("__chunk")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    lasts = rows.where(F.col(value).isNotNull()).groupBy(*keys, "__chunk").agg(
-        F.max_by(value, F.struct(order, *ties)).alias("__last"))
-    # Chunks without a value still need a summary row to receive the carry.
-    chunks = rows.select(*keys, "__chunk").distinct()
-    summary = _join_summary(chunks, lasts, keys).withColumn(
-        "__carry", F.last("__last", ignorenulls=True).over(before)).drop("__last")
-    scanned = rows.withColumn("__local", F.last(value, ignorenulls=True).over(inside))
-    return _join_summary(scanned, summary, keys).withColumn(
-        out, F.coalesce("__local", "__carry")).drop("__chunk", "__local", "__carry")
+    latest = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(order, *ties)))
+    both = _running(df, keys, order, ties, size, F.last(value, ignorenulls=True), latest,
+                    lambda part: F.last(part, ignorenulls=True), Window.currentRow)
+    return both.withColumn(out, F.coalesce("__local", "__carry")).drop("__local", "__carry")
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], group: str, within: Sequence[str], out: str,

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -71,25 +70,31 @@ def select_intervals(selection: Selection, visual: DataFrame, audio: DataFrame,
     """
     if selection.source(audio_labels) == "audio":
         top = max(selection.slots, default=0)
-        rows = audio.where(F.col("audio_class").isin(*selection.labels)
-                           & (F.col("confidence") >= min_confidence))
-        args = [F.lit(None).cast("int").alias(f"arg{k}") for k in range(1, top + 1)]
-        return rows.select("analysis_id", *args, *_times(audio))
-    rows = visual.where(F.col("relation_type").isin(*selection.labels))
+        args = [f"CAST(NULL AS INT) AS arg{k}" for k in range(1, top + 1)]
+        return audio.where(
+            f"audio_class IN {_listed(selection.labels)} AND confidence >= {float(min_confidence)!r}"
+        ).selectExpr("analysis_id", *args, *_times(audio))
+    rows = visual.where(f"relation_type IN {_listed(selection.labels)}")
     rows = participant_slots(rows, selection)
-    match = reduce(lambda a, b: a | b, [_branch_condition(b) for b in selection.branches])
-    args = [F.col(f"__p{k}.class_id").alias(f"arg{k}") for k in selection.slots]
-    return rows.where(match).select("analysis_id", *args, *_times(visual))
+    args = [f"__p{k}.class_id AS arg{k}" for k in selection.slots]
+    if len(selection.branches) > 1:
+        rows = rows.where(" OR ".join(_branch_condition(b) for b in selection.branches))
+    return rows.selectExpr("analysis_id", *args, *_times(visual))
+
+
+def _listed(values: Sequence[str]) -> str:
+    """A SQL list of string literals."""
+    return "(" + ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values) + ")"
 
 
 def _times(df: DataFrame) -> list[str]:
     return [c for c in ("sf", "ef", "st", "et", "fps") if c in df.columns]
 
 
-def _branch_condition(branch: Branch) -> Column:
-    terms = [F.col("relation_type").isin(*branch.labels)]
-    terms += [F.col(f"__p{k}.class").isin(*classes) for k, classes in branch.classes.items()]
-    return reduce(lambda a, b: a & b, terms)
+def _branch_condition(branch: Branch) -> str:
+    terms = [f"relation_type IN {_listed(branch.labels)}"]
+    terms += [f"__p{k}.class IN {_listed(classes)}" for k, classes in branch.classes.items()]
+    return "(" + " AND ".join(terms) + ")"
 
 
 def participant_slots(rows: DataFrame, selection: Selection) -> DataFrame:
@@ -99,18 +104,14 @@ def participant_slots(rows: DataFrame, selection: Selection) -> DataFrame:
     needs no join.  Two slots of one class yield both orders and self pairs.
     """
     for k in selection.slots:
-        options = F.col("participants")
+        options = "participants"
         if all(k in b.classes for b in selection.branches):
             wanted = sorted({c for b in selection.branches for c in b.classes[k]})
-            options = F.filter(options, _in_classes(wanted))
-        rows = rows.withColumn(f"__p{k}", F.explode(options))
+            options = f"filter(participants, p -> p.class IN {_listed(wanted)})"
+        rows = rows.selectExpr("*", f"explode({options}) AS __p{k}")
     return rows
 
 
-def _in_classes(classes: Sequence[str]) -> Callable[[Column], Column]:
-    return lambda participant: participant["class"].isin(*classes)
-
-
 def with_seconds(intervals: DataFrame, fps: Column) -> DataFrame:
     """Add the time-domain bounds st, et to the frame-domain ones."""
     return intervals.withColumn("st", frames_to_seconds(F.col("sf"), fps)).withColumn(

@@ -10,10 +10,10 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from spanloom.operators.chain import Condition, Duration, chain
-from spanloom.operators.select import any_of, pick, select_intervals
+from spanloom.operators.select import Selection, any_of, pick, select_intervals
 from spanloom.operators.temporal import Temporal
 from spanloom.vocab import EVENTS
 
@@ -54,7 +54,7 @@ class _Scene:
                  strategy: str) -> None:
         self.visual, self.audio, self.t, self.strategy = visual, audio, thresholds, strategy
 
-    def rows(self, selection) -> DataFrame:
+    def rows(self, selection: Selection) -> DataFrame:
         return select_intervals(selection, self.visual, self.audio,
                                 min_confidence=self.t.min_confidence)
 
@@ -68,10 +68,10 @@ class _Scene:
 
     def out(self, rows: DataFrame, args: Sequence[str], last: str = "M1") -> DataFrame:
         start, end = self.t.bounds
-        slots = [F.col(a) if a else F.lit(None) for a in [*args, None, None, None][:3]]
-        return rows.select(
-            "analysis_id", *[c.cast("int").alias(n) for c, n in zip(slots, ARGS)],
-            F.col(f"M1_{start}").alias("sf"), F.col(f"{last}_{end}").alias("ef"))
+        slots = [*args, "NULL", "NULL", "NULL"][:3]
+        return rows.selectExpr(
+            "analysis_id", *[f"CAST({c} AS INT) AS {n}" for c, n in zip(slots, ARGS)],
+            f"M1_{start} AS sf", f"{last}_{end} AS ef")
 
 
 def _fight_visual(s: _Scene) -> DataFrame:
@@ -146,6 +146,25 @@ _AUDIO: dict[str, Callable[[_Scene], DataFrame]] = {
 }
 
 
+def _parts(event: str, scene: _Scene) -> tuple[DataFrame, DataFrame | None]:
+    """(visual, audio) detections of one event in the aligned schema."""
+
+    def tagged(rows: DataFrame, modality: str) -> DataFrame:
+        return rows.selectExpr("analysis_id", f"'{event}' AS event_id", f"'{modality}' AS modality",
+                               *ARGS, "sf", "ef")
+
+    heard = tagged(_AUDIO[event](scene), "audio") if event in _AUDIO else None
+    return tagged(_VISUAL[event](scene), "visual"), heard
+
+
+def _under(condition: str, seen: DataFrame, heard: DataFrame | None) -> DataFrame:
+    if condition == "B":
+        return seen.limit(0) if heard is None else heard
+    if condition == "A" or heard is None:
+        return seen
+    return seen.union(heard).distinct()
+
+
 def detect(event: str, condition: str, visual: DataFrame, audio: DataFrame,
            thresholds: Thresholds = Thresholds(), strategy: str = "auto") -> DataFrame:
     """Detections of one event: A visual, B audio, C the distinct union of both.
@@ -154,31 +173,20 @@ def detect(event: str, condition: str, visual: DataFrame, audio: DataFrame,
     """
     if event not in EVENTS or condition not in CONDITIONS:
         raise ValueError(f"unknown event or condition: {event!r}, {condition!r}")
-    scene = _Scene(visual, audio, thresholds, strategy)
-
-    def tagged(rows: DataFrame, modality: str) -> DataFrame:
-        return rows.select("analysis_id", F.lit(event).alias("event_id"),
-                           F.lit(modality).alias("modality"), *ARGS, "sf", "ef")
-
-    seen = tagged(_VISUAL[event](scene), "visual")
-    if condition == "A":
-        return seen
-    heard = tagged(_AUDIO[event](scene), "audio") if event in _AUDIO else None
-    if condition == "B":
-        return seen.limit(0) if heard is None else heard
-    if heard is None:
-        return seen
-    return seen.unionByName(heard).distinct()
+    return _under(condition, *_parts(event, _Scene(visual, audio, thresholds, strategy)))
 
 
 def detect_all(visual: DataFrame, audio: DataFrame, thresholds: Thresholds = Thresholds(),
                conditions: Sequence[str] = CONDITIONS, events: Sequence[str] = EVENTS,
                strategy: str = "auto") -> DataFrame:
-    """Every event in every recording under every condition, as one long table."""
-    parts = [
-        detect(event, condition, visual, audio, thresholds, strategy).withColumn(
-            "condition", F.lit(condition))
-        for condition in conditions for event in events
-        if condition != "B" or event in _AUDIO
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """Every event in every recording under every condition, as one long table.
+
+    Condition C repeats the joins of A and B; Spark reuses their exchanges.
+    """
+    scene = _Scene(visual, audio, thresholds, strategy)
+    out = []
+    for event in events:
+        seen, heard = _parts(event, scene)
+        out += [_under(c, seen, heard).selectExpr("*", f"'{c}' AS condition")
+                for c in conditions if c != "B" or heard is not None]
+    return reduce(DataFrame.union, out)

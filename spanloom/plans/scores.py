@@ -61,7 +61,7 @@ _OUTCOMES = _MARKED + """,
 
 @registry.query(_OUTCOMES + " SELECT * FROM outcomes")
 def overlap_outcomes(v: Views):
-    return matching.class_outcomes(_marked(v, "A"), _marked(v, "R"), ["analysis_id"], "id", "id")
+    return matching.class_outcomes(_marked(v, "A"), _marked(v, "R"), ["analysis_id"])
 
 
 def metrics_sql(source: str, by: str, keys: str = "") -> str:
@@ -80,7 +80,7 @@ def metrics_sql(source: str, by: str, keys: str = "") -> str:
 
 @registry.query(_OUTCOMES + ", " + metrics_sql("outcomes", "class") + " SELECT * FROM metrics")
 def class_metrics(v: Views):
-    rows = matching.class_outcomes(_marked(v, "A"), _marked(v, "R"), ["analysis_id"], "id", "id")
+    rows = matching.class_outcomes(_marked(v, "A"), _marked(v, "R"), ["analysis_id"])
     return scoring.score(rows.withColumn("class", F.col("class").cast("string")), "class")
 
 
