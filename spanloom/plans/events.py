@@ -181,12 +181,25 @@ def detect_all(visual: DataFrame, audio: DataFrame, thresholds: Thresholds = Thr
                strategy: str = "auto") -> DataFrame:
     """Every event in every recording under every condition, as one long table.
 
-    Condition C repeats the joins of A and B; Spark reuses their exchanges.
+    Each event is detected once per modality.  The rows then pass one rebalancing
+    exchange that both readers share: A and B take them as they are, C takes
+    their distinct union.
     """
     scene = _Scene(visual, audio, thresholds, strategy)
-    out = []
-    for event in events:
-        seen, heard = _parts(event, scene)
-        out += [_under(c, seen, heard).selectExpr("*", f"'{c}' AS condition")
-                for c in conditions if c != "B" or heard is not None]
-    return reduce(DataFrame.union, out)
+    parts = [p for event in events for p in _parts(event, scene) if p is not None]
+    found = reduce(DataFrame.union, parts).hint("rebalance")
+
+    def under(choices: dict[str, str]) -> str:
+        """The conditions a row belongs to.  An outer explode with the filter behind
+        it, since a filter in front would differ between the readers and undo the sharing."""
+        cases = " ".join(f"WHEN {when} THEN array({then})" for when, then in choices.items())
+        return f"explode_outer(CASE {cases} ELSE CAST(array() AS array<string>) END) AS condition"
+
+    def wanted(letters: str) -> str:
+        return ", ".join(f"'{c}'" for c in letters if c in conditions)
+
+    heard = "event_id IN ({})".format(", ".join(f"'{e}'" for e in _AUDIO))
+    single = found.selectExpr("*", under({
+        "modality = 'audio'": wanted("B"), heard: wanted("A"), "true": wanted("AC")}))
+    both = found.distinct().selectExpr("*", under({heard: wanted("C")}))
+    return single.union(both).where("condition IS NOT NULL")
