@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from spanloom.operators.prefix import CHUNK, number_rows, prefix_max, prefix_sum
 
@@ -53,7 +53,8 @@ def resolve_frame(objects: list[tuple[int, str, str, list[int]]],
     return out
 
 
-_RESOLVED = "array<struct<ordinal:int,class_id:int>>"
+_RESOLVED = T.ArrayType(T.StructType([
+    T.StructField("ordinal", T.IntegerType()), T.StructField("class_id", T.IntegerType())]))
 
 
 @F.pandas_udf(_RESOLVED)

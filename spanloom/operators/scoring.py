@@ -19,11 +19,11 @@ def confusion_counts(outcomes: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def with_metrics(counts: DataFrame) -> DataFrame:
-    """Precision, recall, F1 (zero-safe, three decimals) and support."""
+    """Precision, recall, F1 (zero-safe, three decimals, half-even) and support."""
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     p, r = _ratio(tp, tp + fp), _ratio(tp, tp + fn)
-    return (counts.withColumn("precision", F.round(p, 3)).withColumn("recall", F.round(r, 3))
-            .withColumn("f1", F.round(_ratio(2 * p * r, p + r), 3)).withColumn("support", tp + fn))
+    return (counts.withColumn("precision", F.bround(p, 3)).withColumn("recall", F.bround(r, 3))
+            .withColumn("f1", F.bround(_ratio(2 * p * r, p + r), 3)).withColumn("support", tp + fn))
 
 
 def score(outcomes: DataFrame, by: str, keys: Sequence[str] = (), total: str = "overall") -> DataFrame:

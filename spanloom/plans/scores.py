@@ -74,8 +74,8 @@ def metrics_sql(source: str, by: str, keys: str = "") -> str:
         UNION ALL SELECT {prefix}'overall', {counts} FROM {source}{group}),
       pr AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p,
         CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r FROM cnt),
-      metrics AS (SELECT {prefix}{by}, tp, fp, fn, round(p, 3) AS precision, round(r, 3) AS recall,
-        round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 3) AS f1, tp + fn AS support FROM pr)"""
+      metrics AS (SELECT {prefix}{by}, tp, fp, fn, round_even(p, 3) AS precision, round_even(r, 3) AS recall,
+        round_even(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 3) AS f1, tp + fn AS support FROM pr)"""
 
 
 @registry.query(_OUTCOMES + ", " + metrics_sql("outcomes", "class") + " SELECT * FROM metrics")
