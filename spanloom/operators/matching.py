@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanloom.functions.time import overlap_length
-from spanloom.operators.prefix import prefix_max
+from spanloom.operators.prefix import CHUNK, chunk_of, prefix_max
 from spanloom.operators.range_join import overlap_join
 
 
@@ -92,9 +92,15 @@ def event_outcomes(scenes: DataFrame, expected: DataFrame, detections: DataFrame
     return positive.unionByName(negative.withColumn("result", F.lit("FP")))
 
 
-def evidence(intervals: DataFrame, keys: Sequence[str], label: Column, out: str) -> DataFrame:
-    """``label(start-end), ...`` per key, by start; distinct intervals only."""
+def evidence(intervals: DataFrame, keys: Sequence[str], label: Column, out: str,
+             part_frames: int = CHUNK) -> DataFrame:
+    """``label(start-end), ...`` by start, distinct intervals only: keys, part, text.
+
+    The text comes in parts of ``part_frames`` of start time, so a long recording
+    never becomes one value in one task; its parts in order are the whole text.
+    """
     item = F.struct("sf", "ef", label.alias("label"))
     texts = F.transform(F.array_sort(F.collect_set(item)), lambda i: F.concat(
         i["label"], F.lit("("), i["sf"].cast("string"), F.lit("-"), i["ef"].cast("string"), F.lit(")")))
-    return intervals.groupBy(*keys).agg(F.array_join(texts, ", ").alias(out))
+    return intervals.groupBy(*keys, chunk_of(F.col("sf"), part_frames).alias("part")).agg(
+        F.array_join(texts, ", ").alias(out))

@@ -36,6 +36,18 @@ def join_rows(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]]
     return left.join(right, condition, how)
 
 
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]],
+                residual: Column, salt: int) -> DataFrame:
+    """Inner equi-join whose keys are each spread over ``salt`` tasks.
+
+    A right row goes to one of them by a hash of its content, a left row to all.
+    """
+    spread = left.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    hashed = right.withColumn("__salt_r", F.pmod(F.xxhash64(*right.columns), F.lit(salt)).cast("int"))
+    return join_rows(spread, hashed, [*keys, ("__salt", "__salt_r")], residual, "inner").drop(
+        "__salt", "__salt_r")
+
+
 def banded_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]],
                 left_point: Column, right_point: Column, low: float, high: float,
                 residual: Column, how: str = "inner") -> DataFrame:

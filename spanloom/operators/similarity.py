@@ -30,20 +30,19 @@ def nearest_earlier(queries: DataFrame, entries: DataFrame, k: int,
     of bounded frame ranges, so a long recording spreads over many tasks, and a
     tile returns only its own k best per query, never its pairs.
     """
-    tile = (F.col("frame") / tile_frames).cast("long")
-    # A query meets every tile up to its own; an entry is sent to every tile from
-    # its own to the last one of its recording that holds a query.
+    tile = F.floor(F.col("frame") / tile_frames).cast("long")
     asks = queries.withColumn("q_tile", tile)
-    last = asks.groupBy("analysis_id").agg(F.max("q_tile").alias("__last"))
-    asks = asks.withColumn("e_tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_tile"))))
     # Fresh column names: both sides often come from one table.
-    known = entries.select(F.col("analysis_id").alias("__a"), F.col("frame").alias("known_frame"),
+    known = entries.select(F.col("analysis_id").alias("known_analysis"), F.col("frame").alias("known_frame"),
                            F.col("class_id").alias("known_id"), F.col("embedding").alias("known_vector"),
-                           tile.alias("__e"))
-    held = known.join(last, known["__a"] == last["analysis_id"]).where("__e <= __last").select(
-        F.col("__a").alias("known_analysis"), "known_frame", "known_id", "known_vector",
-        F.col("__e").alias("known_tile"),
-        F.explode(F.sequence(F.col("__e"), F.col("__last"))).alias("asked_tile"))
+                           tile.alias("known_tile"))
+    # The tiles that exist, a few numbers per recording, say which tiles must meet.
+    asked_tiles = asks.select(F.col("analysis_id").alias("__a"), F.col("q_tile").alias("asked_tile")).distinct()
+    known_tiles = known.select(F.col("known_analysis").alias("__a"), F.col("known_tile").alias("e_tile")).distinct()
+    asks = asks.join(known_tiles, (F.col("analysis_id") == F.col("__a"))
+                     & (F.col("e_tile") <= F.col("q_tile"))).drop("__a")
+    held = known.join(asked_tiles, (F.col("known_analysis") == F.col("__a"))
+                      & (F.col("known_tile") <= F.col("asked_tile"))).drop("__a")
     key_type = queries.schema["query_id"].dataType
     schema = T.StructType([
         queries.schema["analysis_id"], T.StructField("query_id", key_type),

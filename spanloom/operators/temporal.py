@@ -13,7 +13,9 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spanloom.operators.range_join import banded_join, containment_join, join_rows
+from spanloom.operators.range_join import (
+    banded_join, containment_join, join_rows, salted_join,
+)
 from spanloom.vocab import STRICTNESS
 
 OPERATORS = ("Bef", "Aft", "SP", "EF", "DJ", "RDJ", "LOJ", "ROJ")
@@ -145,7 +147,7 @@ def temporal_join(left: DataFrame, right: DataFrame, spec: Temporal, *,
                   on: Sequence[tuple[str, str]],
                   left_bounds: tuple[str, str], right_bounds: tuple[str, str],
                   where: Column | None = None, how: str = "inner",
-                  strategy: str = "auto") -> DataFrame:
+                  strategy: str = "auto", salt: int = 1) -> DataFrame:
     """Join two interval tables whose column names do not clash.
 
     ``on`` holds the equality pairs, the recording among them.  ``strategy``:
@@ -156,7 +158,8 @@ def temporal_join(left: DataFrame, right: DataFrame, spec: Temporal, *,
       when every recording is known to be short.
 
     A pair's bound is open only for an unbounded Bef/Aft or a reversed
-    strictness; those join on the equality pairs and lean on AQE skew splitting.
+    strictness.  Those join on the equality pairs: AQE splits a hot key, and
+    ``salt`` > 1 spreads every key over that many tasks beforehand.
     """
     if strategy not in ("auto", "recording"):
         raise ValueError(f"unknown strategy {strategy!r}")
@@ -193,6 +196,8 @@ def temporal_join(left: DataFrame, right: DataFrame, spec: Temporal, *,
                                low - spec.rho, high + spec.rho, match)
         return out.select(*left.columns, *right.columns)
 
+    if salt > 1 and how == "inner":
+        return salted_join(left, right, on, match, salt)
     return join_rows(left, right, on, match, how)
 
 
@@ -213,35 +218,33 @@ def before_exists(left: DataFrame, right: DataFrame, *, on: Sequence[tuple[str,
 
 
 def first_after(left: DataFrame, right: DataFrame, *, on: Sequence[tuple[str, str]],
-                left_key: Sequence[str], left_end: str, right_start: str,
-                payload: str) -> DataFrame:
-    """For every left row the earliest following right row, at any distance.
+                left_end: str, right_start: str, payload: str) -> DataFrame:
+    """Left rows with the earliest right row that follows them, at any distance.
 
-    Both tables are put on one time line per group and scanned once, latest
-    first, instead of pairing every left row with all later right rows.
+    Adds ``payload`` and ``right_start`` of that row (the smallest payload among
+    equal starts), NULL where none follows.  Ends and starts are put on one time
+    line per group and scanned once, latest first, instead of pairing every left
+    row with all later right rows; copies fold before the scan.
     """
     from spanloom.operators.prefix import carry_last
 
-    names = [lk for lk, _ in on]
-    lefts = left.select(*[F.col(lk).alias("k_" + lk) for lk in names],
-                        (-F.col(left_end)).alias("pos"), F.lit(1).alias("side"),
-                        F.struct(*left_key).alias("owner"),
-                        F.lit(None).cast(right.schema[payload].dataType).alias("hit"),
-                        F.lit(None).cast(right.schema[right_start].dataType).alias("hit_start"))
-    rights = right.select(*[F.col(rk).alias("k_" + lk) for lk, rk in on],
-                          (-F.col(right_start)).alias("pos"), F.lit(0).alias("side"),
-                          F.lit(None).cast(lefts.schema["owner"].dataType).alias("owner"),
-                          F.col(payload).alias("hit"), F.col(right_start).alias("hit_start"))
-    # Right rows that share a start are one candidate: the smallest payload.
-    rights = rights.groupBy(*["k_" + n for n in names], "pos", "side", "owner", "hit_start").agg(
-        F.min("hit").alias("hit")).select(*lefts.columns)
-    line = lefts.union(rights).withColumn(
-        "found", F.when(F.col("side") == 0, F.struct("hit", "hit_start")))
-    scanned = carry_last(line, ["k_" + n for n in names], "pos", ["side"], "found", "next_hit")
-    return scanned.where("side = 1").select(
-        *[F.col("k_" + n).alias(n) for n in names], "owner.*",
-        (-F.col("pos")).alias(left_end),
-        F.col("next_hit.hit").alias(payload), F.col("next_hit.hit_start").alias(right_start))
+    names = [f"__g{i}" for i in range(len(on))]
+    ends = left.select(*[F.col(lk).alias(n) for (lk, _), n in zip(on, names)],
+                       F.col(left_end).alias("__t")).distinct()
+    starts = right.groupBy(*[F.col(rk).alias(n) for (_, rk), n in zip(on, names)],
+                           F.col(right_start).alias("__t")).agg(F.min(payload).alias("__p"))
+    hit = F.struct("__p", "__t")
+    line = starts.select(*names, (-F.col("__t")).alias("__pos"), F.lit(0).alias("__side"),
+                         hit.alias("__hit"))
+    line = line.union(ends.select(*names, (-F.col("__t")).alias("__pos"), F.lit(1).alias("__side"),
+                                  F.lit(None).cast(line.schema["__hit"].dataType).alias("__hit")))
+    found = carry_last(line, names, "__pos", ["__side"], "__hit", "__next").where("__side = 1").select(
+        *names, (-F.col("__pos")).alias("__t"), F.col("__next.__p").alias(payload),
+        F.col("__next.__t").alias(right_start))
+    same = F.col(left_end) == F.col("__t")
+    for (lk, _), n in zip(on, names):
+        same = same & (F.col(lk) == F.col(n))
+    return left.join(found, same, "left").select(*left.columns, payload, right_start)
 
 
 def classify_pair(r_start: Column, r_end: Column, s_start: Column, s_end: Column) -> Column:

@@ -40,6 +40,8 @@ class Thresholds:
     rho: float = 0
     zeta: str = "<="
     min_confidence: float = 0.0
+    # Tasks per (recording, object) in the unbounded handoff join.
+    handoff_salt: int = 1
 
     def units(self, seconds: float | None) -> int | float | None:
         if seconds is None:
@@ -58,9 +60,9 @@ class _Scene:
         return select_intervals(selection, self.visual, self.audio,
                                 min_confidence=self.t.min_confidence)
 
-    def chain(self, selections, operators=(), conditions=()) -> DataFrame:
+    def chain(self, selections, operators=(), conditions=(), salt: int = 1) -> DataFrame:
         return chain([self.rows(s) for s in selections], operators, conditions,
-                     bounds=self.t.bounds, strategy=self.strategy)
+                     bounds=self.t.bounds, strategy=self.strategy, salt=salt)
 
     def pair(self, op: str, seconds: float | None) -> Temporal:
         return Temporal(op, delta=self.t.units(seconds), zeta=self.t.zeta,
@@ -97,7 +99,8 @@ def _gunshot_audio(s: _Scene) -> DataFrame:
 def _handoff_visual(s: _Scene) -> DataFrame:
     carry = pick("carrying", arg1="person", arg2="object")
     rows = s.chain([carry, carry], [s.pair("Bef", s.t.handoff_delta)],
-                   [Condition("M1.arg1", "!=", "M2.arg1"), Condition("M1.arg2", "=", "M2.arg2")])
+                   [Condition("M1.arg1", "!=", "M2.arg1"), Condition("M1.arg2", "=", "M2.arg2")],
+                   salt=s.t.handoff_salt)
     return s.out(rows, ["M1_arg1", "M2_arg1", "M1_arg2"], "M2")
 
 

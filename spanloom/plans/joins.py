@@ -118,17 +118,16 @@ def bef_unbounded_exists(v: Views):
 
 @registry.query(with_views("iv") + """,
     nxt AS (SELECT r.analysis_id, r.arg2, r.arg1, r.sf, r.ef, s.sf AS s_sf,
-              row_number() OVER (PARTITION BY r.analysis_id, r.arg2, r.arg1, r.sf, r.ef
-                                 ORDER BY s.sf, s.arg2) AS rn, s.arg2 AS s_arg2
-            FROM (SELECT DISTINCT * FROM iv WHERE pred = 'A') r
+              row_number() OVER (PARTITION BY r.n ORDER BY s.sf, s.arg2) AS rn, s.arg2 AS s_arg2
+            FROM (SELECT *, row_number() OVER () AS n FROM iv WHERE pred = 'A') r
             LEFT JOIN (SELECT * FROM iv WHERE pred = 'R') s
               ON r.analysis_id = s.analysis_id AND r.ef <= s.sf)
     SELECT analysis_id AS r_analysis_id, arg2 AS r_arg2, arg1 AS r_arg1, sf AS r_sf, ef AS r_ef,
            s_arg2, s_sf FROM nxt WHERE rn = 1""")
 def bef_unbounded_first_match(v: Views):
-    left = v.side("A", "r_").distinct()
-    return first_after(left, v.side("R", "s_"), on=ON, left_key=["r_arg2", "r_arg1", "r_sf"],
-                       left_end="r_ef", right_start="s_sf", payload="s_arg2")
+    left = v.side("A", "r_").drop("r_pred")
+    return first_after(left, v.side("R", "s_"), on=ON, left_end="r_ef", right_start="s_sf",
+                       payload="s_arg2")
 
 
 @registry.query(with_views("iv") + """

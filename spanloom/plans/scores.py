@@ -177,11 +177,11 @@ def relation_confusion(v: Views):
 
 
 @registry.query(with_views("api") + """
-    SELECT analysis_id, string_agg(audio_class || '(' || sf || '-' || ef || ')', ', '
+    SELECT analysis_id, sf // 4000 AS part, string_agg(audio_class || '(' || sf || '-' || ef || ')', ', '
       ORDER BY sf, ef, audio_class) AS evidence
-    FROM (SELECT DISTINCT analysis_id, audio_class, sf, ef FROM api) GROUP BY analysis_id""")
+    FROM (SELECT DISTINCT analysis_id, audio_class, sf, ef FROM api) GROUP BY 1, 2""")
 def evidence_text(v: Views):
-    return matching.evidence(v.audio, ["analysis_id"], F.col("audio_class"), "evidence")
+    return matching.evidence(v.audio, ["analysis_id"], F.col("audio_class"), "evidence", 4000)
 
 
 @registry.query(f"""WITH f AS (SELECT DISTINCT analysis_id, event_id, condition FROM ({ALL_SQL})),

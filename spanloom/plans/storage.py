@@ -128,6 +128,19 @@ def clean_expected_events(v: Views):
     return tb.clean_expected(raw, need_audio=True).withColumn("event", canonical_class(F.col("event")))
 
 
+@registry.query("""
+    SELECT CAST(p_size AS INT) AS scene, CASE p_size % 3 WHEN 1 THEN 'audio' ELSE 'visual' END AS modality,
+      replace(lower(trim(p_name)), ' ', '_') AS class, p_partkey AS start_frame FROM part
+    WHERE p_size % 5 <> 0 AND p_size % 3 = 1""")
+def clean_ground_truth(v: Views):
+    raw = v.table("part").select(
+        F.when(F.col("p_size") % 5 != 0, F.col("p_size").cast("double")).alias("scene"),
+        F.when(F.col("p_size") % 3 == 1, "audio").otherwise("visual").alias("modality"),
+        F.concat(F.lit(" "), F.upper("p_name"), F.lit(" ")).alias("class"),
+        F.col("p_partkey").alias("start_frame"))
+    return tb.clean_ground_truth(raw, "audio")
+
+
 @registry.query("""
     SELECT 'merged_s' || (l_partkey % 50) AS analysis_id, l_returnflag AS pred, 'a' AS run FROM lineitem
       WHERE l_linestatus = 'F'

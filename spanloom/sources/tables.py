@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from spanloom.functions.text import canonical_class
 from spanloom.schema import TABLES
 
 
@@ -100,6 +101,12 @@ def clean_expected(raw: DataFrame, need_audio: bool = False) -> DataFrame:
     return rows
 
 
+def clean_ground_truth(raw: DataFrame, modality: str) -> DataFrame:
+    """Annotated intervals of one modality: rows with a scene, class text canonical."""
+    return raw.na.drop(subset=["scene"]).where(F.col("modality") == modality).withColumn(
+        "scene", F.col("scene").cast("int")).withColumn("class", canonical_class(F.col("class")))
+
+
 def rekey(runs: Sequence[DataFrame], prefix: str) -> DataFrame:
     """Several runs as one table, ids rewritten from their ``..._s<scene>`` ending."""
     scene = F.regexp_extract("analysis_id", r"_s(\d+)[^_]*$", 1)

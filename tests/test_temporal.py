@@ -10,7 +10,7 @@ from spanloom.operators.chain import Condition, Duration, chain, class_labels
 from spanloom.operators.range_join import overlap_join
 from spanloom.operators.select import any_of, pick
 from spanloom.operators.temporal import (
-    OPERATORS, Temporal, before_exists, classify_pair, temporal_join,
+    OPERATORS, Temporal, before_exists, classify_pair, first_after, temporal_join,
 )
 
 INVERSE = {"Bef": "Aft", "DJ": "RDJ", "LOJ": "ROJ"}
@@ -95,6 +95,24 @@ def test_both_strategies_equal_the_definition(spark, mixed, op):
         assert matched(l, r, spec, strategy="recording") == want, spec
 
 
+def test_salted_open_join(spark, mixed):
+    left, right = mixed
+    l, r = tables(spark, left, right)
+    for spec in (Temporal("Bef"), Temporal("Aft", zeta="<", rho=1), Temporal("SP", delta=5, zeta=">")):
+        assert matched(l, r, spec, salt=5) == expected(left, right, spec)
+
+
+def test_first_after(spark, mixed):
+    left, right = mixed
+    l, r = tables(spark, left, right)
+    rows = first_after(l, r, on=ON, left_end="r_e", right_start="s_s", payload="s_id").collect()
+    assert len(rows) == len(left)
+    for row in rows:
+        k, _, end = left[row.r_id]
+        later = sorted((s, j) for j, (sk, s, _) in enumerate(right) if sk == k and s >= end)
+        assert (row.s_s, row.s_id) == (later[0] if later else (None, None))
+
+
 def test_boundary_grid(spark):
     """All thirteen relative placements of two intervals, around the thresholds."""
     points = list(itertools.combinations_with_replacement(range(0, 8, 1), 2))
