@@ -79,7 +79,7 @@ def headline(v: Views) -> dict[str, callable]:
         "analysis_id", "audio_class", F.col("sf").alias("start_frame"), F.col("ef").alias("end_frame"),
         "confidence"), 60)
     out["coalesce_audio_session_window"] = lambda: session_variant(v)
-    for name in ("nearest_earlier_vectors", "detect_all_events", "union_dominance", "class_metrics",
+    for name in ("nearest_earlier_vectors", "detect_all_events", "class_metrics", "best_overlap_match",
                  "parameter_sweep", "event_metrics", "parse_object_payloads", "normalise_labels",
                  "tracked_identities"):
         out[name] = named(name)

@@ -60,12 +60,21 @@ def touches(rows: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFram
 
 
 def class_outcomes(truth: DataFrame, predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """TP, FN and FP rows by same-class overlap: keys, class, result."""
-    same = [*keys, "class"]
-    covered = touches(truth, predictions, same)
-    spurious = touches(predictions, truth, same).where(~F.col("touched"))
-    return covered.select(*same, F.when(F.col("touched"), "TP").otherwise("FN").alias("result")).union(
-        spurious.select(*same, F.lit("FP")))
+    """TP, FN and FP rows by same-class overlap: keys, class, result.
+
+    Truth against predictions and predictions against truth run as two groups of
+    one pass.
+    """
+    same = [*keys, "class", "sf", "ef"]
+
+    def both(first: DataFrame, second: DataFrame) -> DataFrame:
+        return first.select(*same, F.lit("truth").alias("__from")).union(
+            second.select(*same, F.lit("prediction")))
+
+    flags = touches(both(truth, predictions), both(predictions, truth), [*keys, "class", "__from"])
+    found = F.when(F.col("touched"), "TP").otherwise("FN")
+    result = F.when(F.col("__from") == "truth", found).otherwise(F.when(~F.col("touched"), "FP"))
+    return flags.select(*keys, "class", result.alias("result")).where("result IS NOT NULL")
 
 
 def flag_detected(expected: DataFrame, detections: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -112,6 +112,12 @@ def participant_slots(rows: DataFrame, selection: Selection) -> DataFrame:
     return rows
 
 
+def split_valid(intervals: DataFrame, start: str = "sf", end: str = "ef") -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected): an interval must not end before it starts or lack a bound."""
+    good = F.coalesce(F.col(start) <= F.col(end), F.lit(False))
+    return intervals.where(good), intervals.where(~good)
+
+
 def with_seconds(intervals: DataFrame, fps: Column) -> DataFrame:
     """Add the time-domain bounds st, et to the frame-domain ones."""
     return intervals.withColumn("st", frames_to_seconds(F.col("sf"), fps)).withColumn(

@@ -8,7 +8,7 @@ from spanloom.functions.time import clock_text
 from spanloom.operators import setops
 from spanloom.operators.chain import Duration, chain
 from spanloom.operators.select import (
-    any_of, pick, route_by_taxonomy, select_intervals, with_seconds,
+    any_of, pick, route_by_taxonomy, select_intervals, split_valid, with_seconds,
 )
 from spanloom.plans.events import Thresholds, detect, detect_all
 from spanloom.plans.registry import Registry
@@ -26,6 +26,25 @@ def select_label(v: Views):
     return v.iv.where(F.col("pred") == "A")
 
 
+def _doubtful(v: Views):
+    """Intervals whose end is moved, so that some end before they start or have no end."""
+    return v.iv.withColumn("ef", F.when(F.col("arg2") % 9 != 0, F.col("ef") - 12))
+
+
+_DOUBTFUL = with_views("iv") + """, d AS (SELECT analysis_id, pred, arg1, arg2, sf,
+    CASE WHEN arg2 % 9 <> 0 THEN ef - 12 END AS ef FROM iv)"""
+
+
+@registry.query(_DOUBTFUL + " SELECT * FROM d WHERE sf <= ef")
+def valid_intervals(v: Views):
+    return split_valid(_doubtful(v))[0]
+
+
+@registry.query(_DOUBTFUL + " SELECT * FROM d WHERE ef IS NULL OR sf > ef")
+def rejected_intervals(v: Views):
+    return split_valid(_doubtful(v))[1]
+
+
 @registry.query(with_views("vpi") + """
     SELECT analysis_id, sf, ef FROM vpi WHERE relation_type IN ('running', 'carrying')""")
 def select_labels(v: Views):

@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Plans here have many columns; recording a call site for each one slows building them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
