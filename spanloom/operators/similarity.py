@@ -12,8 +12,10 @@ from spanloom.functions.vectors import NORM_FLOOR
 
 # Distances are compared at this precision, so rounding noise never orders ties.
 DISTANCE_DIGITS = 9
-# Frames per tile side; a task multiplies two tiles and keeps k rows per query.
-TILE_FRAMES = 1024
+# Frames per tile side.  A vector is sent once to every tile it must meet, so wide
+# tiles shuffle less; a task multiplies block after block and keeps k rows per query.
+TILE_FRAMES = 4096
+BLOCK_ROWS = 1024
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -53,16 +55,20 @@ def nearest_earlier(queries: DataFrame, entries: DataFrame, k: int,
         if asked.empty or known.empty:
             return pd.DataFrame(columns=schema.names)
         frames, ids = known["known_frame"].to_numpy(), known["known_id"].to_numpy()
-        distance = 1.0 - _unit(asked["embedding"]) @ _unit(known["known_vector"]).T
-        distance = np.round(np.maximum(distance, 0.0), DISTANCE_DIGITS)
-        distance[frames[None, :] >= asked["frame"].to_numpy()[:, None]] = np.inf
-        cut = min(k, distance.shape[1]) - 1
-        worst = np.partition(distance, cut, axis=1)[:, cut]
-        rows, cols = np.nonzero((distance <= worst[:, None]) & np.isfinite(distance))
-        return pd.DataFrame({
-            "analysis_id": key[0], "query_id": asked["query_id"].iloc[rows].to_numpy(),
-            "query_frame": asked["frame"].to_numpy()[rows], "frame": frames[cols],
-            "class_id": ids[cols], "distance": distance[rows, cols]})
+        vectors, cut = _unit(known["known_vector"]).T, min(k, len(known)) - 1
+        blocks = []
+        for first in range(0, len(asked), BLOCK_ROWS):
+            part = asked.iloc[first : first + BLOCK_ROWS]
+            distance = 1.0 - _unit(part["embedding"]) @ vectors
+            distance = np.round(np.maximum(distance, 0.0), DISTANCE_DIGITS)
+            distance[frames[None, :] >= part["frame"].to_numpy()[:, None]] = np.inf
+            worst = np.partition(distance, cut, axis=1)[:, cut]
+            rows, cols = np.nonzero((distance <= worst[:, None]) & np.isfinite(distance))
+            blocks.append(pd.DataFrame({
+                "analysis_id": key[0], "query_id": part["query_id"].iloc[rows].to_numpy(),
+                "query_frame": part["frame"].to_numpy()[rows], "frame": frames[cols],
+                "class_id": ids[cols], "distance": distance[rows, cols]}))
+        return pd.concat(blocks)
 
     asked_side = asks.groupBy("analysis_id", "e_tile", "q_tile")
     known_side = held.groupBy("known_analysis", "known_tile", "asked_tile")

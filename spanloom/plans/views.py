@@ -123,9 +123,9 @@ class Views:
 
     @cached_property
     def memory(self) -> DataFrame:
-        """embeddings as the remembered objects of one recording."""
+        """embeddings as the remembered objects of recordings of a million vectors each."""
         return self.table("embeddings").select(
-            F.lit(0).alias("analysis_id"), F.col("vec_id").alias("frame"),
+            F.floor(F.col("vec_id") / 1000000).alias("analysis_id"), F.col("vec_id").alias("frame"),
             F.col("label").alias("class_id"), by_remainder(F.col("label"), CLASSES).alias("class"),
             "embedding")
 
@@ -180,7 +180,7 @@ SQL = {
         {_sql_class('user_id')} AS class, CAST(k % 8 + 1 AS INT) AS block,
         CASE WHEN k % 4 = 0 THEN CAST(user_id % 40 + 1 AS VARCHAR) ELSE 'new' END AS raw_id
         FROM observed""",
-    "memory": f"""SELECT 0 AS analysis_id, vec_id AS frame, label AS class_id,
+    "memory": f"""SELECT vec_id // 1000000 AS analysis_id, vec_id AS frame, label AS class_id,
         {_sql_class('label')} AS class, embedding FROM embeddings""",
     "runs": """SELECT p_partkey AS analysis_id, CAST(p_size % 4 * 6 + 12 AS INT) AS fps,
         CAST(p_size % 4 * 6 + 12 AS VARCHAR) || '/' || CAST(p_partkey % 2 AS VARCHAR) AS rate
