@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Cells (of gap + 1 frames) per chunk; bounds the rows any one task sorts for a key.
 CELLS_PER_CHUNK = 1 << 14
+_WINDOW_BLOCK = 4096
 
 
 def merge_close(rows: DataFrame, keys: Sequence[str], start: str, end: str, gap: int,
@@ -129,12 +130,17 @@ def analysis_windows(recordings: DataFrame, samples: Column, sample_rate: int, f
     half a second are dropped.
     """
     win, hop = int(window_seconds * sample_rate), int(hop_seconds * sample_rate)
-    starts = F.sequence(F.lit(0).cast("long"), F.greatest(samples - win, F.lit(0)).cast("long"),
-                        F.lit(hop).cast("long"))
+    last = F.floor(F.greatest(samples - win, F.lit(0)) / hop)
     if limit is not None:
-        starts = F.slice(starts, 1, limit)
-    out = recordings.withColumn("window_start", F.explode(starts)).withColumn(
-        "window_end", F.least(F.col("window_start") + win, samples.cast("long")))
+        last = F.least(last, F.lit(limit - 1))
+    # Two explodes keep the arrays short for a recording of any length.
+    block = recordings.withColumn("__last", last.cast("long")).withColumn(
+        "__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("__last") / _WINDOW_BLOCK))))
+    index = F.explode(F.sequence(F.col("__block") * _WINDOW_BLOCK, F.least(
+        F.col("__last"), (F.col("__block") + 1) * _WINDOW_BLOCK - 1)))
+    out = block.withColumn("window_start", index).withColumn(
+        "window_start", F.col("window_start") * hop).withColumn(
+        "window_end", F.least(F.col("window_start") + win, samples.cast("long"))).drop("__last", "__block")
     kept = out.where(F.col("window_end") - F.col("window_start") >= sample_rate // 2)
     return kept.withColumn(
         "start_frame", (F.col("window_start") / sample_rate * fps).cast("long")

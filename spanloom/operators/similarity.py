@@ -54,6 +54,7 @@ def nearest_earlier(queries: DataFrame, entries: DataFrame, k: int,
     def compare(key, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or known.empty:
             return pd.DataFrame(columns=schema.names)
+        known = known.sort_values(["known_frame", "known_id"])
         frames, ids = known["known_frame"].to_numpy(), known["known_id"].to_numpy()
         vectors, cut = _unit(known["known_vector"]).T, min(k, len(known)) - 1
         blocks = []
@@ -63,7 +64,11 @@ def nearest_earlier(queries: DataFrame, entries: DataFrame, k: int,
             distance = np.round(np.maximum(distance, 0.0), DISTANCE_DIGITS)
             distance[frames[None, :] >= part["frame"].to_numpy()[:, None]] = np.inf
             worst = np.partition(distance, cut, axis=1)[:, cut]
-            rows, cols = np.nonzero((distance <= worst[:, None]) & np.isfinite(distance))
+            # Equal distances (copies) fill the places left, in entry order, and no more.
+            nearer, equal = distance < worst[:, None], distance == worst[:, None]
+            places = cut + 1 - nearer.sum(axis=1, keepdims=True)
+            chosen = nearer | (equal & (equal.cumsum(axis=1) <= places))
+            rows, cols = np.nonzero(chosen & np.isfinite(distance))
             blocks.append(pd.DataFrame({
                 "analysis_id": key[0], "query_id": part["query_id"].iloc[rows].to_numpy(),
                 "query_frame": part["frame"].to_numpy()[rows], "frame": frames[cols],

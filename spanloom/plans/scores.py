@@ -26,6 +26,12 @@ def _marked(v: Views, pred: str):
     return rows.select(key.alias("id"), "analysis_id", (F.col("arg1") % 4).alias("class"), "sf", "ef")
 
 
+def _classed(v: Views, pred: str):
+    """All intervals of one label as (analysis_id, class, sf, ef), copies included."""
+    return v.iv.where(F.col("pred") == pred).select(
+        "analysis_id", (F.col("arg1") % 4).alias("class"), "sf", "ef")
+
+
 _MARKED = with_views("iv") + """,
     marked AS (SELECT DISTINCT pred, concat_ws('-', analysis_id, arg1, arg2, sf, ef) AS id, analysis_id,
         arg1 % 4 AS class, sf, ef FROM iv),
@@ -51,7 +57,9 @@ def capture_table(v: Views):
     return matching.capture_table(_marked(v, "A"), _marked(v, "R"), ["analysis_id"], "id")
 
 
-_OUTCOMES = _MARKED + """,
+_OUTCOMES = with_views("iv") + """,
+    truth AS (SELECT analysis_id, arg1 % 4 AS class, sf, ef FROM iv WHERE pred = 'A'),
+    pred AS (SELECT analysis_id, arg1 % 4 AS class, sf, ef FROM iv WHERE pred = 'R'),
     outcomes AS (SELECT t.analysis_id, t.class, CASE WHEN EXISTS (SELECT 1 FROM pred p
           WHERE p.analysis_id = t.analysis_id AND p.class = t.class AND p.ef >= t.sf AND p.sf <= t.ef)
         THEN 'TP' ELSE 'FN' END AS result FROM truth t
@@ -61,7 +69,7 @@ _OUTCOMES = _MARKED + """,
 
 @registry.query(_OUTCOMES + " SELECT * FROM outcomes")
 def overlap_outcomes(v: Views):
-    return matching.class_outcomes(_marked(v, "A"), _marked(v, "R"), ["analysis_id"])
+    return matching.class_outcomes(_classed(v, "A"), _classed(v, "R"), ["analysis_id"])
 
 
 def metrics_sql(source: str, by: str, keys: str = "") -> str:
@@ -80,7 +88,7 @@ def metrics_sql(source: str, by: str, keys: str = "") -> str:
 
 @registry.query(_OUTCOMES + ", " + metrics_sql("outcomes", "class") + " SELECT * FROM metrics")
 def class_metrics(v: Views):
-    rows = matching.class_outcomes(_marked(v, "A"), _marked(v, "R"), ["analysis_id"])
+    rows = matching.class_outcomes(_classed(v, "A"), _classed(v, "R"), ["analysis_id"])
     return scoring.score(rows.withColumn("class", F.col("class").cast("string")), "class")
 
 

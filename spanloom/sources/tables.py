@@ -28,9 +28,9 @@ def write_table(df: DataFrame, path: str, mode: str = "append",
     out = df
     if "analysis_bucket" in partition_by:
         out = with_bucket(df, buckets)
-    # Spreading by a row hash as well keeps a long recording off a single writer.
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(16))
-    out.repartition(*partition_by, salt).sortWithinPartitions(
+    # A rebalancing exchange lets AQE cut a bucket with a long recording into several
+    # files of the advisory size, and put small buckets together.
+    out.hint("rebalance", *[F.col(c) for c in partition_by]).sortWithinPartitions(
         *partition_by, *[c for c in ("analysis_id", "frame", "start_frame") if c in df.columns]
     ).write.mode(mode).partitionBy(*partition_by).format(fmt).save(path)
 
@@ -121,7 +121,7 @@ def json_records(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def export_by(rows: DataFrame, path: str, column: str = "scene", fmt: str = "json") -> None:
-    rows.write.mode("overwrite").partitionBy(column).format(fmt).save(path)
+    rows.hint("rebalance", F.col(column)).write.mode("overwrite").partitionBy(column).format(fmt).save(path)
 
 
 def row_counts(tables: dict[str, DataFrame], keys: Sequence[str] = ()) -> DataFrame:

@@ -156,6 +156,15 @@ def test_nearest_for_any_tiling(spark, tile):
         assert sorted(got.get((a, f, c), [])) == want
 
 
+def test_copies_fill_only_k_places(spark):
+    """Two thirds of the vectors are copies; each query still returns k, the earliest first."""
+    rows = [(1, f, 0, [1.0, 0.0] if f % 3 else [0.0, 1.0]) for f in range(60)]
+    df = spark.createDataFrame(rows, "analysis_id int, frame long, class_id int, embedding array<float>")
+    queries = df.select("analysis_id", F.col("frame").alias("query_id"), "frame", "embedding")
+    got = similarity.nearest_earlier(queries, df, 3, 1000).where("query_id = 59").orderBy("place").collect()
+    assert [(r.frame, r.distance) for r in got] == [(1, 0.0), (2, 0.0), (4, 0.0)]
+
+
 def test_context_prefers_recent_and_caps(spark):
     recent = spark.createDataFrame([(1, 9, 5, 8), (1, 9, 6, 7)], "analysis_id int, frame long, class_id int, origin long")
     similar = spark.createDataFrame([(1, 9, 5, 2, 0.1), (1, 9, 7, 3, 0.3), (1, 9, 8, 1, 0.2)],
