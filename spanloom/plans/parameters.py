@@ -46,13 +46,13 @@ def named_parameters(v: Views):
     return th.named_parameters(th.explode_parameters(_specs(v)))
 
 
-# Provided: the keys of the parts in stock sizes divisible by three.
+# Provided: the keys of the larger parts.
 _PROVIDED = """, provided AS (SELECT 'delta_visual_' || p_type || p_size AS name, p_size AS literal FROM part
-      WHERE p_size % 3 = 0)"""
+      WHERE p_size >= 20)"""
 
 
 def _provided(v: Views):
-    return v.table("part").where("p_size % 3 = 0").select(
+    return v.table("part").where("p_size >= 20").select(
         F.concat(F.lit("delta_visual_"), "p_type", F.col("p_size").cast("string")).alias("name"),
         F.col("p_size").cast("string").alias("literal")).distinct()
 

@@ -107,20 +107,20 @@ def overlap_pairs(v: Views):
 
 # -- expected events against detections --------------------------------------------
 
-_LABELLED = """WITH lab AS (SELECT l.doc_id AS scene, d.lang AS event, quality, toxic FROM labels l
+_LABELLED = """WITH lab AS (SELECT l.doc_id AS scene, d.lang AS event, quality, toxic, n_chars FROM labels l
       JOIN documents d USING (doc_id)),
     expected AS (SELECT scene, event FROM lab WHERE quality = 1),
     detections AS (SELECT scene, event FROM lab WHERE toxic = 1 UNION ALL
-      SELECT scene, ['de', 'en', 'es', 'fr'][CAST(scene % 4 + 1 AS INT)] FROM lab WHERE scene % 3 = 0)"""
+      SELECT scene, ['de', 'en', 'es', 'fr'][CAST(scene % 4 + 1 AS INT)] FROM lab WHERE n_chars > 1000)"""
 
 
 def _labelled(v: Views):
-    lab = v.table("labels").join(v.table("documents").select("doc_id", "lang"), "doc_id").select(
-        F.col("doc_id").alias("scene"), F.col("lang").alias("event"), "quality", "toxic")
+    lab = v.table("labels").join(v.table("documents").select("doc_id", "lang", "n_chars"), "doc_id").select(
+        F.col("doc_id").alias("scene"), F.col("lang").alias("event"), "quality", "toxic", "n_chars")
     expected = lab.where("quality = 1").select("scene", "event")
     guessed = F.element_at(F.array(*[F.lit(x) for x in LANGS]), (F.col("scene") % 4 + 1).cast("int"))
     detections = lab.where("toxic = 1").select("scene", "event").union(
-        lab.where("scene % 3 = 0").select("scene", guessed))
+        lab.where("n_chars > 1000").select("scene", guessed))
     return lab, expected, detections
 
 
@@ -171,7 +171,7 @@ def event_metrics(v: Views):
 
 @registry.query(with_views("vpi") + f""",
     obs AS (SELECT DISTINCT analysis_id AS scene, relation_type AS relation FROM vpi WHERE ef - sf >= 100),
-    truth AS (SELECT DISTINCT analysis_id AS scene, relation_type AS relation FROM vpi WHERE sf % 3 = 0)
+    truth AS (SELECT DISTINCT analysis_id AS scene, relation_type AS relation FROM vpi WHERE ef - sf <= 120)
     SELECT g.scene, g.relation, t.scene IS NOT NULL AS in_truth, o.scene IS NOT NULL AS observed,
       CASE WHEN t.scene IS NOT NULL AND o.scene IS NOT NULL THEN 'TP' WHEN t.scene IS NOT NULL THEN 'FN'
         WHEN o.scene IS NOT NULL THEN 'FP' ELSE 'TN' END AS result
@@ -181,7 +181,7 @@ def event_metrics(v: Views):
 def relation_confusion(v: Views):
     rows = v.visual.select(F.col("analysis_id").alias("scene"), F.col("relation_type").alias("relation"),
                            "sf", "ef")
-    return scoring.relation_confusion(rows.where("sf % 3 = 0"), rows.where("ef - sf >= 100"), RELATIONS)
+    return scoring.relation_confusion(rows.where("ef - sf <= 120"), rows.where("ef - sf >= 100"), RELATIONS)
 
 
 @registry.query(with_views("api") + """

@@ -85,7 +85,7 @@ def keep_first_on_key(v: Views):
       PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1""")
 def upsert_latest(v: Views):
     rows = v.table("events").select("event_id", "user_id", "event_type", "value")
-    old, new = rows.where("event_id % 3 <> 0"), rows.where("event_id % 3 = 0")
+    old, new = rows.where("value < 20"), rows.where("value >= 20")
     return tb.upsert_latest(old, new, ["user_id", "event_type"], "event_id")
 
 
