@@ -6,8 +6,9 @@ analysis_id, event_id, modality, arg1, arg2, arg3, sf, ef.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+import re
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,15 +16,35 @@ from pyspark.sql import DataFrame
 from spanloom.operators.chain import Condition, Duration, chain
 from spanloom.operators.select import Selection, any_of, pick, select_intervals
 from spanloom.operators.temporal import Temporal
-from spanloom.vocab import EVENTS
+from spanloom.vocab import EVENTS, MODALITIES, STRICTNESS
 
 ARGS = ("arg1", "arg2", "arg3")
 CONDITIONS = ("A", "B", "C")
 
 
+@dataclass(frozen=True)
+class Pair:
+    """Parameters of one event's temporal operator, distances in seconds (None = unbounded)."""
+
+    delta: float | None = None
+    zeta: str = "<="
+    rho: float = 0
+
+
+# The operators the events use and their authored parameters.
+PAIRS: Mapping[tuple[str, str], Pair] = {
+    ("fight", "audio"): Pair(delta=5),
+    ("handoff", "visual"): Pair(),
+    ("vehicle_collision", "audio"): Pair(),
+    ("vehicle_escape", "visual"): Pair(delta=2),
+    ("vehicle_escape", "audio"): Pair(),
+}
+_NAME = re.compile("^(delta|zeta|rho)_({})_(.+)$".format("|".join(MODALITIES)))
+
+
 @dataclass(frozen=True)
 class Thresholds:
-    """Distances in seconds; ``fps`` turns them into frames.
+    """Parameters of all events; ``fps`` turns seconds into frames.
 
     With ``bounds=("st", "et")`` the intervals carry seconds themselves and
     ``fps`` must be 1, which also serves recordings of different frame rates.
@@ -31,14 +52,8 @@ class Thresholds:
 
     fps: int | float = 24
     bounds: tuple[str, str] = ("sf", "ef")
-    fight_audio_delta: float | None = 5
-    escape_visual_delta: float | None = 2
-    handoff_delta: float | None = None
-    collision_audio_delta: float | None = None
-    escape_audio_delta: float | None = None
+    pairs: Mapping[tuple[str, str], Pair] = field(default_factory=lambda: dict(PAIRS))
     suspicious_seconds: float = 3
-    rho: float = 0
-    zeta: str = "<="
     min_confidence: float = 0.0
     # Tasks per (recording, object) in the unbounded handoff join.
     handoff_salt: int = 1
@@ -48,6 +63,33 @@ class Thresholds:
             return None
         return round(seconds * self.fps) if self.bounds == ("sf", "ef") else seconds
 
+    def everywhere(self, **changes) -> Thresholds:
+        """The same change to every pair, such as ``rho=1 / 24``."""
+        return replace(self, pairs={k: replace(p, **changes) for k, p in self.pairs.items()})
+
+    def named(self, values: Mapping[str, object], unit: str = "seconds") -> Thresholds:
+        """Override by parameter names such as ``delta_audio_fight`` or ``zeta_visual_handoff``.
+
+        Distances may be ``inf``; they are in ``unit`` (seconds or frames).
+        """
+        if unit not in ("seconds", "frames"):
+            raise ValueError(f"unknown unit {unit!r}")
+        pairs = dict(self.pairs)
+        for name, value in values.items():
+            match = _NAME.match(name)
+            key = (match[3], match[2]) if match else None
+            if key not in pairs:
+                raise ValueError(f"no event parameter is named {name!r}")
+            if match[1] == "zeta":
+                if value not in STRICTNESS:
+                    raise ValueError(f"invalid strictness {value!r} for {name!r}")
+            elif value in ("inf", "∞"):
+                value = None
+            else:
+                value = float(value) / (self.fps if unit == "frames" else 1)
+            pairs[key] = replace(pairs[key], **{match[1]: value})
+        return replace(self, pairs=pairs)
+
 
 class _Scene:
     """The two interval tables plus thresholds, with the chain shorthands events use."""
@@ -64,9 +106,9 @@ class _Scene:
         return chain([self.rows(s) for s in selections], operators, conditions,
                      bounds=self.t.bounds, strategy=self.strategy, salt=salt)
 
-    def pair(self, op: str, seconds: float | None) -> Temporal:
-        return Temporal(op, delta=self.t.units(seconds), zeta=self.t.zeta,
-                        rho=self.t.units(self.t.rho))
+    def pair(self, op: str, event: str, modality: str) -> Temporal:
+        p = self.t.pairs[event, modality]
+        return Temporal(op, delta=self.t.units(p.delta), zeta=p.zeta, rho=self.t.units(p.rho))
 
     def out(self, rows: DataFrame, args: Sequence[str], last: str = "M1") -> DataFrame:
         start, end = self.t.bounds
@@ -82,7 +124,7 @@ def _fight_visual(s: _Scene) -> DataFrame:
 
 
 def _fight_audio(s: _Scene) -> DataFrame:
-    rows = s.chain([pick("shout"), pick("impact")], [s.pair("Bef", s.t.fight_audio_delta)])
+    rows = s.chain([pick("shout"), pick("impact")], [s.pair("Bef", "fight", "audio")])
     return s.out(rows, [], "M2")
 
 
@@ -98,7 +140,7 @@ def _gunshot_audio(s: _Scene) -> DataFrame:
 
 def _handoff_visual(s: _Scene) -> DataFrame:
     carry = pick("carrying", arg1="person", arg2="object")
-    rows = s.chain([carry, carry], [s.pair("Bef", s.t.handoff_delta)],
+    rows = s.chain([carry, carry], [s.pair("Bef", "handoff", "visual")],
                    [Condition("M1.arg1", "!=", "M2.arg1"), Condition("M1.arg2", "=", "M2.arg2")],
                    salt=s.t.handoff_salt)
     return s.out(rows, ["M1_arg1", "M2_arg1", "M1_arg2"], "M2")
@@ -116,7 +158,7 @@ def _collision_visual(s: _Scene) -> DataFrame:
 
 def _collision_audio(s: _Scene) -> DataFrame:
     rows = s.chain([pick("horn", "skidding"), pick("impact", "glass_breaking")],
-                   [s.pair("SP", s.t.collision_audio_delta)])
+                   [s.pair("SP", "vehicle_collision", "audio")])
     return s.out(rows, [], "M2")
 
 
@@ -124,12 +166,12 @@ def _escape_visual(s: _Scene) -> DataFrame:
     rows = s.chain(
         [pick("running", arg1="person"),
          pick("enter_or_exit_vehicle", arg1="person", arg2="vehicle")],
-        [s.pair("Bef", s.t.escape_visual_delta)], [Condition("M1.arg1", "=", "M2.arg1")])
+        [s.pair("Bef", "vehicle_escape", "visual")], [Condition("M1.arg1", "=", "M2.arg1")])
     return s.out(rows, ["M1_arg1", "M2_arg2"], "M2")
 
 
 def _escape_audio(s: _Scene) -> DataFrame:
-    rows = s.chain([pick("engine"), pick("tire_squeal")], [s.pair("SP", s.t.escape_audio_delta)])
+    rows = s.chain([pick("engine"), pick("tire_squeal")], [s.pair("SP", "vehicle_escape", "audio")])
     return s.out(rows, [], "M2")
 
 

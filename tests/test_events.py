@@ -54,9 +54,9 @@ def found_in(rows):
     ("suspicious_near_vehicle", "B", {}, []),
 ])
 def test_golden_scenes(scenes, event, condition, options, want):
-    assert found_in(detect(event, condition, *scenes, Thresholds(fps=24, **options))) == want
+    assert found_in(detect(event, condition, *scenes, Thresholds(fps=24).everywhere(**options))) == want
     if condition != "A" or event != "vehicle_escape":
-        rows = detect(event, condition, *scenes, Thresholds(fps=24, **options), strategy="recording")
+        rows = detect(event, condition, *scenes, Thresholds(fps=24).everywhere(**options), strategy="recording")
         assert found_in(rows) == want
 
 
@@ -74,7 +74,7 @@ def test_without_participants(scenes):
 
 
 def test_union_contains_both_sides(scenes):
-    rows = detect_all(*scenes, Thresholds(fps=24, rho=1 / 24)).collect()
+    rows = detect_all(*scenes, Thresholds(fps=24).everywhere(rho=1 / 24)).collect()
     key = lambda r: (r.analysis_id, r.event_id, r.modality, r.arg1, r.arg2, r.arg3, r.sf, r.ef)
     by = {c: {key(r) for r in rows if r.condition == c} for c in "ABC"}
     assert by["A"] <= by["C"] and by["B"] <= by["C"] and by["C"] == by["A"] | by["B"]
@@ -83,7 +83,7 @@ def test_union_contains_both_sides(scenes):
 
 
 def test_detect_all_equals_single_detections(scenes):
-    thresholds = Thresholds(fps=24, rho=1 / 24)
+    thresholds = Thresholds(fps=24).everywhere(rho=1 / 24)
     every = detect_all(*scenes, thresholds)
     for event, condition in (("fight", "C"), ("vehicle_escape", "A"), ("vehicle_collision", "B"),
                              ("handoff", "C")):
@@ -92,6 +92,21 @@ def test_detect_all_equals_single_detections(scenes):
         assert sorted(map(str, one.collect())) == sorted(map(str, same.drop("condition").collect()))
 
 
+def test_named_parameters(scenes):
+    base = Thresholds(fps=24)
+    wide = base.named({"delta_audio_fight": "inf", "rho_audio_vehicle_escape": 1, "zeta_visual_handoff": "<"},
+                      unit="frames")
+    assert wide.pairs["fight", "audio"].delta is None
+    assert wide.pairs["handoff", "visual"].zeta == "<"
+    assert found_in(detect("vehicle_escape", "B", *scenes, wide)) == [12, 13, 14, 31, 32]
+    assert found_in(detect("vehicle_collision", "B", *scenes, wide)) == []
+    short = base.named({"delta_audio_fight": 0})
+    assert found_in(detect("fight", "B", *scenes, short)) == [4, 5, 30]
+    for bad in ({"delta_audio_handoff": 1}, {"zeta_audio_fight": "=="}, {"speed": 3}):
+        with pytest.raises(ValueError):
+            base.named(bad)
+
+
 def test_seconds_equal_frames(scenes):
     visual, audio = (df.withColumn("st", F.col("sf") / 24).withColumn("et", F.col("ef") / 24)
                      for df in scenes)

@@ -124,6 +124,15 @@ def test_storage_round_trip(spark, tmp_path):
     assert "PartitionFilters: [" in plan and "analysis_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_export_by_scene(spark, tmp_path):
+    rows = spark.createDataFrame([(i % 3, f"e{i}") for i in range(9)], "scene int, event string")
+    for fmt in ("json", "csv", "parquet"):
+        path = str(tmp_path / fmt)
+        tables.export_by(rows, path, fmt=fmt)
+        assert sorted(p.name for p in (tmp_path / fmt).glob("scene=*")) == ["scene=0", "scene=1", "scene=2"]
+        assert spark.read.format(fmt).load(path).count() == 9
+
+
 def test_keep_first_is_stable_under_copies(spark):
     rows = spark.createDataFrame([(1, i % 3, f"v{i}") for i in range(9)] * 50, "k int, o int, v string")
     got = tables.keep_first(rows, ["k"], ["o"]).collect()
