@@ -77,12 +77,16 @@ def assign_with_context(objects: DataFrame, context: DataFrame, chunk: int = CHU
     which is a prefix sum and a prefix maximum, both chunked.
     """
     frame_key = ["analysis_id", "frame"]
-    rows = objects.groupBy(*frame_key).agg(F.array_sort(F.collect_set(
+    rows = objects.where("analysis_id IS NOT NULL AND frame IS NOT NULL").groupBy(*frame_key).agg(F.array_sort(F.collect_set(
         F.struct("ordinal", "raw_id", "class", "blocks"))).alias("objs"))
     known = context.groupBy(*frame_key).agg(F.array_sort(F.collect_set(
         F.struct("place", "class_id", "class", "blocks"))).alias("ctx"))
+    # The counters and the numbering all read the matches.  They share the exchange
+    # behind the Python step, so matching runs once; null keys are dropped before it
+    # and the explode below is an outer one, since a filter that only one reader
+    # pushes down would undo the sharing.
     resolved = rows.join(known, frame_key, "left").select(
-        *frame_key, _resolve_frames("objs", "ctx").alias("r"))
+        *frame_key, _resolve_frames("objs", "ctx").alias("r")).repartition(*frame_key)
     counters = resolved.select(
         *frame_key, F.size(F.filter("r", lambda x: x["class_id"].isNull())).alias("fresh"),
         F.array_max(F.transform("r", lambda x: x["class_id"])).alias("largest"))
@@ -91,7 +95,7 @@ def assign_with_context(objects: DataFrame, context: DataFrame, chunk: int = CHU
     base = prefix_max(floor, ["analysis_id"], "frame", "lift", "lifted", chunk).select(
         *frame_key, (F.greatest(F.coalesce("lifted", F.lit(1)), F.lit(1)) + F.col("before")).alias("next_id"))
     numbered = resolved.join(base, frame_key).select(
-        *frame_key, "next_id", "r", F.posexplode("r").alias("pos", "o"))
+        *frame_key, "next_id", "r", F.posexplode_outer("r").alias("pos", "o")).where("pos IS NOT NULL")
     # Position among the frame's fresh objects.
     earlier = F.size(F.filter(F.slice("r", 1, F.col("pos") + 1), lambda x: x["class_id"].isNull()))
     return numbered.select(
