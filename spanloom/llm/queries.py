@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanloom.llm import secrets, toxicity
 from spanloom.llm.byte_bpe import round_trip
 from spanloom.llm.common import table
 from spanloom.llm.exact_dedup import deduplicate
 from spanloom.llm.packing import pack
+from spanloom.llm.personal_data import find
 from spanloom.llm.token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +21,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
@@ -27,12 +34,22 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.learn(docs))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_token_counts, op4_byte_bpe, op5_best_fit_packing, op7_exact_dedup)}
+    op2_token_counts, op3_toxicity, op4_byte_bpe, op5_best_fit_packing, op6_personal_data, op7_exact_dedup,
+    op9_secrets)}
 
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": """
