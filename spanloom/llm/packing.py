@@ -17,8 +17,8 @@ text are not read.
 
 from __future__ import annotations
 
+import os
 import re
-import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -29,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from spanloom.llm.common import stored, text_or_empty
-from spanloom.llm.vocabularies import Memory, public_path
+from spanloom.llm.ragged import merge
+from spanloom.llm.vocabularies import Memory, byte_letters, merge_list, public_path
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY, END_ID = 2048, 0
+WORD_END = "</w>"  # fixed value of the vocabulary
 
 # Texts of these characters only are the same after Unicode composition, and their words can be told by
 # the plain patterns below; any other text goes through the tokenizer as a whole.
@@ -42,12 +44,20 @@ WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_{_NUMBERS}]+|[\d{_NUMBERS}]
 
 
 class WordIds:
-    """Ids of texts, by the tokenizer; words met before are looked up."""
+    """Ids of texts as the tokenizer gives them.
+
+    Plain words are merged here, all new ones of a batch at once, and looked up from then
+    on; a text with anything else goes to the tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.inner, self.table, _ = merge_list(path)
+        last = byte_letters()
+        self.final = np.array([self.tokenizer.token_to_id(last[b] + WORD_END) for b in range(256)], np.int32)
         self.known = Memory()
 
     def packed(self, texts: list[str]) -> Iterator[bytes]:
@@ -62,20 +72,28 @@ class WordIds:
             part = texts[begin:end]
             rows = [None if OTHER.search(t) else WORDS.findall(t.lower()) for t in part]
             new = list(set().union(*(r for r in rows if r)).difference(self.known))
-            for k in range(0, len(new), 20_000):
-                some = new[k : k + 20_000]
-                self.known.learn(some, (self._pack(w) for w in self._ids(some)))
+            self.known.learn(new, self._merged([w.encode() for w in new]))
             known = self.known.__getitem__
             for text, row in zip(part, rows, strict=True):
-                yield self._pack(self._ids([text])[0]) if row is None else b"".join(map(known, row))
+                if row is None:
+                    ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                    yield np.array(ids, "<u4").tobytes()
+                else:
+                    yield b"".join(map(known, row))
             begin = end
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def _pack(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _merged(self, words: list[bytes]) -> Iterator[bytes]:
+        if not words:
+            return
+        length = np.array([len(w) for w in words])
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        sym, ends = self.inner[letters], np.cumsum(length) - 1
+        sym[ends] = self.final[letters[ends]]
+        counts, ids = merge(sym, length, self.table, keep=True)
+        whole, at = ids.astype("<u4").tobytes(), 0
+        for n in counts.tolist():
+            yield whole[at : at + 4 * n]
+            at += 4 * n
 
 
 def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:

@@ -1,10 +1,8 @@
 """Token counts by merging in the order of ranks, all sequences of a batch at once.
 
-Pre-tokens not met before are held as one ragged numpy array of symbols with the
-start of each sequence.  In a round each sequence takes its lowest-ranked pair and
-merges all its occurrences, from the left, at the same time; a sequence without a
-known pair is done and counts the symbols left.  A merge list makes each token by one
-merge, after those that make its parts, so a round never undoes a later choice.
+Pre-tokens not met before are held as one ragged numpy array of symbols (``ragged``): in
+a round each sequence merges its lowest-ranked pair everywhere at the same time, and a
+sequence without a known pair is done and counts the symbols left.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); rows with the same id
 are counted each on its own; an empty table gives no rows; columns besides doc_id and
@@ -21,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from spanloom.llm.common import text_or_empty
+from spanloom.llm.ragged import merge
 from spanloom.llm.vocabularies import Memory, PairTable, merge_list, piece_pattern, public_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -31,35 +30,7 @@ ROOM = 1_000_000
 
 def merged_lengths(pieces: list[bytes], symbols: np.ndarray, table: PairTable) -> np.ndarray:
     """Symbols that remain of each piece (none empty) when no pair is left."""
-    counts = np.zeros(len(pieces), np.int64)
-    length = np.array([len(p) for p in pieces], np.int64)
-    sym = symbols[np.frombuffer(b"".join(pieces), np.uint8)]
-    who = np.arange(len(pieces))
-    while len(who):
-        start = np.zeros(len(who), np.int64)
-        np.cumsum(length[:-1], out=start[1:])
-        at = np.full(len(sym), -1, np.int64)
-        at[:-1] = table.find(sym[:-1], sym[1:])
-        at[start + length - 1] = -1  # no pair across two pieces
-        rank = np.where(at >= 0, table.rank[at], PairTable.ABSENT)
-        least = np.minimum.reduceat(rank, start)
-        done = least == PairTable.ABSENT
-        counts[who[done]] = length[done]
-        hit = (rank == np.repeat(least, length)) & (at >= 0)
-        # In a run of hits (a a a) every second one is free to merge.
-        place = np.flatnonzero(hit)
-        if len(place):
-            new_run = np.ones(len(place), bool)
-            new_run[1:] = place[1:] != place[:-1] + 1
-            first = np.maximum.accumulate(np.where(new_run, np.arange(len(place)), 0))
-            place = place[(np.arange(len(place)) - first) % 2 == 0]
-        sym[place] = table.made[at[place]]
-        stay = np.ones(len(sym), bool)
-        stay[place + 1] = False
-        stay &= np.repeat(~done, length)
-        length = np.add.reduceat(stay, start)[~done].astype(np.int64)
-        sym, who = sym[stay], who[~done]
-    return counts
+    return merge(symbols[np.frombuffer(b"".join(pieces), np.uint8)], np.array([len(p) for p in pieces]), table)
 
 
 class Counter:

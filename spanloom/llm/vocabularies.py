@@ -107,7 +107,7 @@ def piece_pattern():
 class Memory(dict):
     """What is known of pieces already met; forgets all when it holds too many letters, so memory is bounded."""
 
-    def __init__(self, letters: int = 12_000_000) -> None:
+    def __init__(self, letters: int = 5_000_000) -> None:
         super().__init__()
         self.letters = self.room = letters
 
