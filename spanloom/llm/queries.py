@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import secrets, toxicity
+from spanloom.llm import near_dedup, secrets, toxicity
 from spanloom.llm.byte_bpe import round_trip
 from spanloom.llm.common import table
 from spanloom.llm.exact_dedup import deduplicate
@@ -42,6 +42,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.learn(docs))
@@ -49,7 +53,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op2_token_counts, op3_toxicity, op4_byte_bpe, op5_best_fit_packing, op6_personal_data, op7_exact_dedup,
-    op9_secrets)}
+    op8_near_dedup, op9_secrets)}
 
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": """
