@@ -139,9 +139,9 @@ class Codec:
                 held += len(texts[end])
                 end += 1
             rows = list(map(split, texts[begin:end]))
-            new = list(set().union(*rows).difference(self.known))
+            new = list(set().union(*rows).difference(self.known.of))
             self.known.learn(new, (x.astype("<i4").tobytes() for x in self.encode_pieces([p.encode() for p in new])))
-            known = self.known.__getitem__
+            known = self.known.of.__getitem__
             for row in rows:
                 yield b"".join(map(known, row))
             begin = end

@@ -46,12 +46,12 @@ def word_codes(texts: list[str], known: Memory) -> Iterator[np.ndarray]:
     """64-bit codes of the words of each text."""
     for text in texts:
         words = WORD.findall(text.lower())
-        new = set(words).difference(known)
+        new = set(words).difference(known.of)
         if new:
             known.tidy()
-            new = list(set(words).difference(known))
+            new = list(set(words).difference(known.of))
             known.learn(new, (xxhash.xxh64_intdigest(w) for w in new))
-        yield np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        yield np.fromiter(map(known.of.__getitem__, words), np.uint64, len(words))
 
 
 def labelled_kmers(words: np.ndarray, k: int = K) -> np.ndarray:

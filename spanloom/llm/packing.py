@@ -71,9 +71,9 @@ class WordIds:
                 end += 1
             part = texts[begin:end]
             rows = [None if OTHER.search(t) else WORDS.findall(t.lower()) for t in part]
-            new = list(set().union(*(r for r in rows if r)).difference(self.known))
+            new = list(set().union(*(r for r in rows if r)).difference(self.known.of))
             self.known.learn(new, self._merged([w.encode() for w in new]))
-            known = self.known.__getitem__
+            known = self.known.of.__getitem__
             for text, row in zip(part, rows, strict=True):
                 if row is None:
                     ids = self.tokenizer.encode(text, add_special_tokens=False).ids

@@ -69,8 +69,8 @@ class Counter:
                 found = self.special.split(text) if self.special and self.special.search(text) else [text]
                 extra.append(len(found) - 1)
                 rows.append(split(text) if len(found) == 1 else list(chain.from_iterable(map(split, found))))
-            self.learn(set().union(*rows).difference(self.known))
-            known = self.known.__getitem__
+            self.learn(set().union(*rows).difference(self.known.of))
+            known = self.known.of.__getitem__
             out += [e + sum(map(known, row)) for e, row in zip(extra, rows, strict=True)]
             begin = end
         return out

@@ -124,18 +124,18 @@ class Reader:
         lower = text.lower()
         known = self.known
         words = WORD.findall(lower)
-        new = set(words).difference(known)
+        new = set(words).difference(known.of)
         if new:
             known.tidy()
-            new = set(words).difference(known)
+            new = set(words).difference(known.of)
             known.learn(new, map(self.lexicon.read, new))
-        if not any(known[w][0] in (INSULT, THREAT) for w in set(words)):
+        if not any(known.of[w][0] in (INSULT, THREAT) for w in set(words)):
             return []
         out = []
         for clause in CLAUSE.split(lower):
             state, weight = 0, 0.0
             for word in WORD.findall(clause):
-                symbol, own = known[word]
+                symbol, own = known.of[word]
                 state, factor = self.arcs[state][symbol]
                 weight += own * factor
             if weight:

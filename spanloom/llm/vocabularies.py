@@ -104,19 +104,22 @@ def piece_pattern():
     return regex.compile(public_tokenizers.PATTERN)
 
 
-class Memory(dict):
-    """What is known of pieces already met; forgets all when it holds too many letters, so memory is bounded."""
+class Memory:
+    """What is known of pieces already met; forgets all when it holds too many letters, so memory is bounded.
+
+    ``of`` is a plain dictionary, which sets can be compared with without reading all of it.
+    """
 
     def __init__(self, letters: int = 5_000_000) -> None:
-        super().__init__()
+        self.of: dict = {}
         self.letters = self.room = letters
 
     def learn(self, pieces, values) -> None:
         for piece, value in zip(pieces, values, strict=True):
-            self[piece] = value
+            self.of[piece] = value
             self.room -= len(piece) + 20
 
     def tidy(self) -> None:
         if self.room < 0:
-            self.clear()
+            self.of.clear()
             self.room = self.letters
