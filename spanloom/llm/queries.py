@@ -10,6 +10,7 @@ from spanloom.llm import near_dedup, secrets, toxicity
 from spanloom.llm.byte_bpe import round_trip
 from spanloom.llm.common import table
 from spanloom.llm.exact_dedup import deduplicate
+from spanloom.llm.html_text import extract
 from spanloom.llm.packing import pack
 from spanloom.llm.personal_data import find
 from spanloom.llm.token_counts import count_tokens
@@ -17,6 +18,10 @@ from spanloom.llm.token_counts import count_tokens
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -52,8 +57,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_token_counts, op3_toxicity, op4_byte_bpe, op5_best_fit_packing, op6_personal_data, op7_exact_dedup,
-    op8_near_dedup, op9_secrets)}
+    op1_html_text, op2_token_counts, op3_toxicity, op4_byte_bpe, op5_best_fit_packing,
+    op6_personal_data, op7_exact_dedup, op8_near_dedup, op9_secrets)}
 
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": """
