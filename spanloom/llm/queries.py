@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import near_dedup, secrets, toxicity
+from spanloom.llm import near_dedup, secret_scan, toxicity
 from spanloom.llm.byte_bpe import round_trip
 from spanloom.llm.common import table
 from spanloom.llm.exact_dedup import deduplicate
 from spanloom.llm.html_text import extract
+from spanloom.llm.neighbours import nearest
 from spanloom.llm.packing import pack
 from spanloom.llm.personal_data import find
 from spanloom.llm.token_counts import count_tokens
@@ -53,12 +54,17 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return secrets.scan(docs, secrets.learn(docs))
+    return secret_scan.scan(docs, secret_scan.learn(docs))
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_html_text, op2_token_counts, op3_toxicity, op4_byte_bpe, op5_best_fit_packing,
-    op6_personal_data, op7_exact_dedup, op8_near_dedup, op9_secrets)}
+    op6_personal_data, op7_exact_dedup, op8_near_dedup, op9_secrets,
+    op10_nearest_neighbours)}
 
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": """
