@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import exact_dedup, near_dedup, secrets, toxicity
+from spanloom.llm import exact_dedup, near_dedup, secret_scan, toxicity
 from spanloom.llm.common import stored, table
 from spanloom.llm.packing import pack
 
@@ -30,7 +30,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redact(docs, secrets.learn(docs))
+    return secret_scan.redact(docs, secret_scan.learn(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
