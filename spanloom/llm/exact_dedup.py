@@ -7,8 +7,8 @@ digest with many copies is one row; the filters screen those rows, and only what
 they let through is joined with the snapshot and compared byte by byte.
 
 Defined results: null text counts as empty, so null and empty texts are one group;
-ids are expected to be unique, repeated ids count as further copies; an empty table
-gives no rows; other columns, whatever their names, are not read.
+rows of one id stay or go together, and count one by one in the size of a group; an
+empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -200,11 +200,11 @@ def deduplicate(docs: DataFrame, batches: int = 2, bucket_keys: int = BUCKET_KEY
     # Written, so that the join below sends both sides anew and hot groups can be split.
     groups = stored(members.select("digest", "batch", "home").join(whole, ["digest", "home"]), "groups")
     return rows.join(groups, ["digest", "batch"]).select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"),
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     stay = deduplicate(docs).where("kept").select(F.col("doc_id").alias("_stay"))
-    return docs.join(stay, docs["doc_id"] == F.col("_stay"), "left_semi")
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")

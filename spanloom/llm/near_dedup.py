@@ -199,10 +199,10 @@ def classes(docs: DataFrame) -> DataFrame:
     homes = stored(nodes.join(labels.withColumnRenamed("id", "node"), "node", "left").select(
         "same", F.coalesce("label", "node").alias("class_id")), "homes")
     return read.select("doc_id", "same").join(homes, "same").select(
-        "doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+        "doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, one of each class, with all their columns."""
     stay = classes(docs).where("kept").select(F.col("doc_id").alias("_stay"))
-    return docs.join(stay, docs["doc_id"] == F.col("_stay"), "left_semi")
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
