@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from spanloom.vocab import STEM_SUFFIXES
-
-_EDGE = "_.,;:!?"
-# The token splitter also strips quotes.
-_TOKEN_EDGE = _EDGE + "'\""
+from spanloom.vocab import LABEL_DROPPED, LABEL_EDGE, STEM_SUFFIXES, TOKEN_BREAKS, TOKEN_EDGE
 
 
 def clean_label(text: Column) -> Column:
     """Keep letters, digits, ``_`` and blanks; lower-case; join words with ``_``."""
-    kept = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^a-zA-Z0-9_ ]+", " "))
+    kept = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), LABEL_DROPPED, " "))
     return F.replace(F.trim(F.regexp_replace(kept, " +", " ")), F.lit(" "), F.lit("_"))
 
 
@@ -27,14 +23,14 @@ def stem(word: Column) -> Column:
     The suffixes are tried in order; a plain ``s`` precedes every other one that
     ends in s, so the shortest match, which the greedy prefix takes, is the first.
     """
-    base = F.btrim(F.lower(word), F.lit(_EDGE))
+    base = F.btrim(F.lower(word), F.lit(LABEL_EDGE))
     return F.regexp_replace(base, "(?s)^(.{3,})(?:" + "|".join(STEM_SUFFIXES) + ")$", "$1")
 
 
 def label_tokens(cleaned: Column) -> Column:
     """Words of at least two characters from a cleaned label."""
-    parts = F.split(cleaned, "[_ ,;:\\-]+")
-    trimmed = F.transform(parts, lambda t: F.btrim(t, F.lit(_TOKEN_EDGE)))
+    parts = F.split(cleaned, TOKEN_BREAKS)
+    trimmed = F.transform(parts, lambda t: F.btrim(t, F.lit(TOKEN_EDGE)))
     return F.filter(trimmed, lambda t: F.length(t) >= 2)
 
 

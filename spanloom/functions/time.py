@@ -54,5 +54,7 @@ def frame_rate(*rates: Column, default: int = 24) -> Column:
 
 
 def unbounded(text: Column) -> Column:
-    """Threshold text to a number; the infinity tokens become NULL."""
-    return F.when(~F.trim(text).isin("inf", "∞"), F.trim(text).try_cast("int"))
+    """Threshold text to a number; the infinity tokens become NULL, anything else that is no whole number fails."""
+    number = F.trim(text).try_cast("int")
+    return F.when(~F.trim(text).isin("inf", "∞"), F.coalesce(number, F.raise_error(
+        F.concat(F.lit("not a whole number: "), text)).cast("int")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from collections.abc import Iterator
 
@@ -26,6 +27,14 @@ def match_new(cls: str, blocks: set[int], free: dict[int, tuple[str, set[int]]])
     return fallback
 
 
+def whole_number(raw: str) -> int | None:
+    """An id's number; None for other texts and for what the id column cannot hold."""
+    if not re.fullmatch(r"\s*[+-]?[0-9]{1,18}\s*", raw):
+        return None
+    value = int(raw)
+    return value if -(2**31) <= value < 2**31 else None
+
+
 def resolve_frame(objects: list[tuple[int, str, str, list[int]]],
                   context: list[tuple[int, str, list[int]]]) -> list[tuple[int, int | None]]:
     """(ordinal, id) for the kept objects of one frame; id None asks for a fresh one.
@@ -41,10 +50,11 @@ def resolve_frame(objects: list[tuple[int, str, str, list[int]]],
             if raw in taken:
                 continue
             taken.add(raw)
-            if not raw.strip().lstrip("+-").isdigit():
+            given = whole_number(raw)
+            if given is None:
                 continue
-            free.pop(int(raw), None)
-            out.append((ordinal, int(raw)))
+            free.pop(given, None)
+            out.append((ordinal, given))
             continue
         found = match_new(cls, set(blocks), free)
         if found is not None:
@@ -169,7 +179,7 @@ def track(objects: DataFrame, rate: int, n: int = 3, cap: int = 30) -> DataFrame
         if held:
             yield pd.DataFrame(flush(), columns=["analysis_id", "frame", "ordinal", "class_id", "fresh"])
 
-    ordered = objects.select("analysis_id", "frame", "ordinal", "raw_id",
+    ordered = objects.where("analysis_id IS NOT NULL AND frame IS NOT NULL").select("analysis_id", "frame", "ordinal", "raw_id",
                              F.col("class").alias("cls"), "blocks").repartition("analysis_id")
     return ordered.sortWithinPartitions("analysis_id", "frame", "ordinal").mapInPandas(
         scan, TRACKED.format(key=key))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 # Cells (of gap + 1 frames) per chunk; bounds the rows any one task sorts for a key.
 CELLS_PER_CHUNK = 1 << 14
 _WINDOW_BLOCK = 4096
 
 
-def merge_close(rows: DataFrame, keys: Sequence[str], start: str, end: str, gap: int,
+def merge_close(rows: DataFrame, keys: Sequence[str], start: str, end: str, gap: int | str,
                 maxima: Sequence[str] = (), cells_per_chunk: int | None = CELLS_PER_CHUNK) -> DataFrame:
     """Merge a row into its predecessors when ``start <= their largest end + gap``.
 
@@ -24,12 +24,20 @@ def merge_close(rows: DataFrame, keys: Sequence[str], start: str, end: str, gap:
        rows each, and one summary row per chunk says what reaches into the next.
     3. Pieces of an interval that crosses chunks are joined by one aggregate.
 
-    ``cells_per_chunk=None`` scans each key whole, which saves two shuffles when
+    ``gap`` may name a column that is constant within a key, such as a recording's
+    own gap; it becomes one of the keys.  ``cells_per_chunk=None`` scans each key whole, which saves two shuffles when
     every key is known to be short.
     """
-    if gap < 0:
+    if isinstance(gap, str):
+        keys, gap = list(dict.fromkeys([*keys, gap])), F.col(gap)
+    elif gap < 0:
         raise ValueError("gap must not be negative")
-    cell = F.floor(F.col(start) / F.lit(gap + 1)).cast("long")
+    width = gap if isinstance(gap, Column) else F.lit(gap)
+    # Whole numbers of one cell lie at most ``gap`` apart; real ones need a cell that narrow, or their own.
+    if isinstance(rows.schema[start].dataType, T.IntegralType):
+        cell = F.floor(F.col(start) / F.lit(width + 1)).cast("long")
+    else:
+        cell = F.when(width > 0, F.floor(F.col(start) / F.nullif(width, F.lit(0)))).otherwise(F.col(start)).cast("double")
     folded = rows.groupBy(*keys, cell.alias("__cell")).agg(
         F.min(start).alias("__s"), F.max(end).alias("__e"), *[F.max(m).alias(m) for m in maxima],
     )
@@ -65,7 +73,7 @@ def merge_close(rows: DataFrame, keys: Sequence[str], start: str, end: str, gap:
         F.max("__e").alias(end), *[F.max(m).alias(m) for m in maxima])
 
 
-def _pieces(folded: DataFrame, keys: Sequence[str], gap: int, maxima: Sequence[str]) -> DataFrame:
+def _pieces(folded: DataFrame, keys: Sequence[str], gap: int | Column, maxima: Sequence[str]) -> DataFrame:
     """Merged rows per key by one ordered scan: ``__piece`` (start) and ``__e`` (end)."""
     inside = Window.partitionBy(*keys).orderBy("__s")
     reach = F.max("__e").over(inside.rowsBetween(Window.unboundedPreceding, -1))
@@ -82,20 +90,30 @@ def participant_sets(relations: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("class_id")).alias("participants"))
 
 
-def frames_to_intervals(observed: DataFrame, sampling_rate: int,
+def frames_to_intervals(observed: DataFrame, sampling_rate: int | str,
                         keys: Sequence[str] = ("analysis_id", "relation_type", "participants"),
                         **options) -> DataFrame:
-    """Collapse observed frames; a gap over two sampling steps starts a new interval."""
-    points = observed.select(*keys, F.col("frame").alias("start_frame"),
-                             F.col("frame").alias("end_frame"))
+    """Collapse observed frames; a gap over two sampling steps starts a new interval.
+
+    ``sampling_rate`` may name a column: every recording then has its own.
+    """
+    points = [F.col("frame").alias("start_frame"), F.col("frame").alias("end_frame")]
+    if isinstance(sampling_rate, str):
+        timed = observed.select(*keys, *points, (2 * F.col(sampling_rate)).alias("__gap"))
+        return merge_close(timed, keys, "start_frame", "end_frame", "__gap", **options).drop("__gap")
+    points = observed.select(*keys, *points)
     return merge_close(points, keys, "start_frame", "end_frame", 2 * sampling_rate, **options)
 
 
-def coalesce_audio(predictions: DataFrame, hop_frames: int,
+def coalesce_audio(predictions: DataFrame, hop_frames: int | str,
                    keys: Sequence[str] = ("analysis_id", "audio_class"), **options) -> DataFrame:
-    """Merge classified windows of one class, keeping the best confidence."""
-    return merge_close(predictions, keys, "start_frame", "end_frame", hop_frames,
-                       maxima=["confidence"], **options)
+    """Merge classified windows of one class, keeping the best confidence.
+
+    ``hop_frames`` may name a column: every recording then has its own.
+    """
+    merged = merge_close(predictions, keys, "start_frame", "end_frame", hop_frames,
+                         maxima=["confidence"], **options)
+    return merged.select(*keys, "start_frame", "end_frame", "confidence")
 
 
 def gap_to_previous(rows: DataFrame, keys: Sequence[str], order: str, out: str) -> DataFrame:

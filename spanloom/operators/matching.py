@@ -84,20 +84,24 @@ def flag_detected(expected: DataFrame, detections: DataFrame, keys: Sequence[str
         "detected", F.coalesce("detected", F.lit(False)))
 
 
-def negative_pairs(scenes: DataFrame, expected: DataFrame, events: Sequence[str]) -> DataFrame:
+def negative_pairs(scenes: DataFrame, expected: DataFrame, events: Sequence[str],
+                   keys: Sequence[str] = ("scene",)) -> DataFrame:
     """Every (scene, event) that is not expected; the event names are a short literal list."""
-    every = scenes.select("scene").distinct().withColumn(
+    every = scenes.select(*keys).distinct().withColumn(
         "event", F.explode(F.array(*[F.lit(e) for e in events])))
-    return every.join(expected.select("scene", "event").distinct(), ["scene", "event"], "left_anti")
+    return every.join(expected.select(*keys, "event").distinct(), [*keys, "event"], "left_anti")
 
 
 def event_outcomes(scenes: DataFrame, expected: DataFrame, detections: DataFrame,
-                   events: Sequence[str]) -> DataFrame:
-    """(scene, event, detected, result) with TP/FN for expected and FP for other pairs."""
-    hits = flag_detected(expected.select("scene", "event").distinct(), detections, ["scene", "event"])
+                   events: Sequence[str], keys: Sequence[str] = ("scene",)) -> DataFrame:
+    """(scene, event, detected, result) with TP/FN for expected and FP for other pairs.
+
+    ``keys`` may hold more than the scene, such as a condition or a configuration.
+    """
+    hits = flag_detected(expected.select(*keys, "event").distinct(), detections, [*keys, "event"])
     positive = hits.withColumn("result", F.when(F.col("detected"), "TP").otherwise("FN"))
-    negative = flag_detected(negative_pairs(scenes, expected, events), detections,
-                             ["scene", "event"]).where("detected")
+    negative = flag_detected(negative_pairs(scenes, expected, events, keys), detections,
+                             [*keys, "event"]).where("detected")
     return positive.unionByName(negative.withColumn("result", F.lit("FP")))
 
 

@@ -31,13 +31,35 @@ def intersection(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.intersect(b)
 
 
+def aligned(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both operands with their columns matched by position and the shorter one padded with NULL.
+
+    Names are the left's, then the right's own; one that the left has already gets a number.
+    """
+    names = list(left.columns)
+    for c in right.columns[len(names):]:
+        names.append(c if c not in names else f"{c}_{len(names) + 1}")
+
+    def widen(df: DataFrame, other: DataFrame) -> DataFrame:
+        missing = other.schema.fields[len(df.columns):]
+        return df.select("*", *[F.lit(None).cast(f.dataType).alias(f"__p{k}") for k, f in enumerate(missing)]).toDF(*names)
+
+    return widen(left, right), widen(right, left)
+
+
 def positional_union(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Columns matched by position under the left names, the right padded with NULL."""
-    short = len(left.columns) - len(right.columns)
-    if short < 0:
-        raise ValueError("the right operand has more columns than the left")
-    fill = [F.lit(None).cast(left.schema[c].dataType) for c in left.columns[len(right.columns):]]
-    return left.union(right.select(*right.columns, *fill)).distinct()
+    a, b = aligned(left, right)
+    return a.union(b).distinct()
+
+
+def positional_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    a, b = aligned(left, right)
+    return a.subtract(b)
+
+
+def positional_intersection(left: DataFrame, right: DataFrame) -> DataFrame:
+    a, b = aligned(left, right)
+    return a.intersect(b)
 
 
 def multimodal_union(visual: DataFrame, audio: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanloom.operators.range_join import (
@@ -52,6 +53,8 @@ class Temporal:
     eta: str | Column = "<="
     rho: int | float | Column = 0
     bucket_delta: int | float | None = None
+    # Set by the join for rows whose threshold is known to lie within it.
+    banded_delta: int | float | None = None
 
     def __post_init__(self) -> None:
         if self.op not in OPERATORS:
@@ -109,7 +112,8 @@ class Temporal:
             return None
         opening = self.zeta in _BOUNDED_BELOW if isinstance(self.zeta, str) else False
         closing = self.eta in _BOUNDED_BELOW if isinstance(self.eta, str) else False
-        delta = self.bucket_delta if isinstance(self.delta, Column) else self.delta
+        bound = self.bucket_delta if self.banded_delta is None else self.banded_delta
+        delta = bound if isinstance(self.delta, Column) else self.delta
         epsilon = None if isinstance(self.epsilon, Column) else self.epsilon
         rho = self.rho
         name = self.forward().op
@@ -174,6 +178,9 @@ def temporal_join(left: DataFrame, right: DataFrame, spec: Temporal, *,
         return F.col(bounds[side][0 if which == "start" else 1])
 
     band = spec.band() if strategy == "auto" else None
+    if band and isinstance(spec.delta, Column) and "start" in band[:2] and spec.bucket_delta is not None:
+        return _by_bound(left, right, spec, how, {
+            "on": on, "left_bounds": left_bounds, "right_bounds": right_bounds, "where": where, "salt": salt})
     if band:
         r_which, s_which, low, high = band
         if spec.reversed:
@@ -201,6 +208,28 @@ def temporal_join(left: DataFrame, right: DataFrame, spec: Temporal, *,
     return join_rows(left, right, on, match, how)
 
 
+def _by_bound(left: DataFrame, right: DataFrame, spec: Temporal, how: str, rest: dict) -> DataFrame:
+    """A threshold that is a column: rows within ``bucket_delta`` join by buckets, the others (unbounded, or
+    further than that) on the equalities, so the bound decides no match."""
+    def holds(df: DataFrame) -> bool:
+        try:
+            df.select(spec.delta).schema
+        except AnalysisException:
+            return False
+        return True
+
+    near = F.coalesce(spec.delta <= F.lit(spec.bucket_delta), F.lit(False))
+    bounded = replace(spec, delta=F.least(spec.delta, F.lit(spec.bucket_delta)), bucket_delta=None)
+    if holds(left):
+        parts = [(left.where(near), right), (left.where(~near), right)]
+    elif how == "inner" and holds(right):
+        parts = [(left, right.where(near)), (left, right.where(~near))]
+    else:
+        return temporal_join(left, right, spec, how=how, strategy="recording", **rest)
+    close = temporal_join(*parts[0], replace(bounded, banded_delta=spec.bucket_delta), how=how, **rest)
+    return close.unionByName(temporal_join(*parts[1], spec, how=how, strategy="recording", **rest))
+
+
 def before_exists(left: DataFrame, right: DataFrame, *, on: Sequence[tuple[str, str]],
                   left_end: str, right_start: str, rho: int | float = 0,
                   strict: bool = False) -> DataFrame:

@@ -63,6 +63,29 @@ def _predictions(v: Views):
                           F.col("ef").alias("end_frame"), "confidence")
 
 
+@registry.query(with_views("frame_rel") + ", " + collapse_sql(
+    "frame_rel", "analysis_id, relation_type, class_id", "2 * (analysis_id % 3 + 1) * 8") + " SELECT * FROM intervals")
+def frames_to_intervals_own_rates(v: Views):
+    """Recordings of three sampling rates in one job."""
+    rows = v.frame_rel.withColumn("rate", (F.col("analysis_id") % 3 + 1) * 8)
+    return islands.frames_to_intervals(rows, "rate", ("analysis_id", "relation_type", "class_id"))
+
+
+@registry.query(with_views("api") + ", " + coalesce_sql("api", "analysis_id, audio_class", "(analysis_id % 3) * 30"))
+def coalesce_audio_own_hops(v: Views):
+    """Recordings of three hops, among them none, in one job."""
+    return islands.coalesce_audio(_predictions(v).withColumn("hop", (F.col("analysis_id") % 3) * 30), "hop")
+
+
+@registry.query(with_views("iv") + """, c AS (SELECT analysis_id, pred, sf / 4.0 AS sf, ef / 4.0 AS ef, 0.0 AS confidence FROM iv),
+    x AS (WITH """ + coalesce_sql("c", "analysis_id, pred", 1)
+                + ") SELECT analysis_id, pred, start_frame AS sf, end_frame AS ef FROM x")
+def coalesce_real_times(v: Views):
+    """Starts and ends in seconds, so real numbers."""
+    rows = v.iv.select("analysis_id", "pred", (F.col("sf") / 4).alias("sf"), (F.col("ef") / 4).alias("ef"))
+    return islands.merge_close(rows, ["analysis_id", "pred"], "sf", "ef", 1)
+
+
 @registry.query(with_views("api") + ", " + coalesce_sql("api", "analysis_id, audio_class", 60))
 def coalesce_audio(v: Views):
     return islands.coalesce_audio(_predictions(v), 60)

@@ -312,6 +312,22 @@ def union_positional(v: Views):
     return setops.positional_union(*_sides(v))
 
 
+@registry.query(with_views("iv") + """
+    SELECT analysis_id, sf, NULL AS sf2 FROM iv WHERE pred = 'R' EXCEPT
+    SELECT analysis_id, arg1, sf FROM iv WHERE pred = 'A'""")
+def difference_positional(v: Views):
+    """The right side is the wider one."""
+    wide, slim = _sides(v)
+    return setops.positional_difference(slim, wide).toDF("analysis_id", "sf", "sf2")
+
+
+@registry.query(with_views("iv") + """
+    SELECT analysis_id, sf FROM iv WHERE pred = 'A' INTERSECT SELECT analysis_id, sf FROM iv WHERE pred = 'R'""")
+def intersection_positional(v: Views):
+    a, r = (v.iv.where(F.col("pred") == p).select("analysis_id", F.col("sf").alias(n)) for p, n in (("A", "sf"), ("R", "x")))
+    return setops.positional_intersection(a, r)
+
+
 @registry.query(with_views("vpi", "api") + """
     SELECT analysis_id, sf, ef, 'visual' AS modality FROM vpi WHERE relation_type = 'vehicle_collision'
       AND ef - sf >= 100

@@ -195,6 +195,19 @@ def bef_thresholds_per_recording(v: Views):
         "r_analysis_id", "r_arg2", "r_sf", "r_ef", "s_arg2", "s_sf", "delta")
 
 
+@registry.query(with_views("iv") + """
+    SELECT r.analysis_id AS r_analysis_id, r.arg2 AS r_arg2, r.ef AS r_ef, s.arg2 AS s_arg2, s.sf AS s_sf
+    FROM iv r JOIN part p ON r.analysis_id = p.p_partkey JOIN iv s ON r.analysis_id = s.analysis_id
+    WHERE r.pred = 'A' AND s.pred = 'R' AND r.ef <= s.sf AND (p.p_size % 5 = 0 OR s.sf - r.ef <= p.p_size)""")
+def bef_thresholds_partly_unbounded(v: Views):
+    """Some recordings have no threshold, some one beyond the buckets' bound; both keep all their pairs."""
+    limits = v.table("part").select(
+        F.col("p_partkey").alias("p_id"), F.when(F.col("p_size") % 5 != 0, F.col("p_size")).alias("delta"))
+    left = v.side("A", "r_").join(limits, F.col("r_analysis_id") == F.col("p_id"))
+    return temporal_join(left, v.side("R", "s_"), Temporal("Bef", delta=F.col("delta"), bucket_delta=20), on=ON,
+                         left_bounds=R, right_bounds=S).select("r_analysis_id", "r_arg2", "r_ef", "s_arg2", "s_sf")
+
+
 @registry.query(with_views("iv") + """
     SELECT d.delta, count(*) AS n_pairs FROM iv r JOIN iv s ON r.analysis_id = s.analysis_id
     JOIN (SELECT unnest([5, 10, 20, 40]) AS delta) d ON true

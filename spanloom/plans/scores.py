@@ -8,10 +8,11 @@ from spanloom.functions.time import overlap_length
 from spanloom.operators import matching, scoring
 from spanloom.operators.temporal import Temporal, temporal_join
 from spanloom.plans.detection import ALL_SQL, FPS
-from spanloom.plans.events import Thresholds, detect_all
+from spanloom.plans.events import CONDITIONS, Thresholds, detect_all
 from spanloom.plans.joins import ON, R, S
 from spanloom.plans.registry import Registry
-from spanloom.plans.views import RELATIONS, Views, with_views
+from spanloom.plans.views import RELATIONS, Views, by_remainder, with_views
+from spanloom.vocab import EVENTS
 
 registry = Registry()
 LANGS = ("de", "en", "es", "fr")
@@ -169,6 +170,32 @@ def event_metrics(v: Views):
     return scoring.score(matching.event_outcomes(lab, expected, detections, LANGS), "event")
 
 
+# -- from intervals to metrics in one job ------------------------------------------
+
+_DETECTED = "WITH det AS (" + ALL_SQL + f"""),
+    scenes AS (SELECT p_partkey AS scene, condition FROM part, (SELECT unnest(['A', 'B', 'C']) AS condition)),
+    expected AS (SELECT p_partkey AS scene, condition, {list(EVENTS)}[CAST(p_size % 6 + 1 AS INT)] AS event
+      FROM part, (SELECT unnest(['A', 'B', 'C']) AS condition)),
+    found AS (SELECT DISTINCT analysis_id AS scene, condition, event_id AS event FROM det),
+    outcomes AS (SELECT coalesce(x.condition, d.condition) AS condition, coalesce(x.event, d.event) AS event,
+        CASE WHEN x.scene IS NULL THEN 'FP' WHEN d.scene IS NULL THEN 'FN' ELSE 'TP' END AS result
+      FROM (SELECT DISTINCT * FROM expected) x FULL JOIN (SELECT f.* FROM found f WHERE f.scene IN
+        (SELECT scene FROM scenes)) d ON x.scene = d.scene AND x.condition = d.condition AND x.event = d.event)"""
+
+
+@registry.query(_DETECTED + ", " + metrics_sql("outcomes", "event", "condition") + " SELECT * FROM metrics")
+def detect_and_score(v: Views):
+    """Every event of every recording under every condition, held against what each recording should show."""
+    under = F.explode(F.array(*[F.lit(c) for c in CONDITIONS])).alias("condition")
+    parts = v.table("part")
+    scenes = parts.select(F.col("p_partkey").alias("scene"), under)
+    expected = parts.select(F.col("p_partkey").alias("scene"), by_remainder(F.col("p_size"), EVENTS).alias("event"), under)
+    found = detect_all(v.visual, v.audio, Thresholds(fps=FPS)).select(
+        F.col("analysis_id").alias("scene"), F.col("event_id").alias("event"), "condition")
+    outcomes = matching.event_outcomes(scenes, expected, found, EVENTS, ("scene", "condition"))
+    return scoring.score(outcomes, "event", ["condition"])
+
+
 @registry.query(with_views("vpi") + f""",
     obs AS (SELECT DISTINCT analysis_id AS scene, relation_type AS relation FROM vpi WHERE ef - sf >= 100),
     truth AS (SELECT DISTINCT analysis_id AS scene, relation_type AS relation FROM vpi WHERE ef - sf <= 120)

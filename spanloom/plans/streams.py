@@ -15,6 +15,14 @@ from spanloom.streaming.run import drain
 registry = Registry()
 
 
+# Recordings begin a day after another, and rows of one may come an hour late.
+FPS, LATENESS = 25, "1 hour"
+
+
+def started():
+    return F.timestamp_seconds(F.col("analysis_id").cast("long") * 86400)
+
+
 class StreamViews(Views):
     """The same views over streamed files."""
 
@@ -31,7 +39,7 @@ def stream_frames_to_intervals(v: Views):
         "analysis_id", F.col("event_type").alias("relation_type"), F.col("user_id").alias("class_id"),
         "frame")
     return drain(v.spark, stream_intervals(
-        seen, 24, ["analysis_id", "relation_type", "class_id"]), "complete")
+        seen, 24, ["analysis_id", "relation_type", "class_id"], started=started(), fps=FPS, lateness=LATENESS), "complete")
 
 
 @registry.query(with_views("api") + ", " + coalesce_sql("api", "analysis_id, audio_class", 60))
@@ -39,7 +47,7 @@ def stream_coalesce_windows(v: Views):
     rows = StreamViews(v.spark, v.sf_dir).audio.select(
         "analysis_id", "audio_class", F.col("sf").alias("start_frame"), F.col("ef").alias("end_frame"),
         "confidence")
-    return drain(v.spark, stream_coalesce_audio(rows, 60), "complete")
+    return drain(v.spark, stream_coalesce_audio(rows, 60, started=started(), fps=FPS, lateness=LATENESS), "complete")
 
 
 @registry.query(with_views("iv") + f"""
@@ -51,7 +59,8 @@ def stream_bounded_before(v: Views):
         rows = StreamViews(v.spark, v.sf_dir).iv.where(F.col("pred") == pred)
         return rows.select("analysis_id", *[F.col(c).alias(prefix + c) for c in ("arg2", "sf", "ef")])
 
-    return drain(v.spark, stream_before(side("A", "r_"), side("R", "s_"), 30, rho=1))
+    return drain(v.spark, stream_before(side("A", "r_"), side("R", "s_"), 30, rho=1, left_started=started(),
+                                        right_started=started(), fps=FPS, lateness=LATENESS))
 
 
 @registry.query()

@@ -157,7 +157,8 @@ SQL = {
     "iv": f"""SELECT l_partkey AS analysis_id, l_returnflag AS pred, l_suppkey AS arg1,
         l_orderkey AS arg2, CAST({_DAY} AS BIGINT) AS sf,
         CAST({_DAY} AS BIGINT) + CAST(l_quantity AS BIGINT) AS ef FROM lineitem""",
-    "vpi": f"""SELECT row_number() OVER () AS relation_id, l_partkey AS analysis_id,
+    "vpi": f"""SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity)
+        AS relation_id, l_partkey AS analysis_id,
         {sql_list(RELATIONS)}[CAST(l_orderkey % 8 + 1 AS INT)] AS relation_type,
         CAST({_DAY} AS BIGINT) * 4 AS sf,
         CAST({_DAY} AS BIGINT) * 4 + CAST(l_quantity AS BIGINT) * 4 AS ef,
@@ -197,4 +198,6 @@ def with_views(*names: str) -> str:
         for n in [*needs.get(name, []), name]:
             if n not in order:
                 order.append(n)
-    return "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in order)
+    # Numbered rows must be numbered once, however often they are read.
+    once = {"vpi", "vp"}
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in once else ''}({SQL[n]})" for n in order)

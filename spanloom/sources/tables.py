@@ -41,10 +41,12 @@ def with_bucket(df: DataFrame, buckets: int = 64) -> DataFrame:
 
 def scan(df: DataFrame, analysis_ids: Sequence, buckets: int = 64) -> DataFrame:
     """Rows of the named recordings; prunes bucket folders where the table has them."""
+    # The hash depends on the type, so the literals take the column's.
+    kind = df.schema["analysis_id"].dataType
     rows = df.where(F.col("analysis_id").isin(*analysis_ids))
     if "analysis_bucket" in df.columns:
         wanted = reduce(lambda a, b: a | b, [
-            F.col("analysis_bucket") == F.pmod(F.xxhash64(F.lit(a)), F.lit(buckets)).cast("int")
+            F.col("analysis_bucket") == F.pmod(F.xxhash64(F.lit(a).cast(kind)), F.lit(buckets)).cast("int")
             for a in analysis_ids])
         rows = rows.where(wanted)
     return rows

@@ -1,8 +1,11 @@
 """Interval construction over streams.
 
-Frames become event time (one second each), so Spark's session windows and
-watermarks hold the state: per key only the sessions still open.  With append
-output an interval appears once the watermark has passed its end.
+A watermark belongs to the whole stream, so event time must be real time: the start of
+the recording plus the frame's time in it (``event_time``).  A recording that begins
+after another has gone on is then not late.  How late rows may come is stated by the
+caller; rows later than that are dropped, as in any stream.  Spark's session windows and
+watermarks hold the state: per key only the sessions still open.  With append output an
+interval appears once the watermark has passed its end.
 """
 
 from __future__ import annotations
@@ -11,57 +14,72 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+MICROS = 1_000_000
 
-def frame_time(frame: Column) -> Column:
-    return F.timestamp_seconds(frame)
 
+def frame_micros(fps: int | Column) -> Column:
+    """Whole microseconds of a frame, so that multiples of it are exact."""
+    rate = fps if isinstance(fps, Column) else F.lit(fps)
+    return F.floor(F.lit(MICROS) / rate).cast("long")
 
-def time_frame(ts: Column) -> Column:
-    return F.unix_seconds(ts)
 
+def event_time(started: Column, frame: Column, fps: int | Column) -> Column:
+    return F.timestamp_micros(F.unix_micros(started.cast("timestamp")) + frame.cast("long") * frame_micros(fps))
 
-def stream_intervals(observed: DataFrame, sampling_rate: int, keys: Sequence[str],
-                     late_frames: int = 0) -> DataFrame:
-    """Collapse streamed frames; a gap over two sampling steps ends an interval."""
-    gap = 2 * sampling_rate
-    timed = observed.withColumn("__ts", frame_time(F.col("frame"))).withWatermark(
-        "__ts", f"{late_frames} seconds")
-    sessions = timed.groupBy(*keys, F.session_window("__ts", f"{gap} seconds").alias("__w")).agg(
+
+def _micros(value: Column) -> Column:
+    return F.concat(value.cast("long").cast("string"), F.lit(" microseconds"))
+
+
+def stream_intervals(observed: DataFrame, sampling_rate: int | Column, keys: Sequence[str], *,
+                     started: Column, fps: int | Column, lateness: str) -> DataFrame:
+    """Collapse streamed frames; a gap over two sampling steps ends an interval.
+
+    ``sampling_rate`` and ``fps`` may be columns, so every recording has its own.
+    """
+    rate = sampling_rate if isinstance(sampling_rate, Column) else F.lit(sampling_rate)
+    timed = observed.withColumn("__ts", event_time(started, F.col("frame"), fps)).withColumn(
+        "__gap", _micros(2 * rate * frame_micros(fps))).withWatermark("__ts", lateness)
+    sessions = timed.groupBy(*keys, F.session_window("__ts", F.col("__gap")).alias("__w")).agg(
         F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"))
     return sessions.select(*keys, "start_frame", "end_frame")
 
 
-def stream_coalesce_audio(predictions: DataFrame, hop_frames: int,
-                          keys: Sequence[str] = ("analysis_id", "audio_class"),
-                          late_frames: int = 0) -> DataFrame:
+def stream_coalesce_audio(predictions: DataFrame, hop_frames: int | Column,
+                          keys: Sequence[str] = ("analysis_id", "audio_class"), *,
+                          started: Column, fps: int | Column, lateness: str) -> DataFrame:
     """Merge streamed windows: each row keeps its session open for its length plus the hop."""
-    if hop_frames < 1:
+    if not isinstance(hop_frames, Column) and hop_frames < 1:
         raise ValueError("a session needs a hop of at least one frame")
-    timed = predictions.withColumn("__ts", frame_time(F.col("start_frame"))).withWatermark(
-        "__ts", f"{late_frames} seconds")
-    open_for = F.concat((F.col("end_frame") - F.col("start_frame") + hop_frames).cast("string"),
-                        F.lit(" seconds"))
-    sessions = timed.groupBy(*keys, F.session_window("__ts", open_for).alias("__w")).agg(
+    hop = hop_frames if isinstance(hop_frames, Column) else F.lit(hop_frames)
+    timed = predictions.withColumn("__ts", event_time(started, F.col("start_frame"), fps)).withColumn(
+        "__gap", _micros((F.col("end_frame") - F.col("start_frame") + hop) * frame_micros(fps))).withWatermark(
+        "__ts", lateness)
+    sessions = timed.groupBy(*keys, F.session_window("__ts", F.col("__gap")).alias("__w")).agg(
         F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"),
         F.max("confidence").alias("confidence"))
     return sessions.select(*keys, "start_frame", "end_frame", "confidence")
 
 
-def stream_before(left: DataFrame, right: DataFrame, delta: int, *, key: str = "analysis_id",
-                  rho: int = 0, strict: bool = False, late_frames: int = 0) -> DataFrame:
+def stream_before(left: DataFrame, right: DataFrame, delta: int, *, left_started: Column, right_started: Column,
+                  fps: int, lateness: str, key: str = "analysis_id", rho: int = 0, strict: bool = False) -> DataFrame:
     """Bounded Bef between two streams.
 
     ``left`` holds key, r_sf, r_ef and ``right`` holds key, s_sf, s_ef (other
     columns ride along).  Because s_sf lies in [r_ef - rho, r_ef + delta + rho],
     the watermarks let Spark drop rows that can no longer match.
     """
-    r = left.withColumn("__r", frame_time(F.col("r_ef"))).withWatermark("__r", f"{late_frames} seconds")
-    s = right.withColumnRenamed(key, "__key").withColumn(
-        "__s", frame_time(F.col("s_sf"))).withWatermark("__s", f"{late_frames} seconds")
+    step = MICROS // fps
+    r = left.withColumn("__r", event_time(left_started, F.col("r_ef"), fps)).withWatermark("__r", lateness)
+    s = right.withColumn("__s", event_time(right_started, F.col("s_sf"), fps)).withColumnRenamed(
+        key, "__key").withWatermark("__s", lateness)
     gap = F.col("s_sf") - F.col("r_ef")
     opening = F.col("r_ef") < F.col("s_sf") + rho if strict else F.col("r_ef") <= F.col("s_sf") + rho
+
+    def span(frames: int) -> Column:
+        return F.expr(f"make_dt_interval(0, 0, 0, {frames * step / MICROS:.6f})")
+
     condition = (
         (F.col(key) == F.col("__key")) & opening & (gap <= delta + rho)
-        & (F.col("__s") >= F.col("__r") - F.expr(f"INTERVAL {rho} SECONDS"))
-        & (F.col("__s") <= F.col("__r") + F.expr(f"INTERVAL {delta + rho} SECONDS")))
+        & (F.col("__s") >= F.col("__r") - span(rho)) & (F.col("__s") <= F.col("__r") + span(delta + rho)))
     return r.join(s, condition).drop("__r", "__s", "__key")

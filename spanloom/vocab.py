@@ -39,6 +39,16 @@ SIGNATURE_CLASSES = {"PersonID": "person", "VehicleID": "vehicle", "ObjectID": "
 # Suffixes the light stemmer tries, in order.
 STEM_SUFFIXES = ("ing", "ed", "ly", "s", "es", "ies", "ness", "tion")
 
+# Patterns of detector responses (a code fence; name(arguments)).
+FENCE_PATTERN = r"(?is)```(?:json)?\s*(.*?)\s*```"
+RELATION_PATTERN = r"(?i)([a-z_]+)\s*\(([^)\n]*)\)"
+
+# What label cleaning drops, where label tokens break, and what is stripped from words and tokens.
+LABEL_DROPPED = "[^a-zA-Z0-9_ ]+"
+TOKEN_BREAKS = "[_ ,;:\\-]+"
+LABEL_EDGE = "_.,;:!?"
+TOKEN_EDGE = "_.,;:!?'\""
+
 STRICTNESS = ("<=", "<", ">=", ">")
 PARAMETER_KINDS = ("delta", "epsilon", "zeta", "eta", "rho")
 MODALITIES = ("visual", "audio")

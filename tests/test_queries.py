@@ -7,10 +7,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry_module
+from spanloom.plans.registry import load_all
 from oracle import duck, duck_rows, spark_rows
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, ORACLES = load_all().queries, load_all().oracles
 ROWS_ONLY = {"identities_from_context", "tracked_identities", "stream_tracked_identities"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not mounted")

@@ -13,6 +13,14 @@ from spanloom.streaming.intervals import stream_before, stream_coalesce_audio, s
 from spanloom.streaming.run import drain
 
 
+def base():
+    return F.lit("2024-01-01").cast("timestamp")
+
+
+def late(frames):
+    return {"started": base(), "fps": 25, "lateness": f"{frames // 25} seconds"}
+
+
 def feed(spark, tmp_path, rows, schema, parts, name):
     """Rows in time order over several files, one file per batch."""
     path = tmp_path / name
@@ -31,7 +39,7 @@ def test_frames_to_intervals(spark, tmp_path, mode):
     schema = "analysis_id int, relation_type string, frame long"
     keys = ["analysis_id", "relation_type"]
     stream = feed(spark, tmp_path, rows, schema, 4, "f")
-    got = sorted(map(tuple, drain(spark, stream_intervals(stream, 10, keys, late_frames=5000), mode).collect()))
+    got = sorted(map(tuple, drain(spark, stream_intervals(stream, 10, keys, **late(5000)), mode).collect()))
     batch = islands.frames_to_intervals(spark.createDataFrame(rows, schema), 10, keys)
     want = sorted(map(tuple, batch.select(*keys, "start_frame", "end_frame").collect()))
     assert got == want if mode == "complete" else set(got) <= set(want)
@@ -40,10 +48,23 @@ def test_frames_to_intervals(spark, tmp_path, mode):
 def test_append_closes_intervals(spark, tmp_path):
     rows = [(1, "x", f) for f in (0, 10, 20, 500, 510, 5000, 9000)]
     stream = feed(spark, tmp_path, rows, "analysis_id int, relation_type string, frame long", 7, "f")
-    got = drain(spark, stream_intervals(stream, 10, ["analysis_id", "relation_type"]))
+    got = drain(spark, stream_intervals(stream, 10, ["analysis_id", "relation_type"], **late(0)))
     assert sorted((r.start_frame, r.end_frame) for r in got.collect())[:2] == [(0, 20), (500, 510)]
 
 
+def test_a_recording_that_begins_later_is_not_late(spark, tmp_path):
+    """Each recording counts its frames from 0; only its start tells that the second one is not old."""
+    first = [("a", "x", f, "2024-01-01 10:00:00") for f in range(0, 2000, 10)]
+    second = [("b", "x", f, "2024-01-01 10:05:00") for f in range(0, 50, 10)]
+    third = [("c", "x", 0, "2024-01-01 11:00:00")] * 200
+    stream = feed(spark, tmp_path, first + second * 40 + third, "analysis_id string, relation_type string, frame long, at string",
+                  3, "f")
+    got = drain(spark, stream_intervals(stream, 10, ["analysis_id", "relation_type"], started=F.col("at").cast("timestamp"),
+                                        fps=25, lateness="0 seconds"))
+    rows = {(r.analysis_id, r.start_frame, r.end_frame) for r in got.collect()}
+    assert {("a", 0, 1990), ("b", 0, 40)} <= rows
+
+
 def test_coalesce_audio(spark, tmp_path):
     rng = random.Random(2)
     rows = sorted(((1, rng.choice("ab"), s, s + rng.choice([0, 5, 60]), rng.random())
@@ -51,11 +72,11 @@ def test_coalesce_audio(spark, tmp_path):
     schema = "analysis_id int, audio_class string, start_frame long, end_frame long, confidence double"
     stream = feed(spark, tmp_path, rows, schema, 3, "a")
     columns = ["analysis_id", "audio_class", "start_frame", "end_frame", "confidence"]
-    got = drain(spark, stream_coalesce_audio(stream, 6, late_frames=5000), "complete")
+    got = drain(spark, stream_coalesce_audio(stream, 6, **late(5000)), "complete")
     batch = islands.coalesce_audio(spark.createDataFrame(rows, schema), 6)
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect()))
     with pytest.raises(ValueError):
-        stream_coalesce_audio(stream, 0)
+        stream_coalesce_audio(stream, 0, **late(0))
 
 
 @pytest.mark.parametrize("rho, strict", [(0, False), (3, True)])
@@ -70,7 +91,7 @@ def test_bounded_before(spark, tmp_path, rho, strict):
     ls, rs = "analysis_id int, r_sf long, r_ef long", "analysis_id int, s_sf long, s_ef long"
     got = drain(spark, stream_before(
         feed(spark, tmp_path, left, ls, 3, "l"), feed(spark, tmp_path, right, rs, 3, "r"), 15, rho=rho,
-        strict=strict, late_frames=2000))
+        strict=strict, left_started=base(), right_started=base(), fps=25, lateness="80 seconds"))
     batch = temporal_join(
         spark.createDataFrame(left, ls), spark.createDataFrame(right, rs).withColumnRenamed("analysis_id", "k"),
         Temporal("Bef", delta=15, rho=rho, zeta="<" if strict else "<="), on=[("analysis_id", "k")],
