@@ -8,7 +8,7 @@ words within a diagonal band decides: linked where the words aligned are at leas
 ``LEAST`` of the longer text.  A class is what links connect.
 
 Texts of the same words are one node from the start.  Candidates are not spelled out as
-all pairs of a bucket: first each member is aligned with its bucket's least id, which
+all pairs of a bucket: first each member is aligned with its bucket's centre, which
 settles buckets of copies however large; then only members whose classes still differ
 are paired, so no link between members of a bucket is lost.
 
@@ -34,9 +34,11 @@ from spanloom.llm.exact_dedup import mixed
 from spanloom.llm.vocabularies import Memory
 
 # Words of a k-mer, k-mers of a sketch, sketches of a text.  Two texts that share 0.8 of their k-mers miss
-# every one of 40 sketches of 5 with a probability below one in a million.
-K, PICKS, SKETCHES = 5, 5, 40
+# every one of 40 sketches of 7 with a probability below one in ten thousand, 0.7 of them of 3 in a hundred.
+K, PICKS, SKETCHES = 5, 7, 40
 LEAST = 0.8
+# Members of other classes that a member of a mixed bucket is aligned with, round by round; None: all that are left.
+PARTNERS = (16, None)
 WORD = re.compile(r"\w+")
 # Hashes held at a time while a long text is sketched.
 CELLS = 2_000_000
@@ -170,31 +172,69 @@ def verified(pairs: DataFrame, read: DataFrame) -> DataFrame:
     return both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long, share double")
 
 
+def central(members: DataFrame) -> DataFrame:
+    """key, id, n_words, centre of members (key, id, n_words, size).
+
+    A bucket's centre is the member whose buckets are largest in sum, which of copies is
+    the one that the others were made from, if it is there; so most members lie near it.
+    """
+    weights = members.groupBy("id").agg(F.sum("size").alias("weight"))
+    weighed = members.join(weights, "id")
+    centres = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("least"))).alias("c"))
+    return members.select("key", "id", "n_words").join(centres.select("key", (-F.col("c.least")).alias("centre")), "key")
+
+
+def across(known: DataFrame, parted: DataFrame, partners: int | None) -> DataFrame:
+    """a, b: members (key, id, n_words, label) of parted buckets (key, size) with others of a lower label, about
+    ``partners`` of them, chosen by a hash, or all; only pairs whose lengths let them be near."""
+    open_ = stored(known.join(parted.select("key", "size"), "key"), "open")
+    lower = open_ if partners is None else open_.where(
+        F.pmod(F.xxhash64("id", "key"), F.col("size")) < partners)
+    a = open_.select("key", F.col("id").alias("a"), F.col("n_words").alias("n_a"), F.col("label").alias("label_a"))
+    b = lower.select("key", F.col("id").alias("b"), F.col("n_words").alias("n_b"), F.col("label").alias("label_b"))
+    return a.join(b, "key").where(
+        f"label_a > label_b and least(n_a, n_b) >= {LEAST} * greatest(n_a, n_b)").select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).dropDuplicates()
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """id, label with further links (a, b): classes that a link connects become one."""
+    def label(end: str) -> DataFrame:
+        return labels.select(F.col("id").alias(end), F.col("label").alias(f"label_{end}"))
+
+    ends = links.select("a", "b").join(label("a"), "a", "left").join(label("b"), "b", "left").select(
+        F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).where("a <> b")
+    joined = components(ends).select(F.col("id").alias("label"), F.col("label").alias("lower"))
+    # Ends that had no class of their own are their own label.
+    everyone = labels.unionByName(joined.select(F.col("label").alias("id"), "label")).groupBy("id").agg(
+        F.min("label").alias("label"))
+    return stored(everyone.join(joined, "label", "left").select("id", F.coalesce("lower", "label").alias("label")), "labels")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), kept (the one that has it) of every row."""
     read = stored(read_words(docs), "words")
     nodes = stored(read.groupBy("same").agg(F.min("doc_id").alias("node")), "nodes")
     keyed = read.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(
         F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "n_words")
-    shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    members = stored(keyed.join(shared.select("key", "least"), "key"), "members")
-    close = members.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).dropDuplicates()
-    tested = stored(verified(close, read), "tested")
-    links = tested.where(F.col("share") >= LEAST)
-    labels = components(links)
-
-    # Buckets that still hold more than one class: their members are paired across classes.
-    known = members.join(labels, "id", "left").select("key", "id", "n_words", F.coalesce("label", "id").alias("label"))
-    parted = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    open_ = stored(known.join(parted.select("key"), "key"), "open")
-    a, b = (open_.toDF("key", *(f"{c}_{s}" for c in ("id", "n", "label"))) for s in "ab")
-    across = a.join(b, "key").where(
-        "label_a > label_b and least(n_a, n_b) >= " + f"{LEAST} * greatest(n_a, n_b)").select(
-        F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).dropDuplicates().join(
-        tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = stored(verified(across, read).where(F.col("share") >= LEAST), "more")
-    if more.limit(1).count():
-        labels = components(links.select("a", "b").unionByName(more.select("a", "b")))
+    shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"),
+                                      F.count(F.lit(1)).alias("size")).where("least < most")
+    members = stored(central(stored(keyed.join(shared.select("key", "size"), "key"), "members")), "members")
+    close = members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).dropDuplicates()
+    tested = stored(verified(close, read).select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "share"), "tested")
+    labels = stored(components(tested.where(F.col("share") >= LEAST)), "labels")
+
+    # Buckets that still hold more than one class: their members are paired across classes, first with a few
+    # each, which settles most, then the rest with all.
+    for partners in PARTNERS:
+        known = members.join(labels, "id", "left").select("key", "id", "n_words", F.coalesce("label", "id").alias("label"))
+        parted = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"),
+                                          F.count(F.lit(1)).alias("size")).where("low < high")
+        pairs = across(known, parted, partners).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        more = stored(verified(pairs, read), "tested")
+        tested = tested.unionByName(more)
+        labels = relabelled(labels, more.where(F.col("share") >= LEAST))
 
     homes = stored(nodes.join(labels.withColumnRenamed("id", "node"), "node", "left").select(
         "same", F.coalesce("label", "node").alias("class_id")), "homes")

@@ -340,7 +340,8 @@ def test_members_of_mixed_buckets_meet(spark, monkeypatch, tmp_path):
     rows = [" ".join(b) for b in base] + [" ".join(b[:-1] + ["zz"]) for b in base]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     keyed = spark.createDataFrame([(i, bytes([i]), len(w), w.astype("<u4").tobytes(), [7]) for i, w in enumerate(
-        near_dedup.word_codes(rows, near_dedup.Memory()))], "doc_id long, same binary, n_words int, words binary, keys array<long>")
+        near_dedup.word_codes(rows, near_dedup.Memory()))],
+        "doc_id long, same binary, n_words int, words binary, keys array<long>")
     monkeypatch.setattr(near_dedup, "read_words", lambda _: keyed)
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()}
     assert got == {i: i % 4 for i in range(8)}
