@@ -1,4 +1,4 @@
-"""Connected components by joins: every node takes the least label around it until none changes."""
+"""Connected components by joins: nodes hook to their least neighbour, and what has become one node is contracted."""
 
 from __future__ import annotations
 
@@ -8,20 +8,32 @@ from spanloom.llm.common import checkpointed
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, label (the least id of its component) of every end of a link (a, b)."""
-    both = checkpointed(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                        .where("a <> b").dropDuplicates())
-    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("b")).select(
-        F.col("a").alias("id"), F.least("a", "b").alias("label")))
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near.withColumnRenamed("a", "id"), "id", "left").select(
-            "id", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        # A label is a node too; its own label is at least as low.
-        step = checkpointed(lower.join(
-            labels.select(F.col("id").alias("label"), F.col("label").alias("further")), "label", "left").select(
-            "id", "was", F.least("label", F.coalesce("further", "label")).alias("label")))
-        changed = step.where("label <> was").limit(1).count()
-        labels = step.select("id", "label")
-        if not changed:
-            return labels
+    """id, label (the least id of its component) of every end of a link (a, b).
+
+    In a round every node takes the least node around it, if lower, and then, doubling the
+    way each time, what that one took, to the end.  Links between nodes of one label are
+    gone then and the others join labels, so their number falls quickly: a star is done in
+    one round, and any component at least halves.
+    """
+    edges = checkpointed(links.where("a <> b").select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).dropDuplicates())
+    found = None
+    while found is None or edges.limit(1).count():
+        ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = ends.groupBy("a").agg(F.min("b").alias("b")).select(
+            F.col("a").alias("label"), F.least("a", "b").alias("lower"))
+        step, changed = checkpointed(step), True
+        while changed:
+            further = step.select(F.col("label").alias("lower"), F.col("lower").alias("least"))
+            jumped = checkpointed(step.join(further, "lower").select("label", F.col("lower").alias("was"),
+                                                                     F.col("least").alias("lower")))
+            changed = jumped.where("lower <> was").limit(1).count() > 0
+            step = jumped.select("label", "lower")
+        if found is None:
+            found = step.select(F.col("label").alias("id"), F.col("lower").alias("label"))
+        else:
+            found = checkpointed(found.join(step, "label", "left").select("id", F.coalesce("lower", "label").alias("label")))
+        low, high = (step.select(F.col("label").alias(e), F.col("lower").alias(f"{e}_")) for e in "ab")
+        edges = checkpointed(edges.join(low, "a").join(high, "b").where("a_ <> b_").select(
+            F.greatest("a_", "b_").alias("a"), F.least("a_", "b_").alias("b")).dropDuplicates())
+    return found
