@@ -106,8 +106,11 @@ def test_thresholds_are_checked(spark):
                                   ("zeta_visual_a", "zeta", "<")], "name string, key_kind string, value string")
     got = {r.name: (r.number, r.strictness) for r in thresholds.resolve(rows).collect()}
     assert got == {"delta_visual_a": (None, None), "rho_audio_a": (2, None), "zeta_visual_a": (None, "<")}
+    odd = rows.withColumn("value", F.lit("=="))
     with pytest.raises(Exception, match="invalid strictness"):
-        thresholds.resolve(rows.withColumn("value", F.lit("=="))).collect()
+        thresholds.resolve(odd.where("key_kind = 'zeta'")).collect()
+    with pytest.raises(Exception, match="not a whole number"):
+        thresholds.resolve(odd.where("key_kind = 'delta'")).collect()
 
 
 def test_storage_round_trip(spark, tmp_path):
