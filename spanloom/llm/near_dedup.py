@@ -57,7 +57,7 @@ def word_codes(texts: list[str], known: Memory) -> Iterator[np.ndarray]:
 
 
 def labelled_kmers(words: np.ndarray, k: int = K) -> np.ndarray:
-    """Hash of each k-mer with the number of its occurrence."""
+    """Hash of each k-mer; of repeated ones, the second and later carry the number of their occurrence."""
     size = max(1, len(words) - k + 1)
     odd = mixed(np.arange(1, k + 1, dtype=np.uint64), 7) | np.uint64(1)
     h = np.zeros(size, np.uint64)
@@ -72,7 +72,7 @@ def labelled_kmers(words: np.ndarray, k: int = K) -> np.ndarray:
             run = np.arange(size) - np.maximum.accumulate(np.where(same, 0, np.arange(size)))
             occurrence = np.empty(size, np.uint64)
             occurrence[order] = run
-            h = mixed(h + occurrence * odd[0], 2)
+            h = np.where(occurrence > 0, mixed(h + occurrence * odd[0], 2), h)
     return h
 
 

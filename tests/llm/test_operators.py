@@ -331,6 +331,20 @@ def test_near_dedup(spark, nothing, tmp_path):
     assert near_dedup.classes(nothing).collect() == []
 
 
+def test_repeats_leave_other_kmers_alike(spark):
+    """A text and its copy with one passage repeated, so that only one of them holds a k-mer twice."""
+    random.seed(10)
+    words = ["".join(random.choices("abcdefghij", k=6)) for _ in range(3_000)]
+    rows = []
+    for _ in range(8):
+        base = random.sample(words, k=120)
+        rows += [" ".join(base), " ".join(base + base[40:52])]
+    plain, repeated = (near_dedup.sketches(w) for w in near_dedup.word_codes(rows[:2], near_dedup.Memory()))
+    assert len(set(plain.tolist()) & set(repeated.tolist())) >= 5
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()} == {i: i - i % 2 for i in range(16)}
+
+
 def test_members_of_mixed_buckets_meet(spark, monkeypatch, tmp_path):
     """With one sketch of one k-mer, unlike texts share buckets, and copies beside the least id must still be linked."""
     random.seed(8)
