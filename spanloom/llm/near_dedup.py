@@ -3,7 +3,8 @@
 Texts are sequences of words; their k-mers of ``K`` words carry the number of their
 occurrence, so repeated ones differ.  A sketch samples the ``PICKS`` k-mers of least hash
 and keeps them in text order, so it is shared by texts that agree in the same order, which
-follows edit similarity.  Texts that share a sketch are candidates; an alignment of their
+follows edit similarity.  Short texts are sampled by single words, since a change spoils
+most of their k-mers.  Texts that share a sketch are candidates; an alignment of their
 words within a diagonal band decides: linked where the words aligned are at least
 ``LEAST`` of the longer text.  A class is what links connect.
 
@@ -13,9 +14,8 @@ settles buckets of copies however large; then only members whose classes still d
 are paired, so no link between members of a bucket is lost.
 
 Defined results: null counts as empty; texts without words are alike only when identical;
-a text of fewer than ``K`` words is one k-mer; repeated ids fall in one class with whatever
-either text resembles; an empty table gives no rows; columns besides doc_id and text are
-not read.
+repeated ids fall in one class with whatever either text resembles; an empty table gives
+no rows; columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -34,9 +34,13 @@ from spanloom.llm.exact_dedup import mixed
 from spanloom.llm.vocabularies import Memory
 
 # Words of a k-mer, k-mers of a sketch, sketches of a text.  Two texts that share 0.8 of their k-mers miss
-# every one of 40 sketches of 7 with a probability below one in ten thousand, 0.7 of them of 3 in a hundred.
-K, PICKS, SKETCHES = 5, 7, 40
+# every one of 40 sketches of 5 with a probability below one in ten thousand, 0.63 of them (one word in twenty
+# changed) of 2 in a hundred.
+K, PICKS, SKETCHES = 5, 5, 40
 LEAST = 0.8
+# One changed word spoils most k-mers of a short text, so texts of at most so many words are sketched by single words,
+# so many a sketch; texts that may be near one of them are sketched both ways.
+SHORT, SHORT_PICKS = 32, 3
 # Members of other classes that a member of a mixed bucket is aligned with, round by round; None: all that are left.
 PARTNERS = (16, None)
 WORD = re.compile(r"\w+")
@@ -76,14 +80,12 @@ def labelled_kmers(words: np.ndarray, k: int = K) -> np.ndarray:
     return h
 
 
-def sketches(words: np.ndarray, picks: int = PICKS, number: int = SKETCHES) -> np.ndarray:
-    """One 64-bit key for each sketch."""
-    h = labelled_kmers(words)
-    factors = mixed(np.arange(number, dtype=np.uint64), 3) | np.uint64(1)
-    keys = np.empty(number, np.uint64)
+def sampled(h: np.ndarray, picks: int, factors: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each factor, of the ``picks`` hashes that it makes least, in text order."""
+    keys = np.empty(len(factors), np.uint64)
     step = max(1, CELLS // len(h))
     with np.errstate(over="ignore"):
-        for begin in range(0, number, step):
+        for begin in range(0, len(factors), step):
             f = factors[begin : begin + step, None]
             drawn = h[None, :] * f
             if len(h) > picks:
@@ -97,6 +99,17 @@ def sketches(words: np.ndarray, picks: int = PICKS, number: int = SKETCHES) -> n
     return keys
 
 
+def sketches(words: np.ndarray, picks: int = PICKS, number: int = SKETCHES) -> np.ndarray:
+    """64-bit keys: of a short text one for each sketch of its words, of a long one of its k-mers, between them both."""
+    factors = mixed(np.arange(2 * number, dtype=np.uint64), 3) | np.uint64(1)
+    keys = []
+    if len(words) > SHORT:
+        keys.append(sampled(labelled_kmers(words), picks, factors[:number]))
+    if LEAST * len(words) <= SHORT:
+        keys.append(sampled(labelled_kmers(words, 1), SHORT_PICKS, factors[number:]))
+    return np.concatenate(keys)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
     """Share of the longer text's words in the best alignment within the band that ``least`` allows.
 

@@ -345,6 +345,20 @@ def test_repeats_leave_other_kmers_alike(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()} == {i: i - i % 2 for i in range(16)}
 
 
+def test_short_texts_meet():
+    """Texts of 5 to 40 words with one word changed, dropped or added, of 10 or more with one in ten changed as well."""
+    random.seed(11)
+    words = ["".join(random.choices("abcdefghij", k=6)) for _ in range(3_000)]
+    for n in range(5, 41):
+        base = random.sample(words, k=n)
+        copies = [base[:-1] + ["zz"], ["zz"] + base[1:], base[: n // 2] + ["zz"] + base[n // 2 + 1 :], base[:-1], base + ["zz"]]
+        copies += [["zz" if k % 10 == 4 else w for k, w in enumerate(base)]] * (n >= 10)
+        first, *others = near_dedup.word_codes([" ".join(t) for t in [base, *copies]], near_dedup.Memory())
+        for other in others:
+            assert near_dedup.aligned(first.astype("<u4"), other.astype("<u4")) >= 0.8
+            assert set(near_dedup.sketches(first).tolist()) & set(near_dedup.sketches(other).tolist())
+
+
 def test_members_of_mixed_buckets_meet(spark, monkeypatch, tmp_path):
     """With one sketch of one k-mer, unlike texts share buckets, and copies beside the least id must still be linked."""
     random.seed(8)
