@@ -4,9 +4,10 @@ Equal vectors are one node.  The first graph comes from several random partition
 of random projections, then a hash, give blocks of bounded size, and each vector takes
 the best of its blocks.  Then it is improved in rounds: each node joins its neighbours,
 both ways, with their vectors, compares these neighbours of neighbours with each other,
-and tells every one of them which others are nearer than the worst it has.  A query
-starts at its own node and walks greedily: in a round it opens its best unopened nodes
-and looks at all their neighbours.  The best of what it has seen are measured again on
+and tells every one of them which others are nearer than the worst it has, until few lists
+change.  A query starts at its own node and walks greedily: in a round it opens the
+unopened nodes of its beam and looks at all their neighbours, until all queries have opened
+their whole beam.  The best of what it has seen are measured again on
 the original vectors in double precision.
 
 Graph work uses half-precision copies of the unit vectors; groups are bounded by block
@@ -20,6 +21,7 @@ table gives no rows; columns besides vec_id and embedding are not read.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +32,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from spanloom.llm.common import stored
 
 # Neighbours kept by a node, neighbours that lead to it considered beside them, random partitions for the first
-# graph, vectors in a block, rounds, and finds that a node passes on for each neighbour in a round.
-DEGREE, BACK, PARTITIONS, BLOCK, ROUNDS, TELL = 32, 16, 10, 2_048, 2, 8
-# Nodes opened in each step of a search, and finds measured exactly.
-BEAMS, MEASURED = (48, 96), 24
+# graph, vectors in a block, and finds that a node passes on for each neighbour in a round.
+DEGREE, BACK, PARTITIONS, BLOCK, TELL = 32, 16, 10, 2_048, 8
+# Rounds end when one has changed no more than this share of all list entries.
+DELTA = 0.001
+# Best nodes that a search must have opened when it ends, and finds measured exactly.
+BEAM, MEASURED = 96, 24
 EVERY, NEAREST = 50, 5
 
 
@@ -198,21 +202,34 @@ def told(edges: DataFrame, graph: DataFrame, units: DataFrame, degree: int, tell
         F.collect_list("near").alias("near"), F.collect_list("score").alias("score"))
 
 
+def changed_share(before: DataFrame, after: DataFrame) -> float:
+    """Share of the list entries that were not there before."""
+    both = after.select("id", "near").join(before.select("id", F.col("near").alias("old")), "id")
+    new, every = both.agg(F.sum(F.size(F.array_except("near", "old"))), F.sum(F.size("near"))).first()
+    return new / every if every else 0.0
+
+
 def build_graph(units: DataFrame, degree: int = DEGREE, back: int = BACK, partitions: int = PARTITIONS,
-                block: int = BLOCK, rounds: int = ROUNDS, tell: int = TELL) -> DataFrame:
-    """id, near, score of every node."""
+                block: int = BLOCK, rounds: int | None = None, tell: int = TELL, delta: float = DELTA) -> DataFrame:
+    """id, near, score of every node; None rounds: until few entries change, which ends since lists only get better."""
     graph = stored(joined_lists(first_lists(units, units.count(), degree, partitions, block), degree), "graph")
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         finds = told(both_ways(graph, degree, back), graph, units, degree, tell)
-        graph = stored(joined_lists(graph.unionByName(finds), degree), "graph")
+        before, graph = graph, stored(joined_lists(graph.unionByName(finds), degree), "graph")
+        if changed_share(before, graph) <= delta:
+            break
     return graph
 
 
 # -- search ----------------------------------------------------------------------------------------
 
+def unopened(beam: int) -> Column:
+    return F.array_except(F.slice("seen", 1, beam), "done")
+
+
 def opened(states: DataFrame, neighbours: DataFrame, units: DataFrame, beam: int, keep: int) -> DataFrame:
     """One step of every search: q, dim, qv, seen, scores (the best ``keep`` first), done (opened ones)."""
-    ahead = states.select("q", F.explode(F.slice(F.array_except("seen", "done"), 1, beam)).alias("u"))
+    ahead = states.select("q", F.explode(unopened(beam)).alias("u"))
     met = ahead.join(neighbours, "u").select("q", F.explode("around").alias("c")).where("c <> q").distinct()
     found = met.join(units.select(F.col("id").alias("c"), "v"), "c").groupBy("q").agg(
         F.collect_list(F.struct("c", "v")).alias("x"))
@@ -229,7 +246,8 @@ def opened(states: DataFrame, neighbours: DataFrame, units: DataFrame, beam: int
                         new = matrix([y["v"] for y in row["x"]], row["dim"]) @ q
                         for y, s in zip(row["x"], new.tolist(), strict=True):
                             old[y["c"]] = s
-                    before = [c for c in row["seen"] if c not in set(row["done"])][:beam]
+                    done = set(row["done"])
+                    before = [c for c in row["seen"][:beam] if c not in done]
                     order = sorted(old, key=lambda c: (-old[c], c))[:keep]
                     seen_all.append(order)
                     score_all.append([old[c] for c in order])
@@ -243,7 +261,7 @@ def opened(states: DataFrame, neighbours: DataFrame, units: DataFrame, beam: int
         run, "q long, dim int, qv binary, seen array<long>, scores array<float>, done array<long>")
 
 
-def search(queries: DataFrame, graph: DataFrame, units: DataFrame, beams: tuple[int, ...] = BEAMS,
+def search(queries: DataFrame, graph: DataFrame, units: DataFrame, beam: int = BEAM,
            measured: int = MEASURED, back: int = BACK) -> DataFrame:
     """q, c: the best ``measured`` nodes that each query (a node's id) comes upon, itself not among them."""
     neighbours = stored(both_ways(graph, 0, back).groupBy("u").agg(F.collect_list("w").alias("around")), "around")
@@ -251,8 +269,8 @@ def search(queries: DataFrame, graph: DataFrame, units: DataFrame, beams: tuple[
         F.col("id").alias("q"), "dim", F.col("v").alias("qv")), "q").join(
         graph.select(F.col("id").alias("q"), F.col("near").alias("seen"), F.col("score").alias("scores")), "q").select(
         "q", "dim", "qv", "seen", "scores", F.array().cast("array<long>").alias("done"))
-    for beam in beams:
-        states = stored(opened(states, neighbours, units, beam, 4 * max(beams)), "search")
+    while states.where(F.size(unopened(beam)) > 0).limit(1).count():
+        states = stored(opened(states, neighbours, units, beam, 4 * beam), "search")
     return states.select("q", F.explode(F.slice("seen", 1, measured)).alias("c"))
 
 

@@ -458,6 +458,24 @@ def test_neighbours_recall(spark, tmp_path):
     assert [m[1] for m in sorted(got[100])] == [101, 102, 103, 104, 105]
 
 
+def test_rounds_and_searches_go_on_to_their_end(spark):
+    """On a chain of nodes a search opens one more in each step; rounds end where another one changes next to nothing."""
+    angle = [0.0, *(0.1 * (7 - k) for k in range(1, 7))]
+    units = spark.createDataFrame([(i, 2, np.array([np.cos(t), np.sin(t)], "<f2").tobytes()) for i, t in enumerate(angle)],
+                                  "id long, dim int, v binary")
+    chain = spark.createDataFrame([(i, [i + 1], [float(np.cos(angle[i + 1] - angle[i]))]) for i in range(6)],
+                                  "id long, near array<long>, score array<float>")
+    found = neighbours.search(units.select("id").where("id = 0"), chain, units).collect()
+    assert {r["c"] for r in found} == {1, 2, 3, 4, 5, 6}
+    x = np.random.default_rng(12).standard_normal((600, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    units = neighbours.stored(spark.createDataFrame([(i, 16, v.astype("<f2").tobytes()) for i, v in enumerate(x)],
+                                                    "id long, dim int, v binary"), "units")
+    graph = neighbours.build_graph(units, degree=8, back=4, partitions=2, block=16)
+    again = neighbours.told(neighbours.both_ways(graph, 8, 4), graph, units, 8, 8)
+    assert neighbours.changed_share(graph, neighbours.joined_lists(graph.unionByName(again), 8)) <= 0.005
+
+
 def test_few_or_no_vectors(spark, tmp_path):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (50, [0.0, 1.0])], "vec_id long, embedding array<float>")
     rows = sorted(tuple(r) for r in neighbours.nearest(few).collect())
