@@ -10,7 +10,9 @@ beside a short fixed list; a logistic curve over the clauses' weights, fitted on
 same rows, gives the score.
 
 Learning takes rows whose crc32(doc_id as text) mod 4 is not 2, at most ``MOST_TOXIC``
-and ``MOST_CLEAN`` of them, chosen by a hash of their id; equal texts count once.
+and ``MOST_CLEAN`` of them, chosen by a hash of their id; equal texts count once.  Where a bound
+binds, each chosen row stands for as many of its kind as there are, so the curve keeps the
+odds of the whole table.
 
 Defined results: null, empty and wordless texts get the score of texts without any match;
 rows with the same id are scored each on its own; without usable labels the fixed lists
@@ -153,10 +155,21 @@ def held_out(doc_id="doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2
 
 
+def usable(labels: DataFrame) -> DataFrame:
+    """_id, _toxic of the labels that may be learned from, each id once."""
+    return labels.where(F.col("toxic").isin(0, 1) & ~held_out()).select(
+        F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).dropDuplicates(["_id"])
+
+
+def stands_for(labels: DataFrame) -> tuple[float, float]:
+    """How many usable labels a chosen one stands for, clean and toxic."""
+    n = {r["_toxic"]: r["n"] for r in usable(labels).groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return max(1.0, n.get(0, 0) / MOST_CLEAN), max(1.0, n.get(1, 0) / MOST_TOXIC)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text, toxic: a bounded choice of labelled rows, equal texts once."""
-    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).select(
-        F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).dropDuplicates(["_id"])
+    known = usable(labels)
     by_hash = F.xxhash64(F.col("_id"), F.lit("toxicity"))
     chosen = known.where("_toxic = 1").orderBy(by_hash).limit(MOST_TOXIC).unionByName(
         known.where("_toxic = 0").orderBy(by_hash).limit(MOST_CLEAN))
@@ -219,14 +232,14 @@ def learn_lexicon(rows: DataFrame, all_toxic: int, all_clean: int) -> Lexicon:
     return Lexicon(stems, {p[:-1]: w for p, w in weights.items() if p[-1] == "$"})
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression with a constant, a weak pull to zero, by Newton's steps."""
+def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Logistic regression of weighted rows with a constant, a weak pull to zero, by Newton's steps."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         pull = np.diag([1e-3, *[1e-2] * (x.shape[1] - 1)])
-        w += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + pull, x.T @ (y - p) - pull @ w)
+        w += np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + pull, x.T @ (weight * (y - p)) - pull @ w)
     return w
 
 
@@ -266,7 +279,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
                     ["toxic", "any", "most", "sum"])
 
         got = rows.mapInArrow(features, "toxic int, any double, most double, sum double").collect()  # bounded as above
-        curve = tuple(fit_curve(np.array([r[1:] for r in got]), np.array([r[0] for r in got], float)).tolist())
+        toxic = np.array([r[0] for r in got])
+        curve = tuple(fit_curve(np.array([r[1:] for r in got]), toxic.astype(float),
+                                np.array(stands_for(labels))[toxic]).tolist())
     rows.unpersist()
     return Model(lexicon, curve)
 
