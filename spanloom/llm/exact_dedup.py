@@ -159,10 +159,14 @@ def grouped(rows: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of (digest, old_batch, new_id, old_id), those whose texts are the same bytes after lower-casing A-Z."""
+    """Of (digest, old_batch, new_id, old_id), those whose texts are the same bytes after lower-casing A-Z.
+
+    Other texts under the same ids have other digests and are passed over.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("raw"))
     sides = pairs.select("digest", "old_batch", F.explode(F.array("new_id", "old_id")).alias("doc_id"))
-    seen = texts.join(sides, "doc_id").select("digest", "old_batch", F.translate("raw", UPPER, LOWER).alias("norm"))
+    seen = texts.join(sides, "doc_id").select("digest", "old_batch", F.translate("raw", UPPER, LOWER).alias("norm")).where(
+        F.unhex(F.sha2("norm", 256)) == F.col("digest"))
     return seen.groupBy("digest", "old_batch").agg(F.min("norm").alias("a"), F.max("norm").alias("b")) \
         .where("a = b").select("digest", "old_batch")
 
