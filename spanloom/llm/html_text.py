@@ -5,7 +5,8 @@ article.  Every element has the density of its text: characters per tag, less th
 them are links.  The element whose children's densities have the largest sum is the
 core of the article.  The least density on the way from it up to ``body`` is the
 threshold: what stands beside that way and is as dense belongs to it too.  A marked-up
-``article`` (or ``main``) around the core is taken whole.
+``article`` (or ``main``) around the core is taken whole, and of what stands beside it only
+elements of that name that are as dense.
 
 Defined results: null and empty pages, pages without text, and what is no HTML at all give
 an empty text or the plain text there is; unclosed elements end with their parent; null
@@ -207,13 +208,14 @@ def chosen(t: Tree) -> list[int]:
     way = [core]
     while way[-1]:
         way.append(t.parent[way[-1]])
-    for name in ("article", "main"):
-        around = [k for k in way if t.tag[k] == name]
-        if around:
-            return [around[-1]]
+    marked = next((k for name in ("article", "main") for k in reversed(way) if t.tag[k] == name), None)
+    above = set(way[way.index(marked) + 1 :]) if marked is not None else set()
     top = next((i for i, k in enumerate(way) if t.tag[k] == "body"), len(way) - 1)
     way = way[: top + 1]
     threshold = min(density[k] for k in way)
+    if marked is not None:
+        return [k for k in range(1, len(t.tag)) if k == marked or t.parent[k] in above and t.tag[k] == t.tag[marked] and chars[k]
+                and density[k] >= threshold]
     on_way = set(way)
     inside = set(way[1:])
     beside = [k for k in range(1, len(t.tag)) if t.parent[k] in inside and k not in on_way and chars[k] and (
