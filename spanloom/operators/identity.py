@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from spanloom.operators.nearest import DISTANCE_DIGITS, TILE_ROWS, nearest_earlier, unit
 from spanloom.operators.prefix import CHUNK, number_rows, prefix_max, prefix_sum
 
 NEW = "new"
@@ -123,18 +126,26 @@ class Tracker:
         self.next_id = next_id
         self.recent = deque(recent)
 
-    def step(self, frame: int, objects: list[tuple[int, str, str, list[int]]]) -> list[tuple[int, int, bool]]:
-        """(ordinal, id, fresh) for one frame; frames come in order."""
+    def context(self, frame: int) -> list[tuple[int, str, list[int]]]:
+        """Objects of the last n sampled frames, once each, as first seen there."""
         while self.recent and self.recent[0][0] < frame - self.n * self.rate:
             self.recent.popleft()
-        context: dict[int, tuple[int, str, list[int]]] = {}
+        found: dict[int, tuple[int, str, list[int]]] = {}
         for _, seen in self.recent:
             for entry in seen:
-                context.setdefault(entry[0], entry)
+                found.setdefault(entry[0], entry)
+        return list(found.values())
+
+    def step(self, frame: int, objects: list[tuple]) -> list[tuple[int, int, bool]]:
+        """(ordinal, id, fresh) for one frame; frames come in order.
+
+        An object is ordinal, raw id, class, blocks, and what subclasses add.
+        """
+        context = self.context(frame)[: self.cap]
         by_ordinal = {o[0]: o for o in objects}
         kept: dict[int, tuple[int, str, list[int]]] = {}
         out, largest = [], self.next_id - 1
-        for ordinal, known in resolve_frame(objects, list(context.values())[: self.cap]):
+        for ordinal, known in resolve_frame([o[:4] for o in objects], context):
             fresh = known is None
             if fresh:
                 known, self.next_id = self.next_id, self.next_id + 1
@@ -146,24 +157,87 @@ class Tracker:
         return out
 
 
-TRACKED = "analysis_id {key}, frame long, ordinal int, class_id int, fresh boolean"
+class Remembered(NamedTuple):
+    """A detection with a vector, and its nearest entries up to its own frame."""
 
+    frame: int
+    ordinal: int
+    class_id: int
+    cls: str
+    blocks: list[int]
+    vector: np.ndarray
+    near: list[tuple[float, int, int, str, list[int]]]
 
-def track(objects: DataFrame, rate: int, n: int = 3, cap: int = 30) -> DataFrame:
-    """Ids where the context is this operator's own earlier output (the last n frames).
 
-    Each id depends on the previous frames, so one recording is one ordered scan;
-    recordings run in parallel.  Spark sorts the rows by recording and frame and
-    the scan holds the tracker's bounded state and one frame, never a recording.
+class MemoryTracker(Tracker):
+    """Recent objects, then those most like them of all earlier frames.
+
+    The k nearest entries of a detection up to its own frame do not depend on ids, so they
+    come with it.  What this scan adds is the frames since, whose vectors it still holds, and
+    the ids that the entries have been given: of the recording's past it keeps one number a
+    detection, no vectors.  Where two detections of a frame end with one id, both are
+    remembered, and the later one asks.
     """
+
+    def __init__(self, n: int, rate: int, cap: int, k: int) -> None:
+        super().__init__(n, rate, cap)
+        self.k = k
+        self.ids: dict[tuple[int, int], int] = {}
+        self.held: deque[list[Remembered]] = deque()
+
+    def nearest(self, asking: Remembered, frame: int) -> list[tuple[float, int, int, str, list[int]]]:
+        """Its k nearest entries (distance, frame, ordinal, class, blocks) before ``frame``."""
+        since = [e for entries in self.held for e in entries if asking.frame < e.frame < frame]
+        later = [(distance(asking.vector, e.vector), e.frame, e.ordinal, e.cls, e.blocks) for e in since]
+        return sorted([*asking.near, *later], key=lambda e: e[:3])[: self.k]
+
+    def context(self, frame: int) -> list[tuple[int, str, list[int]]]:
+        recent = super().context(frame)
+        while self.held and (not self.held[0] or self.held[0][0].frame < frame - self.n * self.rate):
+            self.held.popleft()
+        best: dict[int, tuple] = {}
+        for entries in self.held:
+            asking = {e.class_id: e for e in entries}
+            for one in asking.values():
+                for entry in self.nearest(one, frame):
+                    class_id = self.ids[entry[1], entry[2]]
+                    if class_id not in best or entry[:3] < best[class_id][:3]:
+                        best[class_id] = entry
+        alike = sorted(best, key=lambda i: (best[i][0], i))[: self.k]
+        seen = {i for i, _, _ in recent}
+        return recent + [(i, best[i][3], best[i][4]) for i in alike if i not in seen]
+
+    def step(self, frame: int, objects: list[tuple]) -> list[tuple[int, int, bool]]:
+        out = super().step(frame, objects)
+        by_ordinal = {o[0]: o for o in objects}
+        entries = []
+        for ordinal, class_id, _ in out:
+            _, _, cls, blocks, vector, near = by_ordinal[ordinal]
+            if vector is not None:
+                self.ids[frame, ordinal] = class_id
+                entries.append(Remembered(frame, ordinal, class_id, cls, blocks, vector, near))
+        self.held.append(entries)
+        return out
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> float:
+    """Between unit vectors, as the search rounds it."""
+    return float(np.round(max(1.0 - float(a @ b), 0.0), DISTANCE_DIGITS))
+
+
+TRACKED = "analysis_id {key}, frame long, ordinal int, class_id int, fresh boolean"
+
+
+def _scan(objects: DataFrame, new_tracker: Callable[[], Tracker], object_of: Callable[[tuple], tuple]) -> DataFrame:
+    """One ordered scan a recording: rows by frame and ordinal, the tracker's state and one frame at a time."""
     key = objects.schema["analysis_id"].dataType.simpleString()
+    names = ["analysis_id", "frame", "ordinal", "class_id", "fresh"]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tracker, current, frame, held = None, None, None, []
 
         def flush():
-            rows = [(o, r, c, list(b)) for o, r, c, b in held]
-            return [(current, frame, *hit) for hit in tracker.step(frame, rows)]
+            return [(current, frame, *hit) for hit in tracker.step(frame, [object_of(row) for row in held])]
 
         for batch in batches:
             out = []
@@ -172,19 +246,70 @@ def track(objects: DataFrame, rate: int, n: int = 3, cap: int = 30) -> DataFrame
                     out += flush()
                     held = []
                 if tracker is None or row.analysis_id != current:
-                    tracker = Tracker(n, rate, cap)
+                    tracker = new_tracker()
                 current, frame = row.analysis_id, row.frame
-                held.append((row.ordinal, row.raw_id, row.cls, row.blocks))
-            yield pd.DataFrame(out, columns=["analysis_id", "frame", "ordinal", "class_id", "fresh"])
+                held.append(row)
+            yield pd.DataFrame(out, columns=names)
         if held:
-            yield pd.DataFrame(flush(), columns=["analysis_id", "frame", "ordinal", "class_id", "fresh"])
+            yield pd.DataFrame(flush(), columns=names)
 
-    ordered = objects.where("analysis_id IS NOT NULL AND frame IS NOT NULL").select("analysis_id", "frame", "ordinal", "raw_id",
-                             F.col("class").alias("cls"), "blocks").repartition("analysis_id")
-    return ordered.sortWithinPartitions("analysis_id", "frame", "ordinal").mapInPandas(
+    rows = objects.where("analysis_id IS NOT NULL AND frame IS NOT NULL").withColumnRenamed("class", "cls")
+    return rows.repartition("analysis_id").sortWithinPartitions("analysis_id", "frame", "ordinal").mapInPandas(
         scan, TRACKED.format(key=key))
 
 
+def track(objects: DataFrame, rate: int, n: int = 3, cap: int = 30) -> DataFrame:
+    """Ids where the context is this operator's own earlier output (the last n frames).
+
+    Each id depends on the previous frames, so one recording is one ordered scan;
+    recordings run in parallel.  Spark sorts the rows by recording and frame and
+    the scan holds the tracker's bounded state and one frame, never a recording.
+    """
+    rows = objects.select("analysis_id", "frame", "ordinal", "raw_id", "class", "blocks")
+    return _scan(rows, lambda: Tracker(n, rate, cap), lambda r: (r.ordinal, r.raw_id, r.cls, list(r.blocks)))
+
+
+def remembered(objects: DataFrame) -> DataFrame:
+    """The objects that enter a recording's memory, which their ids do not decide: kept ones with blocks and a vector.
+
+    Kept are new objects and the first of each given number in a frame.
+    """
+    number = F.regexp_extract("raw_id", r"^(?U)\s*([+-]?[0-9]{1,18})\s*$", 1)
+    first = F.row_number().over(Window.partitionBy("analysis_id", "frame", "raw_id").orderBy("ordinal")) == 1
+    given = (number != "") & F.when(number != "", number).cast("long").between(-(2**31), 2**31 - 1) & first
+    return objects.withColumn("__given", given).where(
+        ((F.col("raw_id") == NEW) | F.col("__given")) & (F.size("blocks") > 0) & F.col("embedding").isNotNull()).drop("__given")
+
+
+def track_similar(objects: DataFrame, rate: int, n: int = 3, k: int = 5, cap: int = 30,
+                  tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Like ``track``, with the k objects most like the recent ones, of all earlier frames, behind those.
+
+    ``objects`` has an embedding beside the columns of ``track``.  The search over a
+    recording's vectors, which is the large part, runs for all detections at once
+    (``nearest_earlier``); the scan in order joins its results.
+    """
+    entries = remembered(objects).select("analysis_id", "frame", "ordinal", "class", "blocks", "embedding")
+    asks = entries.select("analysis_id", F.struct("frame", "ordinal").alias("query_id"), (F.col("frame") + 1).alias("frame"),
+                          "embedding")
+    near = nearest_earlier(asks, entries.withColumn("class_id", F.col("ordinal")), k, tile_rows)
+    shapes = entries.select("analysis_id", "frame", F.col("ordinal").alias("class_id"), "class", "blocks")
+    lists = near.join(shapes, ["analysis_id", "frame", "class_id"]).groupBy("analysis_id", "query_id").agg(F.array_sort(
+        F.collect_list(F.struct("distance", "frame", "class_id", "class", "blocks"))).alias("near")).select(
+        "analysis_id", "query_id.frame", "query_id.ordinal", "near")
+    rows = objects.select("analysis_id", "frame", "ordinal", "raw_id", "class", "blocks", "embedding").join(
+        lists, ["analysis_id", "frame", "ordinal"], "left")
+
+    def object_of(row):
+        if row.near is None:
+            return row.ordinal, row.raw_id, row.cls, list(row.blocks), None, []
+        vector = unit(pd.Series([row.embedding]))[0]
+        near = [(e["distance"], e["frame"], e["class_id"], e["class"], list(e["blocks"])) for e in row.near]
+        return row.ordinal, row.raw_id, row.cls, list(row.blocks), vector, near
+
+    return _scan(rows, lambda: MemoryTracker(n, rate, cap, k), object_of)
+
+
 def number_untracked(objects: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Without tracking every object gets the next id of its recording."""
     return number_rows(objects, ["analysis_id"], "frame", ["ordinal"], "class_id", chunk)

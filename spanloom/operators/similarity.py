@@ -1,85 +1,12 @@
-"""Exact nearest neighbours among earlier frames of the same recording."""
+"""Nearest vectors among earlier frames of the same recording, and the context of tracked objects."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
-from spanloom.functions.vectors import NORM_FLOOR
-
-# Distances are compared at this precision, so rounding noise never orders ties.
-DISTANCE_DIGITS = 9
-# Frames per tile side.  A vector is sent once to every tile it must meet, so wide
-# tiles shuffle less; a task multiplies block after block and keeps k rows per query.
-TILE_FRAMES = 4096
-BLOCK_ROWS = 1024
-
-
-def _unit(vectors: pd.Series) -> np.ndarray:
-    matrix = np.vstack(vectors.to_numpy()).astype(np.float64)
-    return matrix / np.clip(np.linalg.norm(matrix, axis=1, keepdims=True), NORM_FLOOR, None)
-
-
-def nearest_earlier(queries: DataFrame, entries: DataFrame, k: int,
-                    tile_frames: int = TILE_FRAMES) -> DataFrame:
-    """For each query the k entries of its recording with smaller frame and least distance.
-
-    ``queries``: analysis_id, query_id, frame, embedding.  ``entries``:
-    analysis_id, frame, class_id, embedding.  The comparison is cut into tiles
-    of bounded frame ranges, so a long recording spreads over many tasks, and a
-    tile returns only its own k best per query, never its pairs.
-    """
-    tile = F.floor(F.col("frame") / tile_frames).cast("long")
-    asks = queries.withColumn("q_tile", tile)
-    # Fresh column names: both sides often come from one table.
-    known = entries.select(F.col("analysis_id").alias("known_analysis"), F.col("frame").alias("known_frame"),
-                           F.col("class_id").alias("known_id"), F.col("embedding").alias("known_vector"),
-                           tile.alias("known_tile"))
-    # The tiles that exist, a few numbers per recording, say which tiles must meet.
-    asked_tiles = asks.select(F.col("analysis_id").alias("__a"), F.col("q_tile").alias("asked_tile")).distinct()
-    known_tiles = known.select(F.col("known_analysis").alias("__a"), F.col("known_tile").alias("e_tile")).distinct()
-    asks = asks.join(known_tiles, (F.col("analysis_id") == F.col("__a"))
-                     & (F.col("e_tile") <= F.col("q_tile"))).drop("__a")
-    held = known.join(asked_tiles, (F.col("known_analysis") == F.col("__a"))
-                      & (F.col("known_tile") <= F.col("asked_tile"))).drop("__a")
-    key_type = queries.schema["query_id"].dataType
-    schema = T.StructType([
-        queries.schema["analysis_id"], T.StructField("query_id", key_type),
-        T.StructField("query_frame", T.LongType()), T.StructField("frame", T.LongType()),
-        T.StructField("class_id", T.IntegerType()), T.StructField("distance", T.DoubleType())])
-
-    def compare(key, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or known.empty:
-            return pd.DataFrame(columns=schema.names)
-        known = known.sort_values(["known_frame", "known_id"])
-        frames, ids = known["known_frame"].to_numpy(), known["known_id"].to_numpy()
-        vectors, cut = _unit(known["known_vector"]).T, min(k, len(known)) - 1
-        blocks = []
-        for first in range(0, len(asked), BLOCK_ROWS):
-            part = asked.iloc[first : first + BLOCK_ROWS]
-            distance = 1.0 - _unit(part["embedding"]) @ vectors
-            distance = np.round(np.maximum(distance, 0.0), DISTANCE_DIGITS)
-            distance[frames[None, :] >= part["frame"].to_numpy()[:, None]] = np.inf
-            worst = np.partition(distance, cut, axis=1)[:, cut]
-            # Equal distances (copies) fill the places left, in entry order, and no more.
-            nearer, equal = distance < worst[:, None], distance == worst[:, None]
-            places = cut + 1 - nearer.sum(axis=1, keepdims=True)
-            chosen = nearer | (equal & (equal.cumsum(axis=1) <= places))
-            rows, cols = np.nonzero(chosen & np.isfinite(distance))
-            blocks.append(pd.DataFrame({
-                "analysis_id": key[0], "query_id": part["query_id"].iloc[rows].to_numpy(),
-                "query_frame": part["frame"].to_numpy()[rows], "frame": frames[cols],
-                "class_id": ids[cols], "distance": distance[rows, cols]}))
-        return pd.concat(blocks)
-
-    asked_side = asks.groupBy("analysis_id", "e_tile", "q_tile")
-    known_side = held.groupBy("known_analysis", "known_tile", "asked_tile")
-    partial = asked_side.cogroup(known_side).applyInPandas(compare, schema)
-    order = Window.partitionBy("analysis_id", "query_id").orderBy("distance", "frame", "class_id")
-    return partial.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+from spanloom.operators.nearest import TILE_ROWS, nearest_earlier
 
 
 def recent_objects(objects: DataFrame, sampled: DataFrame, rate: int, n: int) -> DataFrame:
@@ -101,7 +28,7 @@ def recent_objects(objects: DataFrame, sampled: DataFrame, rate: int, n: int) ->
 
 
 def similar_objects(objects: DataFrame, sampled: DataFrame, rate: int, n: int, k: int,
-                    tile_frames: int = TILE_FRAMES) -> DataFrame:
+                    tile_rows: int = TILE_ROWS) -> DataFrame:
     """The k objects most similar to what the last n sampled frames showed.
 
     Each vector of those frames fetches its k nearest earlier entries, an object
@@ -115,7 +42,7 @@ def similar_objects(objects: DataFrame, sampled: DataFrame, rate: int, n: int, k
         "analysis_id", F.struct("frame", "seen_frame", "class_id").alias("query_id"), "frame",
         "embedding")
     entries = objects.select("analysis_id", "frame", "class_id", "embedding")
-    near = nearest_earlier(asks, entries, k, tile_frames)
+    near = nearest_earlier(asks, entries, k, tile_rows)
     best = near.groupBy("analysis_id", F.col("query_frame").alias("target_frame"), "class_id").agg(
         F.min(F.struct("distance", "frame")).alias("b"))
     order = Window.partitionBy("analysis_id", "target_frame").orderBy("b.distance", "class_id")
