@@ -165,6 +165,7 @@ class Remembered(NamedTuple):
     class_id: int
     cls: str
     blocks: list[int]
+    asks: bool
     vector: np.ndarray
     near: list[tuple[float, int, int, str, list[int]]]
 
@@ -176,7 +177,7 @@ class MemoryTracker(Tracker):
     come with it.  What this scan adds is the frames since, whose vectors it still holds, and
     the ids that the entries have been given: of the recording's past it keeps one number a
     detection, no vectors.  Where two detections of a frame end with one id, both are
-    remembered, and the later one asks.
+    remembered, and the last one asks.
     """
 
     def __init__(self, n: int, rate: int, cap: int, k: int) -> None:
@@ -197,9 +198,8 @@ class MemoryTracker(Tracker):
             self.held.popleft()
         best: dict[int, tuple] = {}
         for entries in self.held:
-            asking = {e.class_id: e for e in entries}
-            for one in asking.values():
-                for entry in self.nearest(one, frame):
+            for one in entries:
+                for entry in self.nearest(one, frame) if one.asks else []:
                     class_id = self.ids[entry[1], entry[2]]
                     if class_id not in best or entry[:3] < best[class_id][:3]:
                         best[class_id] = entry
@@ -210,12 +210,13 @@ class MemoryTracker(Tracker):
     def step(self, frame: int, objects: list[tuple]) -> list[tuple[int, int, bool]]:
         out = super().step(frame, objects)
         by_ordinal = {o[0]: o for o in objects}
+        last = {class_id: ordinal for ordinal, class_id, _ in out}
         entries = []
         for ordinal, class_id, _ in out:
             _, _, cls, blocks, vector, near = by_ordinal[ordinal]
             if vector is not None:
                 self.ids[frame, ordinal] = class_id
-                entries.append(Remembered(frame, ordinal, class_id, cls, blocks, vector, near))
+                entries.append(Remembered(frame, ordinal, class_id, cls, blocks, last[class_id] == ordinal, vector, near))
         self.held.append(entries)
         return out
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from spanloom.plans.construction import coalesce_sql, collapse_sql
 from spanloom.plans.joins import predicate_sql
 from spanloom.plans.registry import Registry
+from spanloom.plans.similar import TRACKED_SQL
 from spanloom.plans.views import Views, with_views
 from spanloom.streaming.identity import stream_track
 from spanloom.streaming.intervals import stream_before, stream_coalesce_audio, stream_intervals
@@ -63,6 +64,6 @@ def stream_bounded_before(v: Views):
                                         right_started=started(), fps=FPS, lateness=LATENESS))
 
 
-@registry.query()
+@registry.query(TRACKED_SQL)
 def stream_tracked_identities(v: Views):
     return drain(v.spark, stream_track(StreamViews(v.spark, v.sf_dir).objects, rate=1))

@@ -121,6 +121,12 @@ class Views:
             F.when(F.pmod("k", F.lit(4)) == 0, (F.pmod("user_id", F.lit(40)) + 1).cast("string"))
             .otherwise("new").alias("raw_id"))
 
+    @cached_property
+    def seen(self) -> DataFrame:
+        """The detected objects, those with a vector of their number with it."""
+        looks = self.table("embeddings").select(F.col("vec_id").cast("int").alias("ordinal"), "embedding")
+        return self.objects.join(looks, "ordinal", "left")
+
     @cached_property
     def memory(self) -> DataFrame:
         """embeddings as the remembered objects of recordings of a million vectors each."""
