@@ -24,6 +24,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
@@ -80,7 +81,13 @@ def block_matrix(rows: DataFrame, values: str, n: int, dim: int) -> BlockMatrix:
     """The rows (index, array of doubles) in blocks; an index without row is a row of zeros."""
     per_block = int(np.clip(-(-n // KEYS), ROWS, max(CELLS // dim, ROWS)))
     named = rows.select("index", array_to_vector(values).alias("vector"))
-    return IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(named, "vector")).toBlockMatrix(per_block, min(dim, COLUMNS))
+    # Held, since the transpose, the product's layout and the projection all read the blocks; lost ones are cut again.
+    return IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(named, "vector")).toBlockMatrix(
+        per_block, min(dim, COLUMNS)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def released(matrix: BlockMatrix) -> None:
+    matrix._java_matrix_wrapper.call("blocks").unpersist(False)
 
 
 def scatter(matrix: BlockMatrix) -> np.ndarray:
@@ -134,10 +141,13 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
     whitener, matrix = fit(rows, n)
     k = min(components, dim)
     white = stored(projected(matrix, whitener.projection(k)), "whitened").join(rows.select("index"), "index")
+    released(matrix)
 
     means = F.array(*[F.lit(s / n) for s in column_sums(white, "values", "double")])
     again = white.select("index", F.zip_with("values", means, lambda v, m: v - m).alias("values"))
-    off = np.abs(scatter(block_matrix(again, "values", n, k)) / n - np.eye(k))
+    matrix = block_matrix(again, "values", n, k)
+    off = np.abs(scatter(matrix) / n - np.eye(k))
+    released(matrix)
     varied = whitener.varied()[:k]
     error = float(off[np.ix_(varied, varied)].max(initial=0.0))
 
