@@ -50,12 +50,16 @@ def participant_intervals(v: Views):
 
 
 def coalesce_sql(source: str, keys: str, gap: int) -> str:
+    return coalesced_sql(source, keys, gap) + " SELECT * FROM intervals"
+
+
+def coalesced_sql(source: str, keys: str, gap: int) -> str:
     return f"""m AS (SELECT *, max(ef) OVER (PARTITION BY {keys} ORDER BY sf, ef, confidence
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {source}),
       n AS (SELECT *, sum(CASE WHEN sf <= reach + {gap} THEN 0 ELSE 1 END) OVER (
-              PARTITION BY {keys} ORDER BY sf, ef, confidence ROWS UNBOUNDED PRECEDING) AS island FROM m)
-      SELECT {keys}, min(sf) AS start_frame, max(ef) AS end_frame, max(confidence) AS confidence
-      FROM n GROUP BY {keys}, island"""
+              PARTITION BY {keys} ORDER BY sf, ef, confidence ROWS UNBOUNDED PRECEDING) AS island FROM m),
+      intervals AS (SELECT {keys}, min(sf) AS start_frame, max(ef) AS end_frame, max(confidence) AS confidence
+      FROM n GROUP BY {keys}, island)"""
 
 
 def _predictions(v: Views):

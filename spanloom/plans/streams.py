@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from spanloom.plans.construction import coalesce_sql, collapse_sql
+from spanloom.plans.construction import coalesced_sql, collapse_sql
 from spanloom.plans.joins import predicate_sql
 from spanloom.plans.registry import Registry
 from spanloom.plans.similar import TRACKED_SQL
@@ -16,8 +16,9 @@ from spanloom.streaming.run import drain
 registry = Registry()
 
 
-# Recordings begin a day after another, and rows of one may come an hour late.
-FPS, LATENESS = 25, "1 hour"
+# Recordings begin a day after another, and rows of one may come so late.
+FPS, LATE_FRAMES = 25, 100
+LATENESS = f"{LATE_FRAMES // FPS} seconds"
 
 
 def started():
@@ -33,22 +34,29 @@ class StreamViews(Views):
         return self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/{name}.parque[t]")
 
 
+def closed_sql(intervals: str, rows: str, end: str, gap: int, start: str) -> str:
+    """Given out are all intervals of recordings that the stream has left behind, and of the last what its own rows have."""
+    return f""" SELECT i.* FROM {intervals} i JOIN (SELECT analysis_id, max({start}) AS reached FROM {rows} GROUP BY 1) r
+      USING (analysis_id) WHERE i.{end} + {gap + LATE_FRAMES} < reached OR analysis_id < (SELECT max(analysis_id) FROM {rows})"""
+
+
 @registry.query(with_views("frame_rel") + ", " + collapse_sql(
-    "frame_rel", "analysis_id, relation_type, class_id", 48) + " SELECT * FROM intervals")
+    "frame_rel", "analysis_id, relation_type, class_id", 48) + closed_sql("intervals", "frame_rel", "end_frame", 48, "frame"))
 def stream_frames_to_intervals(v: Views):
     seen = StreamViews(v.spark, v.sf_dir).observed.select(
         "analysis_id", F.col("event_type").alias("relation_type"), F.col("user_id").alias("class_id"),
         "frame")
     return drain(v.spark, stream_intervals(
-        seen, 24, ["analysis_id", "relation_type", "class_id"], started=started(), fps=FPS, lateness=LATENESS), "complete")
+        seen, 24, ["analysis_id", "relation_type", "class_id"], started=started(), fps=FPS, lateness=LATENESS))
 
 
-@registry.query(with_views("api") + ", " + coalesce_sql("api", "analysis_id, audio_class", 60))
+@registry.query(with_views("api") + ", " + coalesced_sql("api", "analysis_id, audio_class", 60) + closed_sql(
+    "intervals", "api", "end_frame", 60, "sf"))
 def stream_coalesce_windows(v: Views):
     rows = StreamViews(v.spark, v.sf_dir).audio.select(
         "analysis_id", "audio_class", F.col("sf").alias("start_frame"), F.col("ef").alias("end_frame"),
         "confidence")
-    return drain(v.spark, stream_coalesce_audio(rows, 60, started=started(), fps=FPS, lateness=LATENESS), "complete")
+    return drain(v.spark, stream_coalesce_audio(rows, 60, started=started(), fps=FPS, lateness=LATENESS))
 
 
 @registry.query(with_views("iv") + f"""

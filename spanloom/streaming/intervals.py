@@ -3,9 +3,8 @@
 A watermark belongs to the whole stream, so event time must be real time: the start of
 the recording plus the frame's time in it (``event_time``).  A recording that begins
 after another has gone on is then not late.  How late rows may come is stated by the
-caller; rows later than that are dropped, as in any stream.  Spark's session windows and
-watermarks hold the state: per key only the sessions still open.  With append output an
-interval appears once the watermark has passed its end.
+caller; rows later than that are dropped, as in any stream.  An interval appears once its
+own recording, or the whole stream, has gone on beyond it (``closing.py``).
 """
 
 from __future__ import annotations
@@ -14,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from spanloom.streaming.closing import closed_intervals
+
 MICROS = 1_000_000
 
 
@@ -27,10 +28,6 @@ def event_time(started: Column, frame: Column, fps: int | Column) -> Column:
     return F.timestamp_micros(F.unix_micros(started.cast("timestamp")) + frame.cast("long") * frame_micros(fps))
 
 
-def _micros(value: Column) -> Column:
-    return F.concat(value.cast("long").cast("string"), F.lit(" microseconds"))
-
-
 def stream_intervals(observed: DataFrame, sampling_rate: int | Column, keys: Sequence[str], *,
                      started: Column, fps: int | Column, lateness: str) -> DataFrame:
     """Collapse streamed frames; a gap over two sampling steps ends an interval.
@@ -38,27 +35,24 @@ def stream_intervals(observed: DataFrame, sampling_rate: int | Column, keys: Seq
     ``sampling_rate`` and ``fps`` may be columns, so every recording has its own.
     """
     rate = sampling_rate if isinstance(sampling_rate, Column) else F.lit(sampling_rate)
-    timed = observed.withColumn("__ts", event_time(started, F.col("frame"), fps)).withColumn(
-        "__gap", _micros(2 * rate * frame_micros(fps))).withWatermark("__ts", lateness)
-    sessions = timed.groupBy(*keys, F.session_window("__ts", F.col("__gap")).alias("__w")).agg(
-        F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"))
-    return sessions.select(*keys, "start_frame", "end_frame")
+    timed = observed.withColumn("__ts", event_time(started, F.col("frame"), fps))
+    frame = F.col("frame")
+    return closed_intervals(timed, keys, "__ts", frame, frame, 2 * rate, 2 * rate * frame_micros(fps), F.lit(None),
+                            lateness).select(*keys, F.col("first").alias("start_frame"), F.col("last").alias("end_frame"))
 
 
 def stream_coalesce_audio(predictions: DataFrame, hop_frames: int | Column,
                           keys: Sequence[str] = ("analysis_id", "audio_class"), *,
                           started: Column, fps: int | Column, lateness: str) -> DataFrame:
-    """Merge streamed windows: each row keeps its session open for its length plus the hop."""
+    """Merge streamed windows: one joins another that ends at most a hop before it starts."""
     if not isinstance(hop_frames, Column) and hop_frames < 1:
         raise ValueError("a session needs a hop of at least one frame")
     hop = hop_frames if isinstance(hop_frames, Column) else F.lit(hop_frames)
-    timed = predictions.withColumn("__ts", event_time(started, F.col("start_frame"), fps)).withColumn(
-        "__gap", _micros((F.col("end_frame") - F.col("start_frame") + hop) * frame_micros(fps))).withWatermark(
-        "__ts", lateness)
-    sessions = timed.groupBy(*keys, F.session_window("__ts", F.col("__gap")).alias("__w")).agg(
-        F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"),
-        F.max("confidence").alias("confidence"))
-    return sessions.select(*keys, "start_frame", "end_frame", "confidence")
+    timed = predictions.withColumn("__ts", event_time(started, F.col("start_frame"), fps))
+    start, end = F.col("start_frame"), F.col("end_frame")
+    return closed_intervals(timed, keys, "__ts", start, end, hop, (end - start + hop) * frame_micros(fps), F.col("confidence"),
+                            lateness).select(*keys, F.col("first").alias("start_frame"), F.col("last").alias("end_frame"),
+                                             "confidence")
 
 
 def stream_before(left: DataFrame, right: DataFrame, delta: int, *, left_started: Column, right_started: Column,

@@ -5,21 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.session import scratch_dir
+from spanloom.streaming.closing import use_state_store
 
 
-def drain(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process all available input and return the written result.
+def drain(spark: SparkSession, stream: DataFrame, progress: list | None = None) -> DataFrame:
+    """Process all available input and return what the exactly-once file sink has written.
 
-    Append goes through the exactly-once file sink.  Complete rewrites the
-    result each batch, which also shows intervals the watermark has not closed.
+    ``progress`` receives Spark's report of each batch, with the rows its state holds.
     """
+    use_state_store(spark)
     out, state = scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-state")
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(
-        availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", out).start()
-    else:
-        query = writer.foreachBatch(
-            lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", state).trigger(
+        availableNow=True).format("parquet").option("path", out).start()
     query.awaitTermination()
+    if progress is not None:
+        progress += query.recentProgress
     return spark.read.schema(stream.schema).parquet(out)

@@ -32,17 +32,45 @@ def feed(spark, tmp_path, rows, schema, parts, name):
     return spark.readStream.schema(typed).option("maxFilesPerTrigger", 1).parquet(str(path / "p=*"))
 
 
-@pytest.mark.parametrize("mode", ["complete", "append"])
-def test_frames_to_intervals(spark, tmp_path, mode):
+# A last recording, a day on: it lets the stream leave all others behind.
+END = [(9, "x", 0)]
+
+
+def day(id_="analysis_id"):
+    return F.timestamp_micros(F.unix_micros(base()) + (F.col(id_) == 9).cast("long") * 86_400_000_000)
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_frames_to_intervals(spark, tmp_path, parts):
     rng = random.Random(1)
-    rows = sorted(((rng.choice([1, 2]), "x", rng.randrange(0, 3000)) for _ in range(150)), key=lambda r: r[2])
+    rows = sorted(((rng.choice([1, 2]), rng.choice(["x", None]), rng.randrange(0, 3000)) for _ in range(150)), key=lambda r: r[2])
     schema = "analysis_id int, relation_type string, frame long"
     keys = ["analysis_id", "relation_type"]
-    stream = feed(spark, tmp_path, rows, schema, 4, "f")
-    got = sorted(map(tuple, drain(spark, stream_intervals(stream, 10, keys, **late(5000)), mode).collect()))
+    stream = feed(spark, tmp_path, rows + END, schema, parts, "f")
+    got = drain(spark, stream_intervals(stream, 10, keys, started=day(), fps=25, lateness="2 minutes"))
     batch = islands.frames_to_intervals(spark.createDataFrame(rows, schema), 10, keys)
-    want = sorted(map(tuple, batch.select(*keys, "start_frame", "end_frame").collect()))
-    assert got == want if mode == "complete" else set(got) <= set(want)
+    want = batch.select(*keys, "start_frame", "end_frame")
+    assert sorted(map(str, got.where("analysis_id < 9").select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert got.where("analysis_id = 9").count() == 0
+
+
+def test_state_falls(spark, tmp_path):
+    """What is closed leaves the state: by its own recording's progress, and all of it by the stream's."""
+    rows = [(r, "x", f) for f in range(0, 4000, 40) for r in (1, 2, 3)] + [(1, "x", f) for f in range(4000, 9000, 40)] + END * 60
+    stream = feed(spark, tmp_path, rows, "analysis_id int, relation_type string, frame long", 9, "f")
+    progress = []
+    got = drain(spark, stream_intervals(stream, 10, ["analysis_id", "relation_type"], started=day(), fps=25,
+                                        lateness="1 seconds"), progress).collect()
+    assert sorted((r.analysis_id, r.start_frame) for r in got) == sorted((r, f) for r, _, f in set(rows) - set(END))
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in progress]
+    assert max(held) > held[-1] and held[-1] <= 2, held
+
+
+def test_rows_later_than_stated_are_dropped(spark, tmp_path):
+    rows = [(1, "x", 1000), (1, "x", 2000), (1, "x", 990), (1, "x", 1990)] + END
+    stream = feed(spark, tmp_path, rows, "analysis_id int, relation_type string, frame long", 5, "f")
+    got = drain(spark, stream_intervals(stream, 10, ["analysis_id", "relation_type"], started=day(), fps=25, lateness="4 seconds"))
+    assert sorted((r.start_frame, r.end_frame) for r in got.collect()) == [(1000, 1000), (1990, 2000)]
 
 
 def test_append_closes_intervals(spark, tmp_path):
@@ -65,14 +93,15 @@ def test_a_recording_that_begins_later_is_not_late(spark, tmp_path):
     assert {("a", 0, 1990), ("b", 0, 40)} <= rows
 
 
-def test_coalesce_audio(spark, tmp_path):
+@pytest.mark.parametrize("parts", [1, 4])
+def test_coalesce_audio(spark, tmp_path, parts):
     rng = random.Random(2)
     rows = sorted(((1, rng.choice("ab"), s, s + rng.choice([0, 5, 60]), rng.random())
                    for s in (rng.randrange(2000) for _ in range(160))), key=lambda r: r[2])
     schema = "analysis_id int, audio_class string, start_frame long, end_frame long, confidence double"
-    stream = feed(spark, tmp_path, rows, schema, 3, "a")
+    stream = feed(spark, tmp_path, rows + [(9, "a", 0, 1, 0.5)], schema, parts, "a")
     columns = ["analysis_id", "audio_class", "start_frame", "end_frame", "confidence"]
-    got = drain(spark, stream_coalesce_audio(stream, 6, **late(5000)), "complete")
+    got = drain(spark, stream_coalesce_audio(stream, 6, started=day(), fps=25, lateness="2 minutes"))
     batch = islands.coalesce_audio(spark.createDataFrame(rows, schema), 6)
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect()))
     with pytest.raises(ValueError):
