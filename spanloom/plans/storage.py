@@ -8,7 +8,8 @@ from spanloom.operators.islands import class_map, frames_to_intervals, participa
 from spanloom.operators.select import label_participants
 from spanloom.plans.registry import Registry
 from spanloom.plans.views import Views, with_views
-from spanloom.sources import tables as tb
+from spanloom.session import scratch_dir
+from spanloom.sources import stored as changes, tables as tb
 
 registry = Registry()
 
@@ -17,8 +18,6 @@ registry = Registry()
     SELECT analysis_id, pred, count(*) AS n, min(sf) AS first_sf, max(ef) AS last_ef FROM iv GROUP BY 1, 2""")
 def read_intervals(v: Views):
     """A full typed read: written under the declared schema, read back, summarised."""
-    from spanloom.session import scratch_dir
-
     path = scratch_dir(v.spark, "intervals")
     stored = v.iv.select(
         F.xxhash64("analysis_id", "pred", "arg1", "arg2", "sf").alias("relation_id"),
@@ -185,6 +184,40 @@ def unprocessed_recordings(v: Views):
     return tb.unprocessed(inputs, v.iv.where("pred = 'A' AND ef - sf >= 45"))
 
 
+# -- changes in place -------------------------------------------------------------
+
+_UPSERT = with_views("observed") + """,
+    t AS (SELECT analysis_id, event_type, user_id, event_id, value FROM observed)
+    SELECT * FROM t WHERE event_id % 5 > 0 OR analysis_id IN (2, 5)
+    QUALIFY row_number() OVER (PARTITION BY analysis_id, event_type, user_id ORDER BY event_id DESC) = 1"""
+
+
+@registry.query(_UPSERT)
+def upsert_stored_buckets(v: Views):
+    """A stored table takes late rows of two recordings: only their buckets are written again."""
+    rows = v.observed.select("analysis_id", "event_type", "user_id", "event_id", "value")
+    path, keys = scratch_dir(v.spark, "stored"), ["analysis_id", "event_type", "user_id"]
+    first = rows.where("event_id % 5 > 0")
+    tb.write_table(tb.upsert_latest(first.limit(0), first, keys, "event_id"), path, mode="overwrite", buckets=8)
+    late = rows.where("event_id % 5 = 0 AND analysis_id IN (2, 5)")
+    changes.upsert(v.spark, path, late, keys, "event_id", buckets=8)
+    return changes.stored(v.spark, path).select(*keys, "event_id", "value")
+
+
+@registry.query(_DELETE + """
+    SELECT i.analysis_id, i.relation_id, i.frame, p.class_id FROM i JOIN p USING (relation_id) WHERE i.analysis_id NOT IN (1, 4, 7)""")
+def delete_stored_recordings(v: Views):
+    """Intervals and participants of three recordings leave two stored tables."""
+    intervals = v.observed.select(F.col("event_id").alias("relation_id"), "analysis_id", "frame")
+    participants = v.relations.select("relation_id", "analysis_id", "class_id")
+    paths = [scratch_dir(v.spark, name) for name in ("intervals", "participants")]
+    for rows, path in zip((intervals, participants), paths):
+        tb.write_table(rows, path, mode="overwrite", buckets=8)
+    changes.delete(v.spark, paths, v.observed.where("analysis_id IN (1, 4, 7)").select("analysis_id"), buckets=8)
+    left = [changes.stored(v.spark, path) for path in paths]
+    return left[0].join(left[1].drop("analysis_id"), "relation_id").select("analysis_id", "relation_id", "frame", "class_id")
+
+
 # -- orderings -------------------------------------------------------------------
 
 def _runs(v: Views):
