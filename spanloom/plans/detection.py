@@ -51,20 +51,19 @@ def select_labels(v: Views):
     return select_intervals(pick("running", "carrying", "running"), v.visual, v.audio)
 
 
-@registry.query(with_views("vpi", "vp") + """
-    SELECT i.analysis_id, p.class_id AS arg1, i.sf, i.ef FROM vpi i JOIN vp p USING (relation_id)
-    WHERE (i.relation_type = 'gunshot_visible' AND p.class = 'person')
-       OR (i.relation_type = 'explosion_visible' AND p.class IN ('vehicle', 'object'))""")
+@registry.query(with_views("who") + """
+    SELECT analysis_id, arg1, sf, ef FROM who
+    WHERE (relation_type = 'gunshot_visible' AND class1 = 'person')
+       OR (relation_type = 'explosion_visible' AND class1 IN ('vehicle', 'object'))""")
 def select_branches(v: Views):
     chosen = any_of(pick("gunshot_visible", arg1="person"),
                     pick("explosion_visible", arg1=("vehicle", "object")))
     return select_intervals(chosen, v.visual, v.audio)
 
 
-@registry.query(with_views("vpi", "vp") + """
-    SELECT i.analysis_id, a.class_id AS arg1, b.class_id AS arg2, i.sf, i.ef FROM vpi i
-    JOIN vp a ON a.relation_id = i.relation_id JOIN vp b ON b.relation_id = i.relation_id
-    WHERE i.relation_type = 'carrying' AND a.class = 'person' AND b.class IN ('object', 'vehicle')""")
+@registry.query(with_views("whose") + """
+    SELECT analysis_id, arg1, arg2, sf, ef FROM whose
+    WHERE relation_type = 'carrying' AND class1 = 'person' AND class2 IN ('object', 'vehicle')""")
 def select_participant_classes(v: Views):
     return select_intervals(pick("carrying", arg1="person", arg2=("object", "vehicle")),
                             v.visual, v.audio)
@@ -127,47 +126,43 @@ def _audio_pair(event: str, first: str, second: str, condition: str) -> str:
         WHERE r.audio_class IN ({first}) AND s.audio_class IN ({second}) AND {condition}""")
 
 
-_ONE = "FROM vpi i JOIN vp a ON a.relation_id = i.relation_id"
-_TWO = _ONE + " JOIN vp b ON b.relation_id = i.relation_id"
+_ONE, _TWO = "FROM who i", "FROM whose i"
 EVENT_SQL = {
-    ("fight", "A"): _head("fight", "visual", "i.analysis_id", ["a.class_id", "b.class_id"], "i.sf", "i.ef")
-    + f""" {_TWO} WHERE i.relation_type = 'physical_altercation' AND a.class = 'person'
-        AND b.class = 'person' AND a.class_id <> b.class_id""",
+    ("fight", "A"): _head("fight", "visual", "i.analysis_id", ["i.arg1", "i.arg2"], "i.sf", "i.ef")
+    + f""" {_TWO} WHERE i.relation_type = 'physical_altercation' AND i.class1 = 'person'
+        AND i.class2 = 'person' AND i.arg1 <> i.arg2""",
     ("fight", "B"): _audio_pair("fight", "'shout'", "'impact'", "r.ef <= s.sf AND s.sf - r.ef <= 120"),
     ("gunshot_or_explosion", "A"): _head("gunshot_or_explosion", "visual", "i.analysis_id",
-                                         ["a.class_id"], "i.sf", "i.ef")
-    + f""" {_ONE} WHERE (i.relation_type = 'gunshot_visible' AND a.class = 'person')
-        OR (i.relation_type = 'explosion_visible' AND a.class IN ('vehicle', 'object'))""",
+                                         ["i.arg1"], "i.sf", "i.ef")
+    + f""" {_ONE} WHERE (i.relation_type = 'gunshot_visible' AND i.class1 = 'person')
+        OR (i.relation_type = 'explosion_visible' AND i.class1 IN ('vehicle', 'object'))""",
     ("gunshot_or_explosion", "B"): _head("gunshot_or_explosion", "audio", "i.analysis_id", [], "i.sf", "i.ef")
     + " FROM api i WHERE i.audio_class = 'gunshot_or_explosion'",
-    ("handoff", "A"): """, carry AS (SELECT i.analysis_id, a.class_id AS arg1, b.class_id AS arg2, i.sf, i.ef
-        FROM vpi i JOIN vp a ON a.relation_id = i.relation_id JOIN vp b ON b.relation_id = i.relation_id
-        WHERE i.relation_type = 'carrying' AND a.class = 'person' AND b.class = 'object') """
+    ("handoff", "A"): """, carry AS (SELECT analysis_id, arg1, arg2, sf, ef FROM whose i
+        WHERE i.relation_type = 'carrying' AND i.class1 = 'person' AND i.class2 = 'object') """
     + _head("handoff", "visual", "r.analysis_id", ["r.arg1", "s.arg1", "r.arg2"], "r.sf", "s.ef")
     + """ FROM carry r JOIN carry s ON r.analysis_id = s.analysis_id AND r.arg2 = s.arg2
         WHERE r.arg1 <> s.arg1 AND r.ef <= s.sf""",
     ("suspicious_near_vehicle", "A"): _head("suspicious_near_vehicle", "visual", "i.analysis_id",
-                                            ["a.class_id", "b.class_id"], "i.sf", "i.ef")
-    + f""" {_TWO} WHERE i.relation_type = 'suspicious_near_vehicle' AND a.class = 'person'
-        AND b.class = 'vehicle' AND i.ef - i.sf >= 72""",
-    ("vehicle_collision", "A"): _head("vehicle_collision", "visual", "i.analysis_id", ["a.class_id"],
+                                            ["i.arg1", "i.arg2"], "i.sf", "i.ef")
+    + f""" {_TWO} WHERE i.relation_type = 'suspicious_near_vehicle' AND i.class1 = 'person'
+        AND i.class2 = 'vehicle' AND i.ef - i.sf >= 72""",
+    ("vehicle_collision", "A"): _head("vehicle_collision", "visual", "i.analysis_id", ["i.arg1"],
                                       "i.sf", "i.ef")
-    + f" {_ONE} WHERE i.relation_type = 'vehicle_collision' AND a.class = 'vehicle'",
+    + f" {_ONE} WHERE i.relation_type = 'vehicle_collision' AND i.class1 = 'vehicle'",
     ("vehicle_collision", "B"): _audio_pair("vehicle_collision", "'horn', 'skidding'",
                                             "'impact', 'glass_breaking'", "r.sf <= s.sf AND s.sf < r.ef"),
-    ("vehicle_escape", "A"): """, run AS (SELECT i.analysis_id, a.class_id AS arg1, i.sf, i.ef
-        FROM vpi i JOIN vp a ON a.relation_id = i.relation_id
-        WHERE i.relation_type = 'running' AND a.class = 'person'),
-      enter AS (SELECT i.analysis_id, a.class_id AS arg1, b.class_id AS arg2, i.sf, i.ef
-        FROM vpi i JOIN vp a ON a.relation_id = i.relation_id JOIN vp b ON b.relation_id = i.relation_id
-        WHERE i.relation_type = 'enter_or_exit_vehicle' AND a.class = 'person' AND b.class = 'vehicle') """
+    ("vehicle_escape", "A"): """, run AS (SELECT analysis_id, arg1, sf, ef FROM who i
+        WHERE i.relation_type = 'running' AND i.class1 = 'person'),
+      enter AS (SELECT analysis_id, arg1, arg2, sf, ef FROM whose i
+        WHERE i.relation_type = 'enter_or_exit_vehicle' AND i.class1 = 'person' AND i.class2 = 'vehicle') """
     + _head("vehicle_escape", "visual", "r.analysis_id", ["r.arg1", "s.arg2"], "r.sf", "s.ef")
     + """ FROM run r JOIN enter s ON r.analysis_id = s.analysis_id AND r.arg1 = s.arg1
         WHERE r.ef <= s.sf AND s.sf - r.ef <= 48""",
     ("vehicle_escape", "B"): _audio_pair("vehicle_escape", "'engine'", "'tire_squeal'",
                                          "r.sf <= s.sf AND s.sf < r.ef"),
 }
-_BASE = with_views("vpi", "vp", "api")
+_BASE = with_views("whose", "api")
 
 
 def _event_sql(event: str, condition: str) -> str:
@@ -222,18 +217,13 @@ registry.add("detect_all_events",
 
 
 # The seconds domain with each recording's own frame rate.
-@registry.query(with_views("vpi", "vp", "runs") + """,
-    t AS (SELECT i.analysis_id, i.relation_type, a.class_id AS arg1, CAST(i.sf AS DOUBLE) / r.fps AS st,
-            CAST(i.ef AS DOUBLE) / r.fps AS et FROM vpi i JOIN runs r USING (analysis_id)
-            JOIN vp a ON a.relation_id = i.relation_id WHERE a.class = 'person'),
-    e AS (SELECT i.analysis_id, i.relation_type, a.class_id AS arg1, b.class_id AS arg2,
-            CAST(i.sf AS DOUBLE) / r.fps AS st, CAST(i.ef AS DOUBLE) / r.fps AS et
-            FROM vpi i JOIN runs r USING (analysis_id) JOIN vp a ON a.relation_id = i.relation_id
-            JOIN vp b ON b.relation_id = i.relation_id WHERE a.class = 'person' AND b.class = 'vehicle')
+@registry.query(with_views("whose", "runs") + """,
+    t AS (SELECT w.*, CAST(sf AS DOUBLE) / fps AS st, CAST(ef AS DOUBLE) / fps AS et FROM who w JOIN runs USING (analysis_id)
+      WHERE relation_type = 'running' AND class1 = 'person'),
+    e AS (SELECT w.*, CAST(sf AS DOUBLE) / fps AS st, CAST(ef AS DOUBLE) / fps AS et FROM whose w JOIN runs USING (analysis_id)
+      WHERE relation_type = 'enter_or_exit_vehicle' AND class1 = 'person' AND class2 = 'vehicle')
     SELECT m.analysis_id, m.arg1, n.arg2, round(m.st, 6) AS st, round(n.et, 6) AS et
-    FROM t m JOIN e n ON m.analysis_id = n.analysis_id AND m.arg1 = n.arg1
-    WHERE m.relation_type = 'running' AND n.relation_type = 'enter_or_exit_vehicle'
-      AND m.et <= n.st AND n.st - m.et <= 2""")
+    FROM t m JOIN e n ON m.analysis_id = n.analysis_id AND m.arg1 = n.arg1 WHERE m.et <= n.st AND n.st - m.et <= 2""")
 def event_vehicle_escape_seconds(v: Views):
     visual = with_seconds(v.visual.join(v.runs.select("analysis_id", "fps"), "analysis_id"),
                           F.col("fps"))

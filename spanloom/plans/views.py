@@ -158,7 +158,8 @@ def _sql_class(expr: str) -> str:
     return f"{sql_list(CLASSES)}[CAST(({expr}) % 3 + 1 AS INT)]"
 
 
-# The same views for DuckDB, as CTE bodies.
+# The same views for DuckDB, as CTE bodies.  "who" has a row for each participant of an interval, "whose" for
+# each two of them (itself among them).
 SQL = {
     "iv": f"""SELECT l_partkey AS analysis_id, l_returnflag AS pred, l_suppkey AS arg1,
         l_orderkey AS arg2, CAST({_DAY} AS BIGINT) AS sf,
@@ -171,6 +172,12 @@ SQL = {
         CAST(l_suppkey % 7 AS INT) AS p1, CAST((l_linenumber + 3) % 7 AS INT) AS p2 FROM lineitem""",
     "vp": f"""SELECT DISTINCT relation_id, class_id, {_sql_class('class_id')} AS class FROM (
         SELECT relation_id, p1 AS class_id FROM vpi UNION ALL SELECT relation_id, p2 FROM vpi)""",
+    "who": f"""SELECT *, {_sql_class('arg1')} AS class1 FROM (
+        SELECT analysis_id, relation_type, sf, ef, ids, unnest(ids) AS arg1 FROM (
+          SELECT l_partkey AS analysis_id, {sql_list(RELATIONS)}[CAST(l_orderkey % 8 + 1 AS INT)] AS relation_type,
+            CAST({_DAY} AS BIGINT) * 4 AS sf, CAST({_DAY} AS BIGINT) * 4 + CAST(l_quantity AS BIGINT) * 4 AS ef,
+            list_distinct([CAST(l_suppkey % 7 AS INT), CAST((l_linenumber + 3) % 7 AS INT)]) AS ids FROM lineitem))""",
+    "whose": f"""SELECT *, {_sql_class('arg2')} AS class2 FROM (SELECT *, unnest(ids) AS arg2 FROM who)""",
     "api": f"""SELECT l_partkey AS analysis_id,
         {sql_list(SOUNDS)}[CAST(l_suppkey % 8 + 1 AS INT)] AS audio_class,
         CAST({_DAY} AS BIGINT) * 4 AS sf,
@@ -197,7 +204,7 @@ SQL = {
 
 def with_views(*names: str) -> str:
     """``WITH`` clause for the named views, their own inputs first."""
-    needs = {"vp": ["vpi"], "relations": ["observed"], "frame_rel": ["observed"],
+    needs = {"vp": ["vpi"], "whose": ["who"], "relations": ["observed"], "frame_rel": ["observed"],
              "objects": ["observed"]}
     order: list[str] = []
     for name in names:
