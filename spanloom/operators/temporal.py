@@ -23,6 +23,8 @@ OPERATORS = ("Bef", "Aft", "SP", "EF", "DJ", "RDJ", "LOJ", "ROJ")
 # Each reverse operator is its partner with r and s exchanged.
 _REVERSED = {"Aft": "Bef", "RDJ": "DJ", "ROJ": "LOJ"}
 _BOUNDED_BELOW = ("<=", "<")
+# Further than any two points lie apart.
+FAR = float(1 << 52)
 
 Threshold = int | float | Column | None
 
@@ -42,8 +44,9 @@ class Temporal:
     """One temporal operator with its parameters.
 
     A parameter may be a Column of the joined rows, which lets one job evaluate
-    a table of thresholds.  ``bucket_delta`` is then a number no delta exceeds;
-    it only sizes the buckets and never decides a match.
+    a table of thresholds.  Where all of them are columns of one side, each of its rows gets
+    buckets of its own reach.  ``bucket_delta`` is for other cases a number that most deltas
+    do not exceed; it only sizes the buckets and never decides a match.
     """
 
     op: str
@@ -103,6 +106,29 @@ class Temporal:
                 & self._within(s_start - r_start, self.delta)
                 & self._within(s_end - r_end, self.epsilon))
 
+    def own_reach(self, length: Column | None) -> tuple[str, str, Column, Column]:
+        """(r point, s point, low, high): how far s's point may lie behind r's, by this row's own parameters.
+
+        Described for the forward operator.  ``length`` is that of the row that holds the
+        parameters, if the operator puts the other row's point into it.
+        """
+        def limit(value: Threshold) -> Column:
+            given = F.lit(FAR) if value is None else F.coalesce(
+                value if isinstance(value, Column) else F.lit(value), F.lit(FAR))
+            return F.least(given if length is None else F.least(given, length), F.lit(FAR)) + self.rho
+
+        def unless_reversed(symbol: str | Column, bound: Column, open_: float) -> Column:
+            if isinstance(symbol, Column):
+                return F.when(symbol.isin(*_BOUNDED_BELOW), bound).otherwise(F.lit(open_))
+            return bound if symbol in _BOUNDED_BELOW else F.lit(open_)
+
+        rho = self.rho if isinstance(self.rho, Column) else F.lit(self.rho)
+        if self.op in ("Bef", "SP", "LOJ"):
+            return "end" if self.op == "Bef" else "start", "start", unless_reversed(self.zeta, -rho, -FAR), limit(self.delta)
+        if self.op == "DJ":
+            return "start", "start", -limit(self.delta), unless_reversed(self.zeta, rho, FAR)
+        return "end", "end", -limit(self.epsilon), unless_reversed(self.eta, rho, FAR)
+
     def band(self) -> tuple[str, str, float, float] | None:
         """(r point, s point, low, high) when two points lie within a fixed distance.
 
@@ -177,6 +203,11 @@ def temporal_join(left: DataFrame, right: DataFrame, spec: Temporal, *,
     def point(side: str, which: str) -> Column:
         return F.col(bounds[side][0 if which == "start" else 1])
 
+    own = [c for c in (spec.delta, spec.epsilon, spec.rho, spec.zeta, spec.eta) if isinstance(c, Column)]
+    if own and how == "inner" and strategy == "auto" and spec.banded_delta is None:
+        holder = "r" if _holds(left, own) else "s" if _holds(right, own) else None
+        if holder:
+            return _by_own_reach(left, right, spec, holder, on, bounds, match)
     band = spec.band() if strategy == "auto" else None
     if band and isinstance(spec.delta, Column) and "start" in band[:2] and spec.bucket_delta is not None:
         return _by_bound(left, right, spec, how, {
@@ -208,21 +239,63 @@ def temporal_join(left: DataFrame, right: DataFrame, spec: Temporal, *,
     return join_rows(left, right, on, match, how)
 
 
+def _holds(df: DataFrame, columns: Sequence[Column]) -> bool:
+    try:
+        df.select(*columns).schema
+    except AnalysisException:
+        return False
+    return True
+
+
+def _by_own_reach(left: DataFrame, right: DataFrame, spec: Temporal, holder: str, on: Sequence[tuple[str, str]],
+                  bounds: dict[str, tuple[str, str]], match: Column) -> DataFrame:
+    """Parameters are columns of one side: its rows are ranges of where the other's point may lie, each on the
+    bucket level of its own length, so short and far ones, and a tolerance a row, share one join."""
+    first = holder == ("s" if spec.reversed else "r")  # the holder is the forward operator's r
+    begin, end = (F.col(c) for c in bounds[holder])
+    inside = spec.forward().op in (("SP", "LOJ", "EF") if first else ("DJ",))
+    r_which, s_which, low, high = spec.forward().own_reach(end - begin if inside else None)
+    mine, its = (r_which, s_which) if first else (s_which, r_which)
+    here = begin if mine == "start" else end
+    other = "s" if holder == "r" else "r"
+    point = F.col(bounds[other][0 if its == "start" else 1])
+    tables = {"r": left, "s": right}
+    keys = list(on) if other == "r" else [(rk, lk) for lk, rk in on]
+    span = (here + low, here + high) if first else (here - high, here - low)
+    return containment_join(tables[other], tables[holder], keys, point, *span, match).select(*left.columns, *right.columns)
+
+
+def either_join(left: DataFrame, right: DataFrame, symbol: Column, one: Temporal, other: Temporal, *,
+                on: Sequence[tuple[str, str]], left_bounds: tuple[str, str], right_bounds: tuple[str, str],
+                where: Column) -> DataFrame:
+    """Pairs by the operator that each left row names, of two that bound the right row's start; one join for both.
+
+    The parameters are columns of the left rows.
+    """
+    begin, end = (F.col(c) for c in left_bounds)
+    start, stop = (F.col(c) for c in right_bounds)
+    spans, matches = [], []
+    for spec in (one, other):
+        mine, its, low, high = spec.own_reach(end - begin if spec.op in ("SP", "LOJ") else None)
+        if spec.reversed or its != "start":
+            raise ValueError(f"{spec.op} does not bound the start of the right row")
+        here = begin if mine == "start" else end
+        spans.append((here + low, here + high))
+        matches.append(spec.predicate(begin, end, start, stop))
+    is_one = symbol == one.op
+    low, high = (F.when(is_one, a).otherwise(b) for a, b in zip(*spans))
+    match = F.when(is_one, matches[0]).otherwise(matches[1]) & where
+    return containment_join(right, left, [(rk, lk) for lk, rk in on], start, low, high, match).select(*left.columns, *right.columns)
+
+
 def _by_bound(left: DataFrame, right: DataFrame, spec: Temporal, how: str, rest: dict) -> DataFrame:
     """A threshold that is a column: rows within ``bucket_delta`` join by buckets, the others (unbounded, or
     further than that) on the equalities, so the bound decides no match."""
-    def holds(df: DataFrame) -> bool:
-        try:
-            df.select(spec.delta).schema
-        except AnalysisException:
-            return False
-        return True
-
     near = F.coalesce(spec.delta <= F.lit(spec.bucket_delta), F.lit(False))
     bounded = replace(spec, delta=F.least(spec.delta, F.lit(spec.bucket_delta)), bucket_delta=None)
-    if holds(left):
+    if _holds(left, [spec.delta]):
         parts = [(left.where(near), right), (left.where(~near), right)]
-    elif how == "inner" and holds(right):
+    elif how == "inner" and _holds(right, [spec.delta]):
         parts = [(left, right.where(near)), (left, right.where(~near))]
     else:
         return temporal_join(left, right, spec, how=how, strategy="recording", **rest)

@@ -10,7 +10,7 @@ from spanloom.operators.chain import Duration, chain
 from spanloom.operators.select import (
     any_of, pick, route_by_taxonomy, select_intervals, split_valid, with_seconds,
 )
-from spanloom.plans.events import Thresholds, detect, detect_all
+from spanloom.plans.events import Thresholds, detect, detect_all, detect_by_rows, parameters_of
 from spanloom.plans.registry import Registry
 from spanloom.plans.views import Views, with_views
 from spanloom.vocab import AUDIO_CLASSES, EVENTS
@@ -216,6 +216,40 @@ registry.add("detect_all_events",
              lambda v: detect_all(v.visual, v.audio, Thresholds(fps=FPS)), ALL_SQL)
 
 
+_TOLERANCE = 2  # frames
+
+
+def _tolerant(text: str) -> str:
+    """The same event with every bound loosened."""
+    for strict, loose in (("r.ef <= s.sf", f"r.ef <= s.sf + {_TOLERANCE}"), ("s.sf - r.ef <= 120", f"s.sf - r.ef <= {120 + _TOLERANCE}"),
+                          ("s.sf - r.ef <= 48", f"s.sf - r.ef <= {48 + _TOLERANCE}"),
+                          ("r.sf <= s.sf AND s.sf < r.ef", f"r.sf - {_TOLERANCE} <= s.sf AND s.sf < r.ef + {_TOLERANCE}")):
+        text = text.replace(strict, loose)
+    return text
+
+
+def _settings_sql() -> str:
+    ctes, parts = [], []
+    for setting, change in (("authored", lambda x: x), ("tolerant", _tolerant)):
+        for (event, modality), text in EVENT_SQL.items():
+            text = change(text)
+            if text.startswith(","):
+                extra, _, select = text.rpartition(") SELECT ")
+                if setting == "authored":
+                    ctes.append(extra.lstrip(", ") + ")")
+                text = "SELECT " + select
+            parts.append(f"SELECT '{setting}' AS setting, * FROM ({text})")
+    return _BASE + ",\n" + ",\n".join(ctes) + "\n" + " UNION ALL ".join(parts)
+
+
+@registry.query(_settings_sql())
+def detect_two_settings(v: Views):
+    """All events under two settings, whose parameters are rows of a table, in one job."""
+    base = Thresholds(fps=FPS)
+    settings = {"authored": base, "tolerant": base.everywhere(rho=_TOLERANCE / FPS)}
+    return detect_by_rows(v.visual, v.audio, parameters_of(settings, v.spark), base)
+
+
 # The seconds domain with each recording's own frame rate.
 @registry.query(with_views("whose", "runs") + """,
     t AS (SELECT w.*, CAST(sf AS DOUBLE) / fps AS st, CAST(ef AS DOUBLE) / fps AS et FROM who w JOIN runs USING (analysis_id)

@@ -11,11 +11,11 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from spanloom.operators.chain import Condition, Duration, chain
 from spanloom.operators.select import Selection, any_of, pick, select_intervals
-from spanloom.operators.temporal import Temporal
+from spanloom.operators.temporal import Temporal, either_join
 from spanloom.vocab import EVENTS, MODALITIES, STRICTNESS
 
 ARGS = ("arg1", "arg2", "arg3")
@@ -221,18 +221,175 @@ def detect(event: str, condition: str, visual: DataFrame, audio: DataFrame,
     return _under(condition, *_parts(event, _Scene(visual, audio, thresholds, strategy)))
 
 
+# -- all events in one pass --------------------------------------------------------
+
+@dataclass(frozen=True)
+class Single:
+    """An event that one interval makes: which slots it gives out, and what must hold."""
+
+    event: str
+    modality: str
+    first: Selection
+    args: tuple[str, ...]
+    where: str = "true"
+
+
+@dataclass(frozen=True)
+class Double:
+    """An event of two intervals: the operator, slots that must agree, slots given out."""
+
+    event: str
+    modality: str
+    op: str
+    first: Selection
+    second: Selection
+    args: tuple[str, ...] = ()
+    same: tuple[str, str] | None = None
+    where: str = "true"
+
+
+_CARRY = pick("carrying", arg1="person", arg2="object")
+SINGLES = (
+    Single("fight", "visual", pick("physical_altercation", arg1="person", arg2="person"), ("arg1", "arg2"), "arg1 != arg2"),
+    Single("gunshot_or_explosion", "visual", any_of(pick("gunshot_visible", arg1="person"),
+                                                    pick("explosion_visible", arg1=("vehicle", "object"))), ("arg1",)),
+    Single("gunshot_or_explosion", "audio", pick("gunshot_or_explosion"), ()),
+    Single("suspicious_near_vehicle", "visual", pick("suspicious_near_vehicle", arg1="person", arg2="vehicle"),
+           ("arg1", "arg2"), "e - s >= {suspicious}"),
+    Single("vehicle_collision", "visual", pick("vehicle_collision", arg1="vehicle"), ("arg1",)),
+)
+DOUBLES = (
+    Double("fight", "audio", "Bef", pick("shout"), pick("impact")),
+    Double("handoff", "visual", "Bef", _CARRY, _CARRY, ("m_arg1", "n_arg1", "m_arg2"), ("arg2", "arg2"), "m_arg1 != n_arg1"),
+    Double("vehicle_collision", "audio", "SP", pick("horn", "skidding"), pick("impact", "glass_breaking")),
+    Double("vehicle_escape", "visual", "Bef", pick("running", arg1="person"),
+           pick("enter_or_exit_vehicle", arg1="person", arg2="vehicle"), ("m_arg1", "n_arg2"), ("arg1", "arg1")),
+    Double("vehicle_escape", "audio", "SP", pick("engine"), pick("tire_squeal")),
+)
+PARAMETERS = "event_id string, modality string, delta double, zeta string, rho double"
+
+
+def _uses(selection: Selection, use: int, same: str | None) -> list[tuple[str, str]]:
+    """(label, SQL array of (use, arg1, arg2, same)): every way in which an interval serves the selection."""
+    out = []
+    for branch in selection.branches:
+        values = {"arg1": "NULL", "arg2": "NULL"}
+        made, inner = "", ""
+        for k, classes in sorted(branch.classes.items()):
+            names = ", ".join(f"'{c}'" for c in classes)
+            values[f"arg{k}"] = f"p{k}.class_id"
+            one = f"transform(filter(participants, q -> q.class IN ({names})), p{k} -> "
+            made, inner = made + (f"flatten({one}" if k < max(branch.classes) else one), inner + (")) " if k < max(branch.classes) else ")")
+        struct = (f"named_struct('use', {use}, 'arg1', CAST({values['arg1']} AS INT), 'arg2', CAST({values['arg2']} AS INT), "
+                  f"'same', CAST({values.get(same, '-1') if same else '-1'} AS INT))")
+        out += [(label, made + struct + inner if made else f"array({struct})") for label in branch.labels]
+    return out
+
+
+def _in_use(visual: DataFrame, audio: DataFrame, t: Thresholds, singles: Sequence[Single], doubles: Sequence[Double]) -> DataFrame:
+    """analysis_id, use, arg1, arg2, same, s, e: each table is read once, each interval goes out for all it serves.
+
+    Single i is use i; the two intervals of double i are uses 100 + 2 i and 101 + 2 i.
+    """
+    start, end = t.bounds
+    parts = []
+    for modality, rows, label in (("visual", visual, "relation_type"), ("audio", audio, "audio_class")):
+        uses = [u for i, x in enumerate(singles) if x.modality == modality for u in _uses(x.first, i, None)]
+        uses += [u for i, x in enumerate(doubles) if x.modality == modality for k, selection in enumerate((x.first, x.second))
+                 for u in _uses(selection, 100 + 2 * i + k, x.same[k] if x.same else None)]
+        by_label: dict[str, list[str]] = {}
+        for name, array in uses:
+            by_label.setdefault(name, []).append(array)
+        if by_label:
+            heard = rows.where(f"confidence >= {float(t.min_confidence)!r}") if modality == "audio" else rows
+            cases = " ".join(f"WHEN '{name}' THEN {arrays[0] if len(arrays) == 1 else f'concat({chr(44).join(arrays)})'}"
+                             for name, arrays in by_label.items())
+            names = ", ".join(f"'{name}'" for name in by_label)
+            parts.append(heard.where(f"{label} IN ({names})").selectExpr(
+                "analysis_id", f"explode(CASE {label} {cases} END) AS u", f"{start} AS s", f"{end} AS e"))
+    return reduce(DataFrame.union, parts).selectExpr("analysis_id", "u.*", "s", "e")
+
+
+def parameters_of(settings: Mapping[str, Thresholds], spark) -> DataFrame:
+    """One row for each setting and event of two intervals, distances in the unit of its intervals."""
+    rows = [(name, x.event, x.modality, None if (d := t.units(p.delta)) is None else float(d), p.zeta, float(t.units(p.rho)))
+            for name, t in settings.items() for x in DOUBLES for p in [t.pairs[x.event, x.modality]]]
+    return spark.createDataFrame(rows, "setting string, " + PARAMETERS)
+
+
+def detect_by_rows(visual: DataFrame, audio: DataFrame, parameters: DataFrame, thresholds: Thresholds = Thresholds(),
+                   events: Sequence[str] = EVENTS) -> DataFrame:
+    """Detections of all events in one pass, with the operators' parameters as rows.
+
+    ``parameters``: setting, event_id, modality, delta (null: unbounded), zeta, rho, and
+    analysis_id where recordings have their own.  Result: setting, analysis_id, event_id,
+    modality, arg1-3, sf, ef, for every setting.  ``thresholds`` gives the bounds, the least
+    confidence and the suspicious duration; its pairs are not used.
+
+    Both tables are read once.  All events of two intervals share one join: a first interval
+    meets the parameters, which say how far from it the second may start; that range lies on
+    a bucket level of its own length, so events and settings of any reach spread alike.
+    """
+    t = thresholds
+    singles = [x for x in SINGLES if x.event in events]
+    doubles = [x for x in DOUBLES if x.event in events]
+    # One exchange that all readers share.  Each takes all columns and filters behind an outer
+    # explode: other columns, or a filter in front, would differ between them and undo the sharing.
+    rows = _in_use(visual, audio, t, singles, doubles).hint("rebalance")
+
+    def serving(condition: str) -> DataFrame:
+        whole = f"array(struct({', '.join(rows.columns)}))"
+        return rows.selectExpr(f"explode_outer(CASE WHEN {condition} THEN {whole} ELSE slice({whole}, 1, 0) END) AS kept").where(
+            "kept IS NOT NULL").selectExpr("kept.*")
+
+    def chosen(column: str, by: str, values: Sequence[object]) -> str:
+        cases = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values))
+        return f"CASE {by} {cases} END AS {column}" if values else f"NULL AS {column}"
+
+    # A few names, as one value.
+    named = F.explode(parameters.agg(F.collect_set("setting")).scalar())
+    found = []
+    if singles:
+        ok = " ".join(f"WHEN {i} THEN {x.where.format(suspicious=t.units(t.suspicious_seconds))}" for i, x in enumerate(singles))
+        texts = {c: [f"'{getattr(x, c)}'" for x in singles] for c in ("event", "modality")}
+        out = serving("use < 100").where(f"CASE use {ok} END").selectExpr(
+            "analysis_id", chosen("event_id", "use", texts["event"]), chosen("modality", "use", texts["modality"]),
+            *[f"CAST({chosen(a, 'use', [a if a in x.args else 'NULL' for x in singles]).rpartition(' AS ')[0]} AS INT) AS {a}" for a in ARGS[:2]],
+            "CAST(NULL AS INT) AS arg3", "s AS sf", "e AS ef")
+        found.append(out.select(named.alias("setting"), *out.columns))
+    if doubles:
+        texts = {c: [f"'{getattr(x, c)}'" for x in doubles] for c in ("event", "modality", "op")}
+        first = serving("use >= 100 AND use % 2 = 0").selectExpr(
+            "analysis_id", "CAST((use - 100) DIV 2 AS INT) AS pair", "arg1 AS m_arg1", "arg2 AS m_arg2", "same", "s AS m_s", "e AS m_e")
+        first = first.selectExpr("*", chosen("event_id", "pair", texts["event"]), chosen("modality", "pair", texts["modality"]),
+                                 chosen("op", "pair", texts["op"]))
+        first = first.join(parameters, ["event_id", "modality"] + [c for c in ("analysis_id",) if c in parameters.columns])
+        second = serving("use >= 100 AND use % 2 = 1").selectExpr(
+            "analysis_id AS n_id", "CAST((use - 100) DIV 2 AS INT) AS n_pair", "arg1 AS n_arg1", "arg2 AS n_arg2", "same AS n_same",
+            "s AS n_s", "e AS n_e")
+        where = F.expr("CASE pair " + " ".join(f"WHEN {i} THEN {x.where}" for i, x in enumerate(doubles)) + " END")
+        met = either_join(first, second, F.col("op"), Temporal("Bef", F.col("delta"), zeta=F.col("zeta"), rho=F.col("rho")),
+                          Temporal("SP", F.col("delta"), zeta=F.col("zeta"), rho=F.col("rho")),
+                          on=[("analysis_id", "n_id"), ("pair", "n_pair"), ("same", "n_same")],
+                          left_bounds=("m_s", "m_e"), right_bounds=("n_s", "n_e"), where=where)
+        slots = [[*x.args, "NULL", "NULL", "NULL"][:3] for x in doubles]
+        found.append(met.selectExpr(
+            "setting", "analysis_id", "event_id", "modality",
+            *[f"CAST({chosen(a, 'pair', [s[k] for s in slots]).rpartition(' AS ')[0]} AS INT) AS {a}" for k, a in enumerate(ARGS)],
+            "m_s AS sf", "n_e AS ef"))
+    return reduce(DataFrame.union, found)
+
+
 def detect_all(visual: DataFrame, audio: DataFrame, thresholds: Thresholds = Thresholds(),
-               conditions: Sequence[str] = CONDITIONS, events: Sequence[str] = EVENTS,
-               strategy: str = "auto") -> DataFrame:
+               conditions: Sequence[str] = CONDITIONS, events: Sequence[str] = EVENTS) -> DataFrame:
     """Every event in every recording under every condition, as one long table.
 
-    Each event is detected once per modality.  The rows then pass one rebalancing
-    exchange that both readers share: A and B take them as they are, C takes
-    their distinct union.
+    All events are detected in one pass over the two tables (``detect_by_rows``).  The rows
+    then pass one rebalancing exchange that both readers share: A and B take them as they
+    are, C takes their distinct union.
     """
-    scene = _Scene(visual, audio, thresholds, strategy)
-    parts = [p for event in events for p in _parts(event, scene) if p is not None]
-    found = reduce(DataFrame.union, parts).hint("rebalance")
+    parameters = parameters_of({"": thresholds}, visual.sparkSession)
+    found = detect_by_rows(visual, audio, parameters, thresholds, events).drop("setting").hint("rebalance")
 
     def under(choices: dict[str, str]) -> str:
         """The conditions a row belongs to.  An outer explode with the filter behind

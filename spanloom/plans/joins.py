@@ -208,6 +208,22 @@ def bef_thresholds_partly_unbounded(v: Views):
                          left_bounds=R, right_bounds=S).select("r_analysis_id", "r_arg2", "r_ef", "s_arg2", "s_sf")
 
 
+@registry.query(with_views("iv") + """
+    SELECT r.analysis_id AS r_analysis_id, r.arg2 AS r_arg2, r.ef AS r_ef, s.arg2 AS s_arg2, s.sf AS s_sf
+    FROM iv r JOIN part p ON p.p_partkey = r.analysis_id JOIN iv s ON r.analysis_id = s.analysis_id
+    WHERE r.pred = 'A' AND s.pred = 'R' AND CASE WHEN p_size % 2 = 0 THEN r.ef < s.sf + p_size % 4 ELSE r.ef <= s.sf + p_size % 4 END
+      AND (p_size % 5 = 0 OR s.sf - r.ef <= p_size + p_size % 4)""")
+def bef_own_tolerance_and_strictness(v: Views):
+    """Delta (some without bound), tolerance and strictness are columns of the left rows."""
+    limits = v.table("part").select(
+        F.col("p_partkey").alias("p_id"), F.when(F.col("p_size") % 5 != 0, F.col("p_size")).alias("delta"),
+        (F.col("p_size") % 4).alias("rho"), F.when(F.col("p_size") % 2 == 0, "<").otherwise("<=").alias("zeta"))
+    left = v.side("A", "r_").join(limits, F.col("r_analysis_id") == F.col("p_id"))
+    spec = Temporal("Bef", delta=F.col("delta"), rho=F.col("rho"), zeta=F.col("zeta"))
+    return temporal_join(left, v.side("R", "s_"), spec, on=ON, left_bounds=R, right_bounds=S).select(
+        "r_analysis_id", "r_arg2", "r_ef", "s_arg2", "s_sf")
+
+
 @registry.query(with_views("iv") + """
     SELECT d.delta, count(*) AS n_pairs FROM iv r JOIN iv s ON r.analysis_id = s.analysis_id
     JOIN (SELECT unnest([5, 10, 20, 40]) AS delta) d ON true

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import os
 import re
+from functools import reduce
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from spanloom.operators.chain import Condition, chain
 from spanloom.operators.select import pick, select_intervals
 from spanloom.operators.temporal import Temporal
-from spanloom.plans.events import Thresholds, detect, detect_all
+from spanloom.plans.events import Thresholds, detect, detect_all, detect_by_rows, parameters_of
+from spanloom.vocab import EVENTS
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -114,3 +116,40 @@ def test_seconds_equal_frames(scenes):
         seconds = detect(event, condition, visual, audio, Thresholds(fps=1, bounds=("st", "et")))
         frames = detect(event, condition, *scenes, Thresholds(fps=24))
         assert found_in(seconds) == found_in(frames)
+
+
+def test_parameters_as_rows_equal_single_runs(scenes):
+    """Two settings in one job, and settings that differ by recording, equal runs of their own."""
+    base = Thresholds(fps=24)
+    settings = {"authored": base, "loose": base.everywhere(rho=1 / 24).named({"delta_audio_fight": "inf", "zeta_visual_handoff": "<"})}
+    spark = scenes[0].sparkSession
+    columns = ["analysis_id", "event_id", "modality", "arg1", "arg2", "arg3", "sf", "ef"]
+
+    def rows(df):
+        return sorted(map(str, df.select(columns).collect()))
+
+    both = detect_by_rows(*scenes, parameters_of(settings, spark), base).cache()
+    alone = {}
+    for name, t in settings.items():
+        each = [detect(event, c, *scenes, t) for event in EVENTS for c in ("A", "B")]
+        alone[name] = rows(reduce(DataFrame.union, each))
+        assert rows(both.where(f"setting = '{name}'")) == alone[name] and alone[name]
+    assert alone["authored"] != alone["loose"]
+    ids = scenes[0].select("analysis_id").union(scenes[1].select("analysis_id")).distinct()
+    own = parameters_of(settings, spark).join(ids, F.when(F.col("analysis_id") % 2 == 0, "loose").otherwise("authored") == F.col("setting"))
+    mixed = detect_by_rows(*scenes, own.withColumn("setting", F.lit("own")), base)
+    pairs = both.where("(event_id, modality) IN (('fight', 'audio'), ('handoff', 'visual'), ('vehicle_escape', 'visual'), "
+                       "('vehicle_escape', 'audio'), ('vehicle_collision', 'audio'))")
+    want = pairs.where((F.col("setting") == "loose") == (F.col("analysis_id") % 2 == 0))
+    assert rows(mixed.join(want.select("event_id", "modality").distinct(), ["event_id", "modality"], "left_semi")) == rows(want)
+
+
+def test_both_tables_are_read_once(spark, scenes, tmp_path):
+    for name, df in zip(("visual", "audio"), scenes):
+        df.write.parquet(str(tmp_path / name))
+    stored = [spark.read.parquet(str(tmp_path / name)) for name in ("visual", "audio")]
+    rows = detect_all(*stored, Thresholds(fps=24))
+    rows.collect()
+    plan = spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "formatted")
+    final = plan.split("Initial Plan")[0]
+    assert final.count("- Scan parquet") == 2 and "ReusedExchange" in final, final
