@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.functions.time import overlap_length
-from spanloom.operators import matching, scoring
+from spanloom.operators import matching, scoring, sweep
 from spanloom.operators.temporal import Temporal, temporal_join
 from spanloom.plans.detection import ALL_SQL, FPS
 from spanloom.plans.events import CONDITIONS, Thresholds, detect_all
 from spanloom.plans.joins import ON, R, S
 from spanloom.plans.registry import Registry
-from spanloom.plans.views import RELATIONS, Views, by_remainder, with_views
+from spanloom.plans.views import RELATIONS, SOUNDS, Views, by_remainder, with_views
 from spanloom.vocab import EVENTS
 
 registry = Registry()
@@ -305,3 +305,113 @@ def best_settings_with_ties(v: Views):
 def tolerance_ablation(v: Views):
     rows = sweep_scores(v).withColumn("tolerant", F.col("rho") == 5)
     return scoring.ablation(rows, ["delta", "event"], "tolerant")
+
+
+# -- windows, hops and producers ---------------------------------------------------
+
+_GRID = ((6, 6), (6, 3), (12, 12), (12, 6), (24, 24), (24, 12))
+# Which events a recording should show: every second one, by its number.
+_SHOULD = """should AS (SELECT DISTINCT analysis_id AS scene, event FROM observed, (SELECT unnest({events}) AS event,
+      unnest(range({n})) AS place) WHERE (analysis_id + place) % 2 = 0)"""
+_AUDIO_EVENTS = ("fight", "gunshot_or_explosion", "vehicle_collision", "vehicle_escape")
+_HEARD = with_views("observed") + f""",
+    s AS (SELECT analysis_id, frame, {list(SOUNDS)}[CAST(k % 8 + 1 AS INT)] AS label, value AS score FROM observed),
+    {_SHOULD.format(events=list(_AUDIO_EVENTS), n=len(_AUDIO_EVENTS))},
+    c AS (SELECT * FROM (VALUES {", ".join(str(c) for c in _GRID)}) c("window", hop)),
+    m AS (SELECT c."window", c.hop, s.*, unnest(range(CAST(greatest(floor((frame - c."window") / c.hop) + 1, 0) AS BIGINT),
+      frame // c.hop + 1)) * c.hop AS sf FROM s, c),
+    t AS (SELECT *, row_number() OVER (PARTITION BY "window", hop, analysis_id, sf ORDER BY score DESC, label) AS rn FROM m),
+    y AS (SELECT "window", hop, analysis_id, label AS audio_class, sf, sf + "window" AS ef, score FROM t WHERE rn = 1 AND score >= 5),
+    u AS (SELECT *, max(ef) OVER (PARTITION BY "window", hop, analysis_id, audio_class ORDER BY sf
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM y),
+    n AS (SELECT *, sum(CASE WHEN sf <= reach + hop THEN 0 ELSE 1 END) OVER (
+      PARTITION BY "window", hop, analysis_id, audio_class ORDER BY sf ROWS UNBOUNDED PRECEDING) AS island FROM u),
+    i AS (SELECT "window", hop, analysis_id, audio_class, min(sf) AS sf, max(ef) AS ef FROM n
+      GROUP BY "window", hop, analysis_id, audio_class, island),
+    d AS (SELECT "window", hop, analysis_id AS scene, 'gunshot_or_explosion' AS event FROM i WHERE audio_class = 'gunshot_or_explosion'
+      UNION SELECT r."window", r.hop, r.analysis_id, e.event FROM i r JOIN i s ON r.analysis_id = s.analysis_id AND r."window" = s."window"
+        AND r.hop = s.hop JOIN (VALUES ('fight'), ('vehicle_collision'), ('vehicle_escape')) e(event)
+        ON (event = 'fight' AND r.audio_class = 'shout' AND s.audio_class = 'impact' AND r.ef <= s.sf AND s.sf - r.ef <= 5)
+        OR (event = 'vehicle_collision' AND r.audio_class IN ('horn', 'skidding') AND s.audio_class IN ('impact', 'glass_breaking')
+          AND r.sf <= s.sf AND s.sf < r.ef)
+        OR (event = 'vehicle_escape' AND r.audio_class = 'engine' AND s.audio_class = 'tire_squeal' AND r.sf <= s.sf AND s.sf < r.ef))"""
+_OUTCOME = """outcomes AS (SELECT {keys}, scene, event, CASE WHEN should AND found THEN 'TP' WHEN should THEN 'FN'
+      WHEN found THEN 'FP' ELSE 'TN' END AS result FROM (
+        SELECT {keys}, g.scene, g.event, w.scene IS NOT NULL AS should, d.scene IS NOT NULL AS found
+        FROM (SELECT DISTINCT {keys}, analysis_id AS scene, event FROM observed, (SELECT DISTINCT {keys} FROM {configs}),
+          (SELECT unnest({events}) AS event)) g
+        LEFT JOIN should w USING (scene, event) LEFT JOIN {found} d USING ({keys}, scene, event)))"""
+
+
+def _should(v: Views, events: tuple[str, ...]):
+    place = F.explode(F.sequence(F.lit(0), F.lit(len(events) - 1))).alias("place")
+    rows = v.observed.select("analysis_id").distinct().select(F.col("analysis_id").alias("scene"), place)
+    return rows.where((F.col("scene") + F.col("place")) % 2 == 0).select(
+        "scene", by_remainder(F.col("place"), events).alias("event"))
+
+
+def _swept(v: Views):
+    """Audio intervals of each configuration, whose recordings are (configuration, recording)."""
+    scores = v.observed.select("analysis_id", "frame", by_remainder(F.col("k"), SOUNDS).alias("label"), F.col("value").alias("score"))
+    rows = sweep.sweep_intervals(scores, "frame", _GRID, ["analysis_id"], floor=5.0)
+    return rows.select(F.struct("window", "hop", "analysis_id").alias("analysis_id"), "audio_class",
+                       F.col("start_frame").alias("sf"), F.col("end_frame").alias("ef"), "confidence")
+
+
+def _nothing_seen(audio):
+    """No visual rows, in the recordings of the audio rows."""
+    return audio.limit(0).selectExpr("analysis_id", "'' AS relation_type", "sf", "ef",
+                                     "CAST(array() AS array<struct<class_id: int, class: string>>) AS participants")
+
+
+@registry.query(_HEARD + ", " + _OUTCOME.format(keys='"window", hop', configs="c", events=list(_AUDIO_EVENTS), found="d") + ", "
+                + metrics_sql("outcomes", "event", '"window", hop') + " SELECT * FROM metrics")
+def window_hop_sweep(v: Views):
+    """Six (window, hop) settings from one set of panes to metrics per event, in one job."""
+    audio = _swept(v)
+    found = detect_all(_nothing_seen(audio), audio, Thresholds(fps=1), conditions=["B"]).select(
+        F.col("analysis_id.window").alias("window"), F.col("analysis_id.hop").alias("hop"),
+        F.col("analysis_id.analysis_id").alias("scene"), F.col("event_id").alias("event"))
+    configs = F.explode(F.array(*[F.struct(F.lit(w).cast("long").alias("window"), F.lit(h).cast("long").alias("hop")) for w, h in _GRID]))
+    scenes = v.observed.select(F.col("analysis_id").alias("scene")).distinct().select("scene", configs.alias("c")).select("scene", "c.*")
+    expected = _should(v, _AUDIO_EVENTS).join(scenes, "scene")
+    outcomes = matching.event_outcomes(scenes, expected, found, _AUDIO_EVENTS, ("scene", "window", "hop"))
+    return scoring.score(outcomes, "event", ["window", "hop"])
+
+
+_PRODUCERS = (("near", 40), ("far", 160))
+_PAIRS_SQL = with_views("vpi", "api") + f""",
+    observed AS (SELECT DISTINCT p_partkey AS analysis_id FROM part),
+    {_SHOULD.format(events=list(EVENTS), n=len(EVENTS))},
+    seen AS (SELECT DISTINCT p.name AS visual, analysis_id AS scene, CASE relation_type WHEN 'vehicle_collision' THEN 'vehicle_collision'
+        ELSE 'gunshot_or_explosion' END AS event FROM vpi, (VALUES {_PRODUCERS[0]}, {_PRODUCERS[1]}) p(name, least)
+      WHERE relation_type IN ('vehicle_collision', 'gunshot_visible') AND ef - sf >= p.least),
+    heard AS (SELECT DISTINCT p.name AS audio, analysis_id AS scene, CASE audio_class WHEN 'impact' THEN 'fight'
+        ELSE 'gunshot_or_explosion' END AS event FROM api, (VALUES {_PRODUCERS[0]}, {_PRODUCERS[1]}) p(name, least)
+      WHERE audio_class IN ('impact', 'gunshot_or_explosion') AND ef - sf >= p.least),
+    pairs AS (SELECT v.name AS visual, a.name AS audio FROM (VALUES ('near'), ('far')) v(name), (VALUES ('near'), ('far')) a(name)),
+    both_ AS (SELECT visual, p.audio, scene, event FROM seen JOIN pairs p USING (visual)
+      UNION SELECT p.visual, audio, scene, event FROM heard JOIN pairs p USING (audio)), """
+
+
+@registry.query(_PAIRS_SQL + _OUTCOME.format(keys="visual, audio", configs="pairs", events=list(EVENTS), found="both_") + ", "
+                + metrics_sql("outcomes", "event", "visual, audio") + " SELECT * FROM metrics")
+def producer_pair_metrics(v: Views):
+    """Two visual and two audio producers (they differ in the shortest interval they report), metrics of every pair."""
+    least = F.explode(F.array(*[F.struct(F.lit(n).alias("producer"), F.lit(m).alias("least")) for n, m in _PRODUCERS])).alias("p")
+
+    def found(rows, label, events):
+        event = F.create_map(*[F.lit(x) for pair in events.items() for x in pair])[F.col(label)]
+        return rows.where(F.col(label).isin(list(events))).select("analysis_id", event.alias("event"), "sf", "ef", least).where(
+            F.col("ef") - F.col("sf") >= F.col("p.least")).select("p.producer", F.col("analysis_id").alias("scene"), "event")
+
+    seen = found(v.visual, "relation_type", {"vehicle_collision": "vehicle_collision", "gunshot_visible": "gunshot_or_explosion"})
+    heard = found(v.audio, "audio_class", {"impact": "fight", "gunshot_or_explosion": "gunshot_or_explosion"})
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("visual"), F.lit(b).alias("audio")) for a, _ in _PRODUCERS for b, _ in _PRODUCERS]))
+    scenes = v.table("part").select(F.col("p_partkey").alias("scene")).distinct().select("scene", pairs.alias("c")).select("scene", "c.*")
+    parts = v.table("part").select(F.col("p_partkey").alias("scene")).distinct()
+    place = F.explode(F.sequence(F.lit(0), F.lit(len(EVENTS) - 1))).alias("place")
+    expected = parts.select("scene", place).where((F.col("scene") + F.col("place")) % 2 == 0).select(
+        "scene", by_remainder(F.col("place"), EVENTS).alias("event")).join(scenes, "scene")
+    outcomes = matching.event_outcomes(scenes, expected, sweep.producer_pairs(seen, heard, scenes), EVENTS, ("scene", "visual", "audio"))
+    return scoring.score(outcomes, "event", ["visual", "audio"])
