@@ -76,3 +76,25 @@ def in_frames(parameters: DataFrame, runs: DataFrame) -> DataFrame:
     """Seconds to frames by each recording's own rate, half-even."""
     return parameters.join(runs.select("analysis_id", "fps"), "analysis_id").withColumn(
         "frames", seconds_to_frames(F.col("seconds"), F.col("fps")))
+
+
+def operator_rows(resolved: DataFrame, keys: Sequence[str] = ("setting",), scale: Column | None = None) -> DataFrame:
+    """Resolved parameters by name, as one row for each event's operator: what ``detect_by_rows`` joins.
+
+    ``resolved``: ``keys`` (setting, perhaps analysis_id), name such as ``delta_audio_fight``,
+    number (null: unbounded) and strictness.  ``scale`` turns numbers into the intervals' unit,
+    such as frames a second.  A kind without a row has its default.
+    """
+    parts = [F.regexp_extract("name", _NAMED + "(.+)$", i) for i in (1, 2, 3)]
+    kind, modality, event = parts
+    number = F.col("number") if scale is None else F.col("number") * scale
+    rows = resolved.where(F.col("name").rlike(_NAMED)).select(
+        *keys, event.alias("event_id"), modality.alias("modality"), kind.alias("kind"), number.cast("double").alias("number"),
+        "strictness")
+
+    def of(name: str, value: str) -> Column:
+        return F.max(F.when(F.col("kind") == name, F.col(value)))
+
+    return rows.groupBy(*keys, "event_id", "modality").agg(
+        of("delta", "number").alias("delta"), F.coalesce(of("zeta", "strictness"), F.lit(DEFAULTS["zeta"])).alias("zeta"),
+        F.coalesce(of("rho", "number"), F.lit(float(DEFAULTS["rho"]))).alias("rho"))

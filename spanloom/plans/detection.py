@@ -8,9 +8,10 @@ from spanloom.functions.time import clock_text
 from spanloom.operators import setops
 from spanloom.operators.chain import Duration, chain
 from spanloom.operators.select import (
-    any_of, pick, route_by_taxonomy, select_intervals, split_valid, with_seconds,
+    any_of, attach_participants, pick, route_by_taxonomy, select_intervals, split_valid, with_seconds,
 )
-from spanloom.plans.events import Thresholds, detect, detect_all, detect_by_rows, parameters_of
+from spanloom.operators.thresholds import operator_rows, resolve
+from spanloom.plans.events import PAIRS, Thresholds, detect, detect_all, detect_by_rows, parameters_of
 from spanloom.plans.registry import Registry
 from spanloom.plans.views import Views, with_views
 from spanloom.vocab import AUDIO_CLASSES, EVENTS
@@ -69,6 +70,18 @@ def select_participant_classes(v: Views):
                             v.visual, v.audio)
 
 
+@registry.query(with_views("who") + """
+    SELECT analysis_id, arg1, count(*) AS n, sum(ef - sf) AS frames FROM who
+    WHERE relation_type = 'running' AND class1 = 'person' GROUP BY 1, 2""")
+def select_from_child_table(v: Views):
+    """Participants kept in a table of their own are nested into their intervals, then selected."""
+    keyed = v.visual.withColumn("relation_id", F.struct("analysis_id", "relation_type", "sf", "ef", "participants"))
+    children = keyed.select("relation_id", F.explode("participants").alias("p")).select("relation_id", "p.*").distinct()
+    rows = attach_participants(keyed.drop("participants"), children)
+    return select_intervals(pick("running", arg1="person"), rows, v.audio).groupBy("analysis_id", "arg1").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("ef") - F.col("sf")).alias("frames"))
+
+
 @registry.query(with_views("vpi", "api") + f"""
     SELECT label, source, count(*) AS n FROM (
       SELECT relation_type AS label, CASE WHEN relation_type IN {tuple(AUDIO_CLASSES)} THEN 'audio'
@@ -250,6 +263,22 @@ def detect_two_settings(v: Views):
     return detect_by_rows(v.visual, v.audio, parameters_of(settings, v.spark), base)
 
 
+@registry.query(_BASE + "," + ",".join(x.rpartition(") SELECT ")[0].lstrip(", ") + ")" for x in EVENT_SQL.values() if x.startswith(","))
+                + " " + " UNION ALL ".join("SELECT 'stored' AS setting, * FROM (" + (
+                    "SELECT " + x.rpartition(") SELECT ")[2] if x.startswith(",") else x).replace("<= 120", "<= 240") + ")"
+                    for x in EVENT_SQL.values()))
+def detect_resolved_parameters(v: Views):
+    """From authored literals over defaults to typed rows, and from these to detections, in one job."""
+    names = [f"{kind}_{m}_{e}" for e, m in PAIRS for kind in ("delta", "zeta", "rho")]
+    spec = v.literals([(n, n.partition("_")[0]) for n in names], "name string, key_kind string")
+    authored = v.literals([("delta_audio_fight", "10"), ("delta_visual_vehicle_escape", "2"), ("zeta_visual_handoff", "<=")],
+                          "name string, literal string")
+    values = spec.join(authored, "name", "left").select("name", "key_kind", F.coalesce(
+        "literal", F.when(F.col("key_kind") == "delta", "inf").when(F.col("key_kind") == "zeta", "<=").otherwise("0")).alias("value"))
+    rows = operator_rows(resolve(values).withColumn("setting", F.lit("stored")), scale=F.lit(FPS))
+    return detect_by_rows(v.visual, v.audio, rows, Thresholds(fps=FPS))
+
+
 # The seconds domain with each recording's own frame rate.
 @registry.query(with_views("whose", "runs") + """,
     t AS (SELECT w.*, CAST(sf AS DOUBLE) / fps AS st, CAST(ef AS DOUBLE) / fps AS et FROM who w JOIN runs USING (analysis_id)
