@@ -212,6 +212,9 @@ _ALIKE = f"""coalesce((SELECT list(CAST({{'frame': 0, 'ordinal': 0, 'id': id, 'c
 _BOTH = f"list_concat({_RECENT}, list_filter({_ALIKE}, lambda x: NOT list_contains(list_transform(recent, lambda y: y.id), x.id)))[1:8]"
 
 
-@registry.query(identity_sql(_BOTH, _MEMORY))
+SIMILAR_SQL = identity_sql(_BOTH, _MEMORY)
+
+
+@registry.query(SIMILAR_SQL)
 def tracked_identities_similar(v: Views):
     return identity.track_similar(v.seen, rate=1, k=4, cap=8)

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from spanloom.plans.construction import coalesced_sql, collapse_sql
 from spanloom.plans.joins import predicate_sql
 from spanloom.plans.registry import Registry
-from spanloom.plans.similar import TRACKED_SQL
+from spanloom.plans.similar import SIMILAR_SQL, TRACKED_SQL
 from spanloom.plans.views import Views, with_views
-from spanloom.streaming.identity import stream_track
+from spanloom.streaming.identity import stream_track, stream_track_similar
 from spanloom.streaming.intervals import stream_before, stream_coalesce_audio, stream_intervals
 from spanloom.streaming.run import drain
 
@@ -75,3 +75,11 @@ def stream_bounded_before(v: Views):
 @registry.query(TRACKED_SQL)
 def stream_tracked_identities(v: Views):
     return drain(v.spark, stream_track(StreamViews(v.spark, v.sf_dir).objects, rate=1))
+
+
+@registry.query(SIMILAR_SQL)
+def stream_tracked_identities_similar(v: Views):
+    """Streamed detections take their vectors from the stored table."""
+    looks = v.table("embeddings").select(F.col("vec_id").cast("int").alias("ordinal"), "embedding")
+    seen = StreamViews(v.spark, v.sf_dir).objects.join(looks, "ordinal", "left")
+    return drain(v.spark, stream_track_similar(seen, rate=1, k=4, cap=8))

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spanloom.operators.identity import TRACKED, Tracker
+from spanloom.operators.identity import TRACKED, MemoryTracker, Remembered, Tracker
+from spanloom.operators.nearest import DISTANCE_DIGITS, unit
 
 
 def stream_track(objects: DataFrame, rate: int, n: int = 3, cap: int = 30) -> DataFrame:
@@ -43,3 +47,86 @@ def stream_track(objects: DataFrame, rate: int, n: int = 3, cap: int = 30) -> Da
     return rows.groupBy("analysis_id").applyInPandasWithState(
         advance, TRACKED.format(key=key), "next_id long, recent string", "append",
         GroupStateTimeout.NoTimeout)
+
+
+class StoredMemory(MemoryTracker):
+    """The tracker of a recording between two batches: its whole memory, as the state holds it."""
+
+    def __init__(self, n: int, rate: int, cap: int, k: int, next_id: int, recent: list, entries: list[tuple]) -> None:
+        super().__init__(n, rate, cap, k)
+        self.next_id, self.recent = next_id, deque(recent)
+        self.entries = [Remembered(f, o, i, c, json.loads(b), asks, np.frombuffer(v), []) for f, o, i, c, b, asks, v in entries]
+        self.known = len(self.entries)
+        self.ids = {(e.frame, e.ordinal): e.class_id for e in self.entries}
+        latest = max((e.frame for e in self.entries), default=0)
+        by_frame: dict[int, list[Remembered]] = {}
+        for e in self.entries:
+            if e.frame >= latest - n * rate:
+                by_frame.setdefault(e.frame, []).append(e)
+        self.held = deque(by_frame[f] for f in sorted(by_frame))
+        self.matrix: np.ndarray | None = None
+
+    def nearest(self, asking: Remembered, frame: int) -> list[tuple[float, int, int, str, list[int]]]:
+        """The state is queried whole: all entries are of earlier frames, since frames come in order."""
+        if self.matrix is None or len(self.matrix) < len(self.entries):
+            self.matrix = np.vstack([e.vector for e in self.entries])
+        far = np.round(np.maximum(1.0 - self.matrix @ asking.vector, 0.0), DISTANCE_DIGITS)
+        cut = np.partition(far, min(self.k, len(far)) - 1)[min(self.k, len(far)) - 1]
+        near = [(float(far[j]), e.frame, e.ordinal, e.cls, e.blocks) for j in np.flatnonzero(far <= cut) for e in [self.entries[j]]]
+        return sorted(near, key=lambda e: e[:3])[: self.k]
+
+    def step(self, frame: int, objects: list[tuple]) -> list[tuple[int, int, bool]]:
+        out = super().step(frame, objects)
+        self.entries += self.held[-1]
+        return out
+
+    def added(self) -> list[tuple]:
+        return [(e.frame, e.ordinal, e.class_id, e.cls, json.dumps(e.blocks), e.asks, e.vector.tobytes())
+                for e in self.entries[self.known:]]
+
+
+class Remembering(StatefulProcessor):
+    """A recording's counter and last frames as one value, its memory as a list that only grows at its end."""
+
+    def __init__(self, n: int, rate: int, cap: int, k: int) -> None:
+        self.setting = n, rate, cap, k
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("tracker", "next_id long, recent string")
+        self.memory = handle.getListState(
+            "memory", "frame long, ordinal int, class_id int, kind string, blocks string, asks boolean, vector binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        come = pd.concat(list(rows)).sort_values(["frame", "ordinal"])
+        next_id, recent = self.value.get() if self.value.exists() else (1, "[]")
+        seen = [(f, [tuple(o) for o in objs]) for f, objs in json.loads(recent)]
+        held = [tuple(r) for r in self.memory.get()] if self.memory.exists() else []
+        tracker = StoredMemory(*self.setting, next_id, seen, held)
+        out = []
+        for frame, part in come.groupby("frame", sort=True):
+            objects = []
+            for r in part.itertuples(index=False):
+                blocks = [int(b) for b in r.blocks]
+                vector = unit(pd.Series([r.embedding]))[0] if r.embedding is not None and blocks else None
+                objects.append((r.ordinal, r.raw_id, r.cls, blocks, vector, []))
+            out += [(key[0], frame, *hit) for hit in tracker.step(int(frame), objects)]
+        self.value.update((tracker.next_id, json.dumps(list(tracker.recent))))
+        if tracker.added():
+            self.memory.appendList(tracker.added())
+        yield pd.DataFrame(out, columns=["analysis_id", "frame", "ordinal", "class_id", "fresh"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_track_similar(objects: DataFrame, rate: int, n: int = 3, k: int = 5, cap: int = 30) -> DataFrame:
+    """``track_similar`` from batch to batch, its memory in keyed state (RocksDB) that is queried frame by frame.
+
+    A batch of a recording reads its memory once and adds what is new; the memory grows with
+    the recording, as the batch operator's table does.  Frames must arrive in order.
+    """
+    key = objects.schema["analysis_id"].dataType.simpleString()
+    rows = objects.select("analysis_id", "frame", "ordinal", "raw_id", F.col("class").alias("cls"), "blocks", "embedding").where(
+        "analysis_id IS NOT NULL AND frame IS NOT NULL")
+    return rows.groupBy("analysis_id").transformWithStateInPandas(
+        Remembering(n, rate, cap, k), TRACKED.format(key=key), "Append", "None")

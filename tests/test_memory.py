@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import identity, nearest
+from spanloom.streaming.identity import stream_track_similar
+from spanloom.streaming.run import drain
 from test_identity import resolve
 
 ENTRIES = "analysis_id int, frame long, class_id int, embedding array<float>"
@@ -158,3 +160,15 @@ def test_what_is_remembered(spark):
     assert sorted(r.ordinal for r in got) == [0, 1, 4, 8]
     kept = [o for o, _ in identity.resolve_frame([r[2:6] for r in rows], [])]
     assert set(kept) == {0, 1, 4, 6, 7, 8}
+
+
+def test_streamed_memory_equals_a_replay(spark, tmp_path):
+    """Batch borders fall between frames; the memory outlives them."""
+    rows = detections(5, 40)
+    for lo, hi in ((0, 20), (20, 22), (22, 60), (60, 100)):
+        spark.createDataFrame([r for r in rows if lo <= r[1] < hi], OBJECTS).coalesce(1).write.parquet(str(tmp_path / f"in/d={lo:03d}"))
+    schema = spark.createDataFrame([], OBJECTS).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/d=*"))
+    got = {(r.analysis_id, r.frame, r.ordinal): (r.class_id, r.fresh)
+           for r in drain(spark, stream_track_similar(stream, 2, 3, 4)).collect()}
+    assert got == replay(rows, 2, 3, 4, 30)
