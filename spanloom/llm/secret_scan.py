@@ -130,11 +130,14 @@ def spans_of(text: str, chains: Chains) -> list[tuple[int, int, int]]:
     return spans + more
 
 
+def last_picked(sample: int, n: int) -> int:
+    """The greatest 64-bit hash that is picked, so that about ``sample`` of ``n`` rows are, however many there are."""
+    return min(1 << 64, (sample << 64) // max(1, n)) - (1 << 63) - 1
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Chains:
     """Chains of at most about ``sample`` texts; what comes to the driver are two small tables of counts."""
-    n = docs.count()
-    share = min(1.0, sample / max(1, n))
-    picked = docs.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("secrets")), F.lit(1_000_000)) < int(share * 1_000_000))
+    picked = docs.where(F.xxhash64(F.col("doc_id"), F.lit("secrets")) <= F.lit(last_picked(sample, docs.count())))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, SIZE * SIZE), np.int64)
