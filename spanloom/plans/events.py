@@ -55,7 +55,7 @@ class Thresholds:
     pairs: Mapping[tuple[str, str], Pair] = field(default_factory=lambda: dict(PAIRS))
     suspicious_seconds: float = 3
     min_confidence: float = 0.0
-    # Tasks per (recording, object) in the unbounded handoff join.
+    # Tasks per (recording, object) in the unbounded handoff join of a single ``detect``.
     handoff_salt: int = 1
 
     def units(self, seconds: float | None) -> int | float | None:
