@@ -16,13 +16,14 @@ from spanloom.streaming.run import drain
 registry = Registry()
 
 
-# Recordings begin a day after another, and rows of one may come so late.
+# Recordings begin a day after another, the first one after the epoch, where a stream's watermark stands before its
+# first batch and what is not later counts as late; rows of one may come so late.
 FPS, LATE_FRAMES = 25, 100
 LATENESS = f"{LATE_FRAMES // FPS} seconds"
 
 
 def started():
-    return F.timestamp_seconds(F.col("analysis_id").cast("long") * 86400)
+    return F.timestamp_seconds((F.col("analysis_id").cast("long") + 1) * 86400)
 
 
 class StreamViews(Views):

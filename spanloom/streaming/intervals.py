@@ -3,7 +3,8 @@
 A watermark belongs to the whole stream, so event time must be real time: the start of
 the recording plus the frame's time in it (``event_time``).  A recording that begins
 after another has gone on is then not late.  How late rows may come is stated by the
-caller; rows later than that are dropped, as in any stream.  An interval appears once its
+caller; rows later than that are dropped, as in any stream, and so are rows at or before the
+epoch, where a watermark begins.  An interval appears once its
 own recording, or the whole stream, has gone on beyond it (``closing.py``).
 """
 
