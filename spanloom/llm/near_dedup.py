@@ -11,7 +11,8 @@ words within a diagonal band decides: linked where the words aligned are at leas
 Texts of the same words are one node from the start.  Candidates are not spelled out as
 all pairs of a bucket: first each member is aligned with its bucket's centre, which
 settles buckets of copies however large; then only members whose classes still differ
-are paired, so no link between members of a bucket is lost.
+are paired, so no link between members of a bucket is lost.  Which words two texts hold
+bounds how many can align, so pairs that cannot reach ``LEAST`` are not aligned.
 
 Defined results: null counts as empty; texts without words are alike only when identical;
 repeated ids fall in one class with whatever either text resembles; an empty table gives
@@ -22,11 +23,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from spanloom.llm.common import stored, text_or_empty
 from spanloom.llm.components import components
@@ -44,6 +47,8 @@ SHORT, SHORT_PICKS = 32, 3
 # Members of other classes that a member of a mixed bucket is aligned with, round by round; None: all that are left.
 PARTNERS = (16, None)
 WORD = re.compile(r"\w+")
+# Bits that say which words a text holds, a multiple of 64.
+BITS = 2_048
 # Hashes held at a time while a long text is sketched.
 CELLS = 2_000_000
 
@@ -110,6 +115,13 @@ def sketches(words: np.ndarray, picks: int = PICKS, number: int = SKETCHES) -> n
     return np.concatenate(keys)
 
 
+def held_bits(words: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """One bit for each word that the text holds, as 64-bit numbers."""
+    held = np.zeros(bits, np.uint8)
+    held[words % np.uint64(bits)] = 1
+    return np.packbits(held, bitorder="little").view("<i8")
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
     """Share of the longer text's words in the best alignment within the band that ``least`` allows.
 
@@ -148,25 +160,26 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
 # -- Spark steps -----------------------------------------------------------------------------------
 
 def read_words(docs: DataFrame) -> DataFrame:
-    """doc_id, same (digest of the words), n_words, words (32 bits each), keys."""
+    """doc_id, same (digest of the words), n_words, words (32 bits each), held (``held_bits``), keys."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Memory()
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            same, n, packed, keys = [], [], [], []
+            same, n, packed, held, keys = [], [], [], [], []
             for text, words in zip(texts, word_codes(texts, known), strict=True):
                 same.append(xxhash.xxh128_digest(words.tobytes() if len(words) else b"\0" + text.encode()))
                 n.append(len(words))
                 packed.append(words.astype("<u4").tobytes())
+                held.append(held_bits(words))
                 keys.append(sketches(words).view(np.int64) if len(words) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(same, pa.binary()), pa.array(n, pa.int32()),
-                 pa.array(packed, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "same", "n_words", "words", "keys"])
+                 pa.array(packed, pa.binary()), pa.array(held, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "same", "n_words", "words", "held", "keys"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(
-        read, "doc_id long, same binary, n_words int, words binary, keys array<long>")
+        read, "doc_id long, same binary, n_words int, words binary, held array<long>, keys array<long>")
 
 
 def verified(pairs: DataFrame, read: DataFrame) -> DataFrame:
@@ -197,17 +210,31 @@ def central(members: DataFrame) -> DataFrame:
     return members.select("key", "id", "n_words").join(centres.select("key", (-F.col("c.least")).alias("centre")), "key")
 
 
-def across(known: DataFrame, parted: DataFrame, partners: int | None) -> DataFrame:
+def may_align(n_a: Column, n_b: Column, held_a: Column, held_b: Column) -> Column:
+    """Whether ``LEAST`` of the longer text may align.
+
+    Every bit that only one of the texts holds is a word of it that has no partner, and each
+    partner leaves one word fewer on both sides.  So no pair that aligns is refused; where bits are null, none is.
+    """
+    alone = reduce(add, [F.bit_count(F.get(held_a, k).bitwiseXOR(F.get(held_b, k))) for k in range(BITS // 64)])
+    longest = F.greatest(n_a, n_b)
+    return (F.least(n_a, n_b) >= LEAST * longest) & F.coalesce(n_a + n_b - alone >= 2 * LEAST * longest, F.lit(True))
+
+
+def across(known: DataFrame, parted: DataFrame, read: DataFrame, partners: int | None) -> DataFrame:
     """a, b: members (key, id, n_words, label) of parted buckets (key, size) with others of a lower label, about
-    ``partners`` of them, chosen by a hash, or all; only pairs whose lengths let them be near."""
-    open_ = stored(known.join(parted.select("key", "size"), "key"), "open")
+    ``partners`` of them, chosen by a hash, or all; only pairs that may align."""
+    # Other texts under one id have no bits in common; such ids are not judged by them.
+    held = read.groupBy(F.col("doc_id").alias("id")).agg(
+        F.when(F.min("same") == F.max("same"), F.first("held")).alias("held"))
+    open_ = stored(known.join(parted.select("key", "size"), "key").join(held, "id"), "open")
     lower = open_ if partners is None else open_.where(
         F.pmod(F.xxhash64("id", "key"), F.col("size")) < partners)
-    a = open_.select("key", F.col("id").alias("a"), F.col("n_words").alias("n_a"), F.col("label").alias("label_a"))
-    b = lower.select("key", F.col("id").alias("b"), F.col("n_words").alias("n_b"), F.col("label").alias("label_b"))
-    return a.join(b, "key").where(
-        f"label_a > label_b and least(n_a, n_b) >= {LEAST} * greatest(n_a, n_b)").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).dropDuplicates()
+    a, b = (side.select("key", F.col("id").alias(e), F.col("n_words").alias(f"n_{e}"), F.col("label").alias(f"label_{e}"),
+                        F.col("held").alias(f"held_{e}")) for side, e in ((open_, "a"), (lower, "b")))
+    near = may_align(*[F.col(c) for c in ("n_a", "n_b", "held_a", "held_b")])
+    met = a.join(b, (a["key"] == b["key"]) & (F.col("label_a") > F.col("label_b")) & near)
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).dropDuplicates()
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -244,7 +271,7 @@ def classes(docs: DataFrame) -> DataFrame:
         known = members.join(labels, "id", "left").select("key", "id", "n_words", F.coalesce("label", "id").alias("label"))
         parted = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"),
                                           F.count(F.lit(1)).alias("size")).where("low < high")
-        pairs = across(known, parted, partners).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = across(known, parted, read, partners).join(tested.select("a", "b"), ["a", "b"], "left_anti")
         more = stored(verified(pairs, read), "tested")
         tested = tested.unionByName(more)
         labels = relabelled(labels, more.where(F.col("share") >= LEAST))
