@@ -81,7 +81,7 @@ def aliased(intervals: DataFrame, alias: str, key: str = "analysis_id") -> DataF
 def chain(intervals: Sequence[DataFrame], operators: Sequence[Temporal],
           conditions: Sequence[Condition | Duration] = (), *,
           bounds: tuple[str, str] = ("sf", "ef"), strategy: str = "auto",
-          salt: int = 1) -> DataFrame:
+          salt: int = 1, slice_rows: int | None = None) -> DataFrame:
     """M1 op M2 op M3 ... as left-deep joins, with bag semantics.
 
     Interval i appears as columns ``M{i}_*``.  Each condition is applied at the
@@ -117,7 +117,7 @@ def chain(intervals: Sequence[DataFrame], operators: Sequence[Temporal],
             else:
                 residual = c.column() if residual is None else residual & c.column()
         out = temporal_join(
-            out, right, spec, on=keys, where=residual, strategy=strategy, salt=salt,
+            out, right, spec, on=keys, where=residual, strategy=strategy, salt=salt, slice_rows=slice_rows,
             left_bounds=(f"{previous}_{start}", f"{previous}_{end}"),
             right_bounds=(f"{new}_{start}", f"{new}_{end}"),
         ).drop("__right_id")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from spanloom.operators.range_join import (
     banded_join, containment_join, join_rows, salted_join,
 )
+from spanloom.operators.sliced import before_in_tiles
 from spanloom.vocab import STRICTNESS
 
 OPERATORS = ("Bef", "Aft", "SP", "EF", "DJ", "RDJ", "LOJ", "ROJ")
@@ -72,6 +73,12 @@ class Temporal:
     def reversed(self) -> bool:
         return self.op in _REVERSED
 
+    @property
+    def sliceable(self) -> bool:
+        """Whether every match ends before it starts, but for a tolerance that is one number."""
+        fixed = not isinstance(self.zeta, Column) and not isinstance(self.rho, Column)
+        return fixed and self.op in ("Bef", "Aft") and self.zeta in _BOUNDED_BELOW
+
     def forward(self) -> Temporal:
         return replace(self, op=_REVERSED.get(self.op, self.op))
 
@@ -177,7 +184,7 @@ def temporal_join(left: DataFrame, right: DataFrame, spec: Temporal, *,
                   on: Sequence[tuple[str, str]],
                   left_bounds: tuple[str, str], right_bounds: tuple[str, str],
                   where: Column | None = None, how: str = "inner",
-                  strategy: str = "auto", salt: int = 1) -> DataFrame:
+                  strategy: str = "auto", salt: int = 1, slice_rows: int | None = None) -> DataFrame:
     """Join two interval tables whose column names do not clash.
 
     ``on`` holds the equality pairs, the recording among them.  ``strategy``:
@@ -189,7 +196,8 @@ def temporal_join(left: DataFrame, right: DataFrame, spec: Temporal, *,
 
     A pair's bound is open only for an unbounded Bef/Aft or a reversed
     strictness.  Those join on the equality pairs: AQE splits a hot key, and
-    ``salt`` > 1 spreads every key over that many tasks beforehand.
+    ``salt`` > 1 spreads every key over that many tasks beforehand, and ``slice_rows``
+    cuts an inner unbounded Bef/Aft into tiles of at most so many rows a side.
     """
     if strategy not in ("auto", "recording"):
         raise ValueError(f"unknown strategy {strategy!r}")
@@ -234,6 +242,11 @@ def temporal_join(left: DataFrame, right: DataFrame, spec: Temporal, *,
                                low - spec.rho, high + spec.rho, match)
         return out.select(*left.columns, *right.columns)
 
+    if slice_rows and how == "inner" and spec.sliceable:
+        if spec.reversed:
+            out = before_in_tiles(right, left, [(r, l) for l, r in on], right_bounds[1], left_bounds[0], spec.rho, match, slice_rows)
+            return out.select(*left.columns, *right.columns)
+        return before_in_tiles(left, right, on, left_bounds[1], right_bounds[0], spec.rho, match, slice_rows)
     if salt > 1 and how == "inner":
         return salted_join(left, right, on, match, salt)
     return join_rows(left, right, on, match, how)

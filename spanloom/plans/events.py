@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from spanloom.operators.chain import Condition, Duration, chain
 from spanloom.operators.select import Selection, any_of, pick, select_intervals
+from spanloom.operators.sliced import SLICE_ROWS
 from spanloom.operators.temporal import Temporal, either_join
 from spanloom.vocab import EVENTS, MODALITIES, STRICTNESS
 
@@ -55,8 +56,8 @@ class Thresholds:
     pairs: Mapping[tuple[str, str], Pair] = field(default_factory=lambda: dict(PAIRS))
     suspicious_seconds: float = 3
     min_confidence: float = 0.0
-    # Tasks per (recording, object) in the unbounded handoff join of a single ``detect``.
-    handoff_salt: int = 1
+    # Rows a side of one group in the unbounded handoff join of a single ``detect``, however hot an object is.
+    handoff_rows: int = SLICE_ROWS
 
     def units(self, seconds: float | None) -> int | float | None:
         if seconds is None:
@@ -102,9 +103,9 @@ class _Scene:
         return select_intervals(selection, self.visual, self.audio,
                                 min_confidence=self.t.min_confidence)
 
-    def chain(self, selections, operators=(), conditions=(), salt: int = 1) -> DataFrame:
+    def chain(self, selections, operators=(), conditions=(), slice_rows: int | None = None) -> DataFrame:
         return chain([self.rows(s) for s in selections], operators, conditions,
-                     bounds=self.t.bounds, strategy=self.strategy, salt=salt)
+                     bounds=self.t.bounds, strategy=self.strategy, slice_rows=slice_rows)
 
     def pair(self, op: str, event: str, modality: str) -> Temporal:
         p = self.t.pairs[event, modality]
@@ -142,7 +143,7 @@ def _handoff_visual(s: _Scene) -> DataFrame:
     carry = pick("carrying", arg1="person", arg2="object")
     rows = s.chain([carry, carry], [s.pair("Bef", "handoff", "visual")],
                    [Condition("M1.arg1", "!=", "M2.arg1"), Condition("M1.arg2", "=", "M2.arg2")],
-                   salt=s.t.handoff_salt)
+                   slice_rows=s.t.handoff_rows)
     return s.out(rows, ["M1_arg1", "M2_arg1", "M1_arg2"], "M2")
 
 

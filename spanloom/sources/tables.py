@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from spanloom.functions.text import canonical_class
 from spanloom.schema import TABLES
 
+# Buckets that ids are numbered in; their sizes pass through one task.
+ID_BUCKETS = 1 << 16
+
 
 def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet") -> DataFrame:
     """A stored table under its declared schema; nothing is inferred."""
@@ -52,15 +55,27 @@ def scan(df: DataFrame, analysis_ids: Sequence, buckets: int = 64) -> DataFrame:
     return rows
 
 
-def interval_id(*columns: Column) -> Column:
-    """The same interval gets the same id on every run, without a counter."""
-    return F.xxhash64(*columns)
-
+def with_dense_id(rows: DataFrame, columns: Sequence[str], out: str, first: int = 0, buckets: int = ID_BUCKETS) -> DataFrame:
+    """``out``: numbers without gaps from ``first`` on, one for each value of ``columns``.
 
-def intervals_with_participants(intervals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(intervals, participants) with generated ids from intervals that hold id arrays."""
-    keyed = intervals.withColumn("relation_id", interval_id(
-        F.col("analysis_id"), F.col("relation_type"), F.col("participants"), F.col("start_frame")))
+    Values are dealt by a hash over buckets and ranked inside them; a bucket's numbers begin
+    where those of the buckets before it end, so two values never get one number, however
+    many rows there are.  The same rows get the same numbers on every run.  Each bucket is
+    sorted in one task, and so are the buckets' sizes.
+    """
+    bucket = F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
+    ranked = rows.withColumn("__bucket", bucket).withColumn(
+        "__rank", F.dense_rank().over(Window.partitionBy("__bucket").orderBy(*columns)).cast("long"))
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranked.groupBy(F.col("__bucket").alias("__b")).agg(F.max("__rank").alias("__n")).select(
+        "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    numbered = ranked.join(offsets, F.col("__bucket") == F.col("__b"))
+    return numbered.select(*rows.columns, (F.col("__offset") + F.col("__rank") + (first - 1)).alias(out))
+
+
+def intervals_with_participants(intervals: DataFrame, first: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(intervals, participants) with ids numbered from ``first`` on, from intervals that hold id arrays."""
+    keyed = with_dense_id(intervals, ["analysis_id", "relation_type", "participants", "start_frame"], "relation_id", first)
     children = keyed.select("relation_id", "analysis_id",
                             F.explode(F.array_distinct("participants")).alias("class_id"))
     return keyed.drop("participants"), children

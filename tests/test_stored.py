@@ -65,3 +65,28 @@ def test_ids_take_the_tables_type(spark, tmp_path):
     stored.upsert(spark, path, new, ["analysis_id", "k"], "version", buckets=4)
     rows = {r.analysis_id: r.value for r in stored.stored(spark, path).collect()}
     assert rows == {i: "new" if i == 3 else "old" for i in range(9)}
+
+
+def test_dense_ids_have_no_gap_and_no_collision(spark):
+    rows = [(f"r{i % 7}", i % 50, i % 3) for i in range(1_000)] + [(None, 1, None), (None, 1, None)]
+    table = spark.createDataFrame(rows, "analysis_id string, frame int, extra int")
+    for buckets in (1, 4, 1 << 16):
+        out = tables.with_dense_id(table, ["analysis_id", "frame"], "n", first=10, buckets=buckets).collect()
+        assert len(out) == len(rows)
+        ids = {}
+        for r in out:
+            ids.setdefault((r.analysis_id, r.frame), set()).add(r.n)
+        assert all(len(found) == 1 for found in ids.values())
+        assert sorted(n for found in ids.values() for n in found) == list(range(10, 10 + len(ids)))
+    again = tables.with_dense_id(table.repartition(5), ["analysis_id", "frame"], "n", first=10).collect()
+    assert {tuple(r) for r in again} == {tuple(r) for r in out}
+
+
+def test_participants_follow_their_intervals(spark):
+    rows = [("a", "carrying", [1, 2, 2], 5, 9), ("a", "carrying", [1, 2, 2], 6, 9), ("b", "near", [], 0, 1), ("b", "near", None, 0, 1)]
+    made = spark.createDataFrame(rows, "analysis_id string, relation_type string, participants array<int>, start_frame int, end_frame int")
+    parents, children = tables.intervals_with_participants(made, first=100)
+    starts = {r.relation_id: (r.analysis_id, r.start_frame) for r in parents.collect()}
+    assert sorted(starts) == [100, 101, 102, 103]
+    assert sorted((starts[r.relation_id], r.class_id) for r in children.collect()) == [
+        (("a", 5), 1), (("a", 5), 2), (("a", 6), 1), (("a", 6), 2)]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from spanloom.operators.chain import Condition, Duration, chain, class_labels
 from spanloom.operators.range_join import overlap_join
 from spanloom.operators.select import any_of, pick
+from spanloom.operators.sliced import before_in_tiles, sliced
 from spanloom.operators.temporal import (
     OPERATORS, Temporal, before_exists, classify_pair, first_after, temporal_join,
 )
@@ -102,6 +103,30 @@ def test_salted_open_join(spark, mixed):
         assert matched(l, r, spec, salt=5) == expected(left, right, spec)
 
 
+def test_open_join_in_tiles(spark, mixed):
+    left, right = mixed
+    l, r = tables(spark, left, right)
+    for spec in (Temporal("Bef"), Temporal("Bef", zeta="<", rho=3), Temporal("Aft", zeta="<", rho=1), Temporal("Aft")):
+        for rows in (1, 7, 1 << 14):
+            assert matched(l, r, spec, slice_rows=rows) == expected(left, right, spec), (spec, rows)
+    # What cannot be sliced keeps its own way.
+    for spec in (Temporal("Bef", zeta=">"), Temporal("SP", delta=5), Temporal("Bef", delta=20)):
+        assert matched(l, r, spec, slice_rows=7) == expected(left, right, spec)
+    nothing = tables(spark, [], [])[0]
+    assert matched(nothing, r, Temporal("Bef"), slice_rows=7) == []
+    with pytest.raises(ValueError):
+        before_in_tiles(l, r, ON, "r_e", "s_s", 0, F.lit(True), 0)
+
+
+def test_slices_of_a_hot_key_are_bounded(spark):
+    """2,000 rows of one key, half of them at one place: no slice holds more than its share, and later ones lie later."""
+    hot = spark.range(2_000).select(F.lit(1).alias("k"), F.when(F.col("id") % 2 == 0, 500_000).otherwise(F.col("id") * 997).alias("at"), "id")
+    held = sliced(hot, ["k"], "at", 90, "slice").groupBy("slice").agg(
+        F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high")).orderBy("slice").collect()
+    assert [h.slice for h in held] == list(range(23)) and [h.n for h in held] == [90] * 22 + [20]
+    assert all(a.high <= b.low for a, b in zip(held, held[1:]))
+
+
 def test_first_after(spark, mixed):
     left, right = mixed
     l, r = tables(spark, left, right)
