@@ -3,7 +3,9 @@
 Regular expressions propose spans; what they propose must pass its check (Luhn for cards,
 mod 97 for account numbers, part and digit counts for the rest), and words nearby raise
 or lower its score.  Places come from the texts between matches: the pieces of a split
-and the matches alternate, so a running sum of their lengths gives every start.
+and the matches alternate, so a running sum of their lengths gives every start.  Sums
+and words nearby are taken in blocks, so the time of a text grows with its length and its
+matches, not with their square.
 
 Patterns are anchored to the beginning of a run of their characters (or the end of the
 last match) and take runs whole, so long runs without a match cost no more than reading
@@ -15,6 +17,8 @@ on its own; an empty table gives no rows; columns besides doc_id and text are no
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanloom.llm.common import text_or_empty
@@ -39,6 +43,7 @@ KINDS = [
 ]
 BASE = 4  # the first kinds, which every match that passes its check belongs to
 NEAR = 40  # characters on either side that count as nearby
+MATCHES, CHARS = 512, 1_024  # matches summed together, characters of a block that words nearby are read from
 # Score by kind of a match that passed its check, what a word nearby adds, and the score from which a span counts.
 SCORES, CONTEXT, LEAST = (0.9, 0.6, 0.8, 0.7, 0.9, 0.3), 0.1, 0.35
 
@@ -79,35 +84,59 @@ def proposed(text: Column, place: int) -> Column:
     return F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once for the row, however often an inner function asks for it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def placed(text: Column, matches: Column, place: int) -> Column:
     """The matches as spans: start, kind's place, end, found."""
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,found:string>>")
 
     def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["before"])
+        start = state["at"] + pair["before"]
         end = start + F.length(pair["found"])
         return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(
             start.alias("start"), F.lit(place).alias("kind"), end.alias("end"), pair["found"].alias("found")))).alias("spans"))
 
+    def begins(blocks: Column) -> Column:
+        """Where each block of matches begins to count."""
+        sums = F.transform(blocks, lambda block: F.aggregate(
+            block, F.lit(0), lambda total, p: total + p["before"] + F.length(p["found"])))
+        return F.aggregate(sums, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begun")),
+                           lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["begun"], F.array(s["at"])).alias("begun")),
+                           lambda s: s["begun"])
+
+    def spans(blocks: Column) -> Column:
+        return F.flatten(F.zip_with(blocks, begins(blocks), lambda block, at: F.aggregate(
+            block, F.struct(at.alias("at"), empty.alias("spans")), step, lambda s: s["spans"])))
+
     # The last piece of the split lies behind the last match, so it pairs with null and is cut off.
     pairs = F.filter(F.zip_with(F.split(text, KINDS[place][1], -1), matches,
-                                lambda b, m: F.struct(b.alias("before"), m.alias("found"))),
+                                lambda b, m: F.struct(F.length(b).alias("before"), m.alias("found"))),
                      lambda p: p["found"].isNotNull())
-    return F.when(F.size(matches) > 0, F.aggregate(
-        pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda s: s["spans"])).otherwise(empty)
+    blocks = let(pairs, lambda ps: F.transform(F.sequence(F.lit(0), F.size(ps) - 1, F.lit(MATCHES)),
+                                               lambda i: F.slice(ps, i + 1, MATCHES)))
+    return F.when(F.size(matches) > 0, let(blocks, spans)).otherwise(empty)
 
 
 def confirmed(text: Column, spans: Column, place: int) -> Column:
     """The spans that pass their check, with a score in place of what was found."""
     kind, _, _, words = KINDS[place]
-
-    def scored(s: Column) -> Column:
-        begin = F.greatest(s["start"] - NEAR, F.lit(0))
-        around = F.lower(F.substring(text, begin + 1, s["end"] + NEAR - begin))
+    blocks = F.when(F.length(text) <= CHARS, F.array(text)).otherwise(
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHARS}}}"), F.lit(0)))
+
+    def scored(s: Column, blocks: Column) -> Column:
+        begin, end = F.greatest(s["start"] - NEAR, F.lit(0)), s["end"] + NEAR
+        first = F.floor(begin / CHARS).cast("int")
+        held = F.array_join(F.slice(blocks, first + 1, F.floor(end / CHARS).cast("int") - first + 1), "")
+        around = F.lower(F.substring(held, begin - first * CHARS + 1, end - begin))
         return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"),
                         (F.lit(SCORES[place]) + F.when(around.rlike(words), CONTEXT).otherwise(0.0)).alias("score"))
 
-    kept = F.transform(F.filter(spans, lambda s: passes(kind, s["found"])), scored)
+    passed = let(blocks, lambda bs: F.transform(F.filter(spans, lambda s: passes(kind, s["found"])), lambda s: scored(s, bs)))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,score:double>>")
+    kept = F.when(F.size(spans) > 0, passed).otherwise(none)
     return kept if place < BASE else F.filter(kept, lambda s: s["score"] >= LEAST)
 
 
