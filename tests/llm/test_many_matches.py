@@ -20,7 +20,7 @@ def test_blocks_of_matches_and_of_characters_meet_exactly(spark):
     m, c = personal_data.MATCHES, personal_data.CHARS
     texts = ["a@b.co " * n for n in (1, m - 1, m, m + 1, 2 * m, 2 * m + 1)]
     # The word nearby lies just inside or just outside the 40 characters, on either side of a block's border.
-    texts += ["ü" * at + "ssn" + "." * gap + "123-45-6789" for at in (c - 60, c - 3, c - 1, c, 2 * c - 20) for gap in (36, 37, 38)]
+    texts += ["ü" * (at - 1) + " ssn" + "." * gap + "123-45-6789" for at in (c - 60, c - 3, c - 1, c, 2 * c - 20) for gap in (36, 37, 38)]
     texts += ["." * at + "123-45-6789" + "." * gap + "ssn" for at in (c - 60, c - 51, c - 11, c) for gap in (36, 37, 38)]
     rows = list(enumerate(texts))
     found = {r.doc_id: r for r in personal_data.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
