@@ -13,11 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: what the cluster names, a new one of our own only without that."""
+    """The folder that all executors see: what the cluster names, a new one of our own only in local mode without that."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        held = spark.sparkContext.getCheckpointDir()
-        named = held or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        named = spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
