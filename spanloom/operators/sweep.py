@@ -64,7 +64,8 @@ def producer_pairs(seen: DataFrame, heard: DataFrame, scenes: DataFrame) -> Data
     ``seen`` and ``heard``: producer, scene, event.  ``scenes``: visual, audio, scene, one
     row for each pair and scene it ran on.  A producer's detections meet the pairs it is in.
     """
-    parts = [found.select(F.col("producer").alias(side), "scene", "event").distinct().join(scenes, [side, "scene"])
+    # By a sort, since a plan takes pairs that an explode has made for as small as the scenes' file.
+    parts = [found.select(F.col("producer").alias(side), "scene", "event").distinct().join(scenes.hint("merge"), [side, "scene"])
              for side, found in (("visual", seen), ("audio", heard))]
     columns = ["visual", "audio", "scene", "event"]
     return parts[0].select(columns).union(parts[1].select(columns)).distinct()
