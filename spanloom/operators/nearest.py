@@ -13,8 +13,8 @@ bound of the cosine distance, so the triangle inequality can rule out whole tile
    met: a query at distance d of a pivot whose tile spans [lo, hi] is at least d - hi and
    lo - d away, and the plane between two pivots gives another bound.
 
-Queries of one first tile travel together, at most ``ASKED`` in a task, and a tile's vectors
-go to those groups of queries that may need them.  How much that saves depends on the data:
+Queries of one first tile, and of the next ones, travel together, about ``ASKED`` in a task, and a
+tile's vectors go to those groups of queries that may need them.  How much that saves depends on the data:
 vectors that repeat few objects need few tiles, vectors without any structure need all,
 since the answer is exact.  A recording of one tile has one step only.
 """
@@ -37,6 +37,8 @@ DISTANCE_DIGITS = 9
 TILE_ROWS, ASKED, BLOCK_ROWS = 4096, 8192, 1024
 # Pivots of a recording, rows of the sample they come from, rows compared with them in one task.
 PIVOTS, SAMPLE, ROUTED = 256, 2048, 16_384
+# Pairs of a query and a tile that one task of the routing looks at.
+LOOKED = 1 << 22
 # Latest tiles of the nearest cell that a query meets first.
 FIRST = 2
 # What rounding may add to a bound.
@@ -201,17 +203,21 @@ class Summary:
         return (least**2 / 2 <= bound[:, None] + SLACK) & (self.first[None, :] < frame[:, None])
 
 
-def _routes(rows: DataFrame, pieces: Column, summaries: DataFrame, later: bool) -> DataFrame:
-    """``rows`` (KEY, q, frame, v, bound) once for every tile to meet: the first ones, or the others that may hold more."""
+def _routes(rows: DataFrame, summaries: DataFrame, later: bool) -> DataFrame:
+    """KEY, q, tile, home of ``rows`` (KEY, q, frame, v, bound): the first tiles to meet, or the others that may hold more.
+
+    However many tiles a recording has, a task looks at about ``LOOKED`` pairs, and no vectors come with them.
+    """
     kind = rows.schema[KEY].dataType.simpleString()
 
     def route(some: pd.DataFrame, beside: pd.DataFrame) -> pd.DataFrame:
         if some.empty or beside.empty:
-            return pd.DataFrame(columns=[KEY, "q", "frame", "v", "tile", "home"])
+            return pd.DataFrame(columns=[KEY, "q", "tile", "home"])
         summary = Summary(beside)
+        block = max(1, min(BLOCK_ROWS, LOOKED // 4 // len(summary.tile)))
         out = []
-        for start in range(0, len(some), BLOCK_ROWS):
-            part = some.iloc[start : start + BLOCK_ROWS]
+        for start in range(0, len(some), block):
+            part = some.iloc[start : start + block]
             far, frame = straight(unit(part["v"]), summary.pivots), part["frame"].to_numpy()
             first = summary.first_tiles(far, frame)
             if later:
@@ -222,19 +228,32 @@ def _routes(rows: DataFrame, pieces: Column, summaries: DataFrame, later: bool)
             else:
                 rows_, cols = np.repeat(np.arange(len(part)), [len(f) for f in first]), np.concatenate(first)
             homes = np.array([summary.tile[f[-1]] if len(f) else -1 for f in first], np.int64)
-            met = part.iloc[rows_]
-            out.append(pd.DataFrame({KEY: met[KEY].to_numpy(), "q": met["q"].to_numpy(), "frame": met["frame"].to_numpy(),
-                                     "v": met["v"].to_numpy(), "tile": summary.tile[cols.astype(np.int64)], "home": homes[rows_]}))
+            out.append(pd.DataFrame({KEY: part[KEY].to_numpy()[rows_], "q": part["q"].to_numpy()[rows_],
+                                     "tile": summary.tile[cols.astype(np.int64)], "home": homes[rows_]}))
         return pd.concat(out)
 
-    return _by_pieces(rows, pieces, summaries, route, f"{KEY} {kind}, q long, frame long, v array<float>, tile long, home long")
+    asked = rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("asked")).join(
+        summaries.select(KEY, F.size("tiles").alias("n_tiles")), KEY)
+    pieces = F.ceil(F.greatest(F.col("asked") / ROUTED, F.col("asked") * F.col("n_tiles") / LOOKED)).cast("long")
+    dealt = rows.join(asked.select(KEY, pieces.alias("pieces")), KEY)
+    return _by_pieces(dealt, F.pmod(F.xxhash64("q"), F.col("pieces")), summaries, route,
+                      f"{KEY} {kind}, q long, tile long, home long")
 
 
 def _grouped(met: DataFrame) -> DataFrame:
-    """With ``part``: queries of one first tile together, at most about ASKED of them."""
+    """With ``part``: queries of one first tile together, with those of the next first tiles while they are fewer than
+    ASKED, so a tile goes to no more groups than that takes."""
     sizes = met.groupBy(KEY, "home").agg(F.count_distinct("q").alias("n"))
-    part = F.concat_ws(":", "home", F.pmod(F.xxhash64("q"), F.ceil(F.col("n") / ASKED)).cast("string"))
-    return met.join(sizes, [KEY, "home"]).withColumn("part", part).drop("n", "home")
+    placed = prefix_sum(sizes, [KEY], "home", "n", "before").withColumn("parts", F.ceil(F.col("n") / ASKED))
+    of = F.when(F.col("parts") > 1, F.concat_ws(":", F.lit("home"), "home", F.pmod(F.xxhash64("q"), F.col("parts")).cast("string")))
+    part = F.coalesce(of, F.floor(F.col("before") / ASKED).cast("string"))
+    return met.join(placed.select(KEY, "home", "before", "parts"), [KEY, "home"]).withColumn("part", part).drop(
+        "home", "before", "parts")
+
+
+def _looking(met: DataFrame, plain: DataFrame) -> DataFrame:
+    """What meets a tile, with the query's frame and vector."""
+    return met.join(plain.select("q", "frame", "v"), "q")
 
 
 def steps(queries: DataFrame, entries: DataFrame, k: int, tile_rows: int = TILE_ROWS) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
@@ -257,15 +276,13 @@ def steps(queries: DataFrame, entries: DataFrame, k: int, tile_rows: int = TILE_
     pivots = _written(_pivots(rows, sizes, tile_rows), "pivots")
     tiled = _written(_tiled(rows, sizes, pivots, tile_rows), "tiles")
     summaries = _written(_summaries(tiled, pivots), "summaries")
-    asked_of = asks.groupBy(KEY).agg(F.count(F.lit(1)).alias("asked"))
-    unbound = plain.join(asked_of, KEY).withColumn("bound", F.lit(float("inf")))
-    pieces = F.pmod(F.xxhash64("q"), F.ceil(F.col("asked") / ROUTED))
-    met = _written(_grouped(_routes(unbound, pieces, summaries, False)), "first")
-    near = _written(_least(_meet(met, tiled, k), k), "near")
+    unbound = plain.withColumn("bound", F.lit(float("inf")))
+    met = _written(_grouped(_routes(unbound, summaries, False)), "first")
+    near = _written(_least(_meet(_looking(met, plain), tiled, k), k), "near")
     bounds = near.groupBy("q").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("bound"))
     bounded = unbound.drop("bound").join(bounds, "q", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    further = _written(_grouped(_routes(bounded, pieces, summaries, True)), "further")
-    found = near.drop("place").unionByName(_meet(further, tiled, k))
+    further = _written(_grouped(_routes(bounded, summaries, True)), "further")
+    found = near.drop("place").unionByName(_meet(_looking(further, plain), tiled, k))
     return found, asks, [met, further]
 
 
