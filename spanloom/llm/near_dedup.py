@@ -223,17 +223,23 @@ def may_align(n_a: Column, n_b: Column, held_a: Column, held_b: Column) -> Colum
 
 def across(known: DataFrame, parted: DataFrame, read: DataFrame, partners: int | None) -> DataFrame:
     """a, b: members (key, id, n_words, label) of parted buckets (key, size) with others of a lower label, about
-    ``partners`` of them, chosen by a hash, or all; only pairs that may align."""
+    ``partners`` of them, chosen by a hash, or all; only pairs that may align.
+
+    Alike texts share many buckets, and each pair is made in one of them only, the least that both are in."""
     # Other texts under one id have no bits in common; such ids are not judged by them.
     held = read.groupBy(F.col("doc_id").alias("id")).agg(
-        F.when(F.min("same") == F.max("same"), F.first("held")).alias("held"))
+        (F.when(F.min("same") == F.max("same"), F.first("held")) if "held" in read.columns
+         else F.lit(None).cast("array<long>")).alias("held"))
     open_ = stored(known.join(parted.select("key", "size"), "key").join(held, "id"), "open")
     lower = open_ if partners is None else open_.where(
         F.pmod(F.xxhash64("id", "key"), F.col("size")) < partners)
-    a, b = (side.select("key", F.col("id").alias(e), F.col("n_words").alias(f"n_{e}"), F.col("label").alias(f"label_{e}"),
-                        F.col("held").alias(f"held_{e}")) for side, e in ((open_, "a"), (lower, "b")))
+    # By id and length, since what is asked of a pair below is the same in all buckets of such a text.
+    a, b = (side.join(side.groupBy("id", "n_words").agg(F.collect_set("key").alias("keys")), ["id", "n_words"]).select(
+        "key", F.col("id").alias(e), F.col("n_words").alias(f"n_{e}"), F.col("label").alias(f"label_{e}"),
+        F.col("held").alias(f"held_{e}"), F.col("keys").alias(f"keys_{e}")) for side, e in ((open_, "a"), (lower, "b")))
     near = may_align(*[F.col(c) for c in ("n_a", "n_b", "held_a", "held_b")])
-    met = a.join(b, (a["key"] == b["key"]) & (F.col("label_a") > F.col("label_b")) & near)
+    once = F.array_min(F.array_intersect("keys_a", "keys_b")) == a["key"]
+    met = a.join(b, (a["key"] == b["key"]) & (F.col("label_a") > F.col("label_b")) & near & once)
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).dropDuplicates()
 
 
