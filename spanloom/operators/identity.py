@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby, islice
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from spanloom.operators.nearest import DISTANCE_DIGITS, TILE_ROWS, nearest_earlier, unit
 from spanloom.operators.prefix import CHUNK, number_rows, prefix_max, prefix_sum
@@ -17,17 +20,40 @@ from spanloom.operators.prefix import CHUNK, number_rows, prefix_max, prefix_sum
 NEW = "new"
 
 
-def match_new(cls: str, blocks: set[int], free: dict[int, tuple[str, set[int]]]) -> int | None:
-    """The free known object a new one is taken for: same class, blocks that meet
-    or are unknown before blocks that differ, in the order of ``free``."""
-    fallback = None
-    for known, (known_class, known_blocks) in free.items():
-        if known_class != cls:
-            continue
-        if not blocks or not known_blocks or blocks & known_blocks:
-            return known
-        fallback = known if fallback is None else fallback
-    return fallback
+ANY, UNKNOWN = "any", "unknown"
+
+
+class Free:
+    """The known objects that no object of the frame has taken yet, found by class and block.
+
+    A new object takes the first one of its class whose blocks meet its own, or where either's
+    are unknown; failing that the first of its class.  Each list is gone through once a frame.
+    """
+
+    def __init__(self, context: list[tuple[int, str, list[int]]]) -> None:
+        self.known = {i: (c, set(b)) for i, c, b in context}
+        self.lists: dict[tuple[str, str | int], deque[tuple[int, int]]] = {}
+        for place, (i, (cls, blocks)) in enumerate(self.known.items()):
+            for kind in (ANY, *(blocks or (UNKNOWN,))):
+                self.lists.setdefault((cls, kind), deque()).append((place, i))
+
+    def first(self, cls: str, kind: str | int) -> tuple[int, int] | None:
+        line = self.lists.get((cls, kind))
+        while line and line[0][1] not in self.known:
+            line.popleft()
+        return line[0] if line else None
+
+    def drop(self, given: int) -> None:
+        self.known.pop(given, None)
+
+    def take(self, cls: str, blocks: list[int]) -> int | None:
+        found = self.first(cls, ANY) if self.known else None
+        if found is None:
+            return None
+        if len(blocks):
+            found = min((h for kind in (UNKNOWN, *blocks) if (h := self.first(cls, kind))), default=found)
+        self.drop(found[1])
+        return found[1]
 
 
 def whole_number(raw: str) -> int | None:
@@ -45,39 +71,76 @@ def resolve_frame(objects: list[tuple[int, str, str, list[int]]],
     ``objects``: ordinal, raw id, class, blocks.  A raw id repeated in the frame
     or not a number drops its object.
     """
-    free = {i: (c, set(b)) for i, c, b in context}
+    free = Free(context)
     taken: set[str] = set()
     out: list[tuple[int, int | None]] = []
     for ordinal, raw, cls, blocks in objects:
-        if raw != NEW:
-            if raw in taken:
-                continue
+        if raw == NEW:
+            out.append((ordinal, free.take(cls, blocks)))
+        elif raw not in taken:
             taken.add(raw)
             given = whole_number(raw)
-            if given is None:
-                continue
-            free.pop(given, None)
-            out.append((ordinal, given))
-            continue
-        found = match_new(cls, set(blocks), free)
-        if found is not None:
-            free.pop(found)
-        out.append((ordinal, found))
+            if given is not None:
+                free.drop(given)
+                out.append((ordinal, given))
     return out
 
 
-_RESOLVED = T.ArrayType(T.StructType([
-    T.StructField("ordinal", T.IntegerType()), T.StructField("class_id", T.IntegerType())]))
+def frames_of(batches: Iterator[pa.RecordBatch], rows_of: Callable[[pa.RecordBatch], list[tuple]]) -> Iterator[tuple]:
+    """(recording, frame, its rows) of rows sorted by these two; one batch and one frame are held."""
+    current, held = None, []
+    for batch in batches:
+        keys = list(zip(batch.column("analysis_id").to_pylist(), batch.column("frame").to_pylist()))
+        rows, begin = rows_of(batch), 0
+        for at, key in enumerate(keys):
+            if key != current:
+                if current is not None:
+                    yield *current, held + rows[begin:at]
+                current, held, begin = key, [], at
+        held += rows[begin:]
+    if current is not None:
+        yield *current, held
+
+
+def lists_of(batch: pa.RecordBatch, names: Sequence[str]) -> list[tuple]:
+    return list(zip(*[batch.column(n).to_pylist() for n in names]))
 
 
-@F.pandas_udf(_RESOLVED)
-def _resolve_frames(objects: pd.Series, context: pd.Series) -> pd.Series:
-    def one(objs, ctx):
-        rows = [(o["ordinal"], o["raw_id"], o["class"], list(o["blocks"])) for o in objs]
-        known = [] if ctx is None else [(c["class_id"], c["class"], list(c["blocks"])) for c in ctx]
-        return [{"ordinal": o, "class_id": i} for o, i in resolve_frame(rows, known)]
+OUT_ROWS = 10_000  # a batch of results
 
-    return pd.Series([one(o, c) for o, c in zip(objects, context)])
+
+def batches_out(rows: Iterator[tuple], shape: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, OUT_ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), shape)], schema=shape)
+
+
+def _resolved(objects: DataFrame, context: DataFrame) -> DataFrame:
+    """analysis_id, frame, r: ordinal, id (null: a fresh one) and the fresh objects before it in the frame."""
+    frame_key = ["analysis_id", "frame"]
+    known = context.select(*frame_key, F.lit(0).alias("kind"), "place", F.lit(None).cast("int").alias("ordinal"), "class_id",
+                           F.lit(None).cast("string").alias("raw_id"), "class", "blocks")
+    place = context.schema["place"].dataType
+    asking = objects.select(*frame_key, F.lit(1).alias("kind"), F.lit(None).cast(place).alias("place"), "ordinal",
+                            F.lit(None).cast("int").alias("class_id"), "raw_id", "class", "blocks")
+    rows = known.unionByName(asking).where("analysis_id IS NOT NULL AND frame IS NOT NULL")
+    names = ["kind", "place", "ordinal", "class_id", "raw_id", "class", "blocks"]
+    key = rows.schema["analysis_id"].dataType
+    shape = to_arrow_schema(T.StructType([T.StructField("analysis_id", key), T.StructField(
+        "frame", rows.schema["frame"].dataType), T.StructField("r", T.ArrayType(T.IntegerType()))]))
+
+    def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for recording, frame, found in frames_of(batches, lambda b: lists_of(b, names)):
+            found = [row for row, _ in groupby(found)]  # copies lie side by side
+            free = [(row[3], row[5], row[6]) for row in found if row[0] == 0]
+            fresh = 0
+            for ordinal, known_id in resolve_frame([(row[2], *row[4:]) for row in found if row[0] == 1], free):
+                yield recording, frame, (ordinal, known_id, fresh)
+                fresh += known_id is None
+
+    return rows.repartition(*frame_key).sortWithinPartitions(*frame_key, *names).mapInArrow(
+        lambda batches: batches_out(matches(batches), shape), T.StructType([
+            T.StructField("analysis_id", key), T.StructField("frame", rows.schema["frame"].dataType),
+            T.StructField("r", T.ArrayType(T.IntegerType()))]))
 
 
 def assign_with_context(objects: DataFrame, context: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -85,36 +148,26 @@ def assign_with_context(objects: DataFrame, context: DataFrame, chunk: int = CHU
 
     ``objects``: analysis_id, frame, ordinal, raw_id, class, blocks.  ``context``:
     analysis_id, frame, class_id, class, blocks, place.  Matching looks at one
-    frame and its capped context, so frames run in parallel.  Fresh ids need a
+    frame and its context, so frames run in parallel; rows come to it sorted, so a task
+    holds one frame, not a batch of them.  Fresh ids need a
     running counter over the recording, next = max(next + fresh, largest + 1),
     which is a prefix sum and a prefix maximum, both chunked.
     """
     frame_key = ["analysis_id", "frame"]
-    rows = objects.where("analysis_id IS NOT NULL AND frame IS NOT NULL").groupBy(*frame_key).agg(F.array_sort(F.collect_set(
-        F.struct("ordinal", "raw_id", "class", "blocks"))).alias("objs"))
-    known = context.groupBy(*frame_key).agg(F.array_sort(F.collect_set(
-        F.struct("place", "class_id", "class", "blocks"))).alias("ctx"))
     # The counters and the numbering all read the matches.  They share the exchange
-    # behind the Python step, so matching runs once; null keys are dropped before it
-    # and the explode below is an outer one, since a filter that only one reader
-    # pushes down would undo the sharing.
-    resolved = rows.join(known, frame_key, "left").select(
-        *frame_key, _resolve_frames("objs", "ctx").alias("r")).repartition(*frame_key)
-    counters = resolved.select(
-        *frame_key, F.size(F.filter("r", lambda x: x["class_id"].isNull())).alias("fresh"),
-        F.array_max(F.transform("r", lambda x: x["class_id"])).alias("largest"))
+    # behind the Python step, so matching runs once: the result is one array, since columns
+    # that only one reader prunes would undo the sharing.
+    resolved = _resolved(objects, context).repartition(*frame_key)
+    known = F.col("r")[1]
+    counters = resolved.groupBy(*frame_key).agg(
+        F.count(F.when(known.isNull(), 1)).alias("fresh"), F.max(known).alias("largest"))
     summed = prefix_sum(counters, ["analysis_id"], "frame", "fresh", "before", chunk)
     floor = summed.withColumn("lift", F.col("largest") + 1 - F.col("before") - F.col("fresh"))
     base = prefix_max(floor, ["analysis_id"], "frame", "lift", "lifted", chunk).select(
         *frame_key, (F.greatest(F.coalesce("lifted", F.lit(1)), F.lit(1)) + F.col("before")).alias("next_id"))
-    numbered = resolved.join(base, frame_key).select(
-        *frame_key, "next_id", "r", F.posexplode_outer("r").alias("pos", "o")).where("pos IS NOT NULL")
-    # Position among the frame's fresh objects.
-    earlier = F.size(F.filter(F.slice("r", 1, F.col("pos") + 1), lambda x: x["class_id"].isNull()))
-    return numbered.select(
-        *frame_key, F.col("o.ordinal").alias("ordinal"),
-        F.coalesce("o.class_id", F.col("next_id") + earlier - 1).cast("int").alias("class_id"),
-        F.col("o.class_id").isNull().alias("fresh"))
+    return resolved.join(base, frame_key).select(
+        *frame_key, F.col("r")[0].alias("ordinal"), F.coalesce(known, F.col("next_id") + F.col("r")[2]).cast("int").alias("class_id"),
+        known.isNull().alias("fresh"))
 
 
 class Tracker:
@@ -127,12 +180,14 @@ class Tracker:
         self.recent = deque(recent)
 
     def context(self, frame: int) -> list[tuple[int, str, list[int]]]:
-        """Objects of the last n sampled frames, once each, as first seen there."""
+        """Objects of the last n sampled frames, once each, as first seen there; ``cap`` of them at most."""
         while self.recent and self.recent[0][0] < frame - self.n * self.rate:
             self.recent.popleft()
         found: dict[int, tuple[int, str, list[int]]] = {}
         for _, seen in self.recent:
             for entry in seen:
+                if len(found) == self.cap:
+                    return list(found.values())
                 found.setdefault(entry[0], entry)
         return list(found.values())
 
@@ -143,17 +198,18 @@ class Tracker:
         """
         context = self.context(frame)[: self.cap]
         by_ordinal = {o[0]: o for o in objects}
-        kept: dict[int, tuple[int, str, list[int]]] = {}
+        kept: dict[int, int] = {}
         out, largest = [], self.next_id - 1
         for ordinal, known in resolve_frame([o[:4] for o in objects], context):
             fresh = known is None
             if fresh:
                 known, self.next_id = self.next_id, self.next_id + 1
             largest = max(largest, known)
-            kept[known] = (known, by_ordinal[ordinal][2], by_ordinal[ordinal][3])
+            kept[known] = ordinal
             out.append((ordinal, known, fresh))
         self.next_id = max(self.next_id, largest + 1)
-        self.recent.append((frame, list(kept.values())))
+        # A context takes at most ``cap`` objects, so of one frame none but its first ``cap``.
+        self.recent.append((frame, [(i, by_ordinal[o][2], by_ordinal[o][3]) for i, o in islice(kept.items(), self.cap)]))
         return out
 
 
@@ -196,6 +252,8 @@ class MemoryTracker(Tracker):
         recent = super().context(frame)
         while self.held and (not self.held[0] or self.held[0][0].frame < frame - self.n * self.rate):
             self.held.popleft()
+        if len(recent) >= self.cap:  # no room for others
+            return recent
         best: dict[int, tuple] = {}
         for entries in self.held:
             for one in entries:
@@ -229,34 +287,25 @@ def distance(a: np.ndarray, b: np.ndarray) -> float:
 TRACKED = "analysis_id {key}, frame long, ordinal int, class_id int, fresh boolean"
 
 
-def _scan(objects: DataFrame, new_tracker: Callable[[], Tracker], object_of: Callable[[tuple], tuple]) -> DataFrame:
+def _scan(objects: DataFrame, new_tracker: Callable[[], Tracker], objects_of: Callable[[pa.RecordBatch], list[tuple]]) -> DataFrame:
     """One ordered scan a recording: rows by frame and ordinal, the tracker's state and one frame at a time."""
-    key = objects.schema["analysis_id"].dataType.simpleString()
-    names = ["analysis_id", "frame", "ordinal", "class_id", "fresh"]
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tracker, current, frame, held = None, None, None, []
-
-        def flush():
-            return [(current, frame, *hit) for hit in tracker.step(frame, [object_of(row) for row in held])]
-
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if tracker is not None and (row.analysis_id, row.frame) != (current, frame):
-                    out += flush()
-                    held = []
-                if tracker is None or row.analysis_id != current:
-                    tracker = new_tracker()
-                current, frame = row.analysis_id, row.frame
-                held.append(row)
-            yield pd.DataFrame(out, columns=names)
-        if held:
-            yield pd.DataFrame(flush(), columns=names)
-
-    rows = objects.where("analysis_id IS NOT NULL AND frame IS NOT NULL").withColumnRenamed("class", "cls")
-    return rows.repartition("analysis_id").sortWithinPartitions("analysis_id", "frame", "ordinal").mapInPandas(
-        scan, TRACKED.format(key=key))
+    shape = TRACKED.format(key=objects.schema["analysis_id"].dataType.simpleString())
+    arrow = to_arrow_schema(T.StructType.fromDDL(shape))
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        tracker, current = None, None
+        for recording, frame, seen in frames_of(batches, objects_of):
+            if tracker is None or recording != current:
+                tracker, current = new_tracker(), recording
+            for hit in tracker.step(frame, seen):
+                yield recording, frame, *hit
+
+    rows = objects.where("analysis_id IS NOT NULL AND frame IS NOT NULL").withColumn("frame", F.col("frame").cast("long"))
+    return rows.repartition("analysis_id").sortWithinPartitions("analysis_id", "frame", "ordinal").mapInArrow(
+        lambda batches: batches_out(ids(batches), arrow), shape)
+
+
+_SEEN = ["ordinal", "raw_id", "class", "blocks"]
 
 
 def track(objects: DataFrame, rate: int, n: int = 3, cap: int = 30) -> DataFrame:
@@ -266,8 +315,8 @@ def track(objects: DataFrame, rate: int, n: int = 3, cap: int = 30) -> DataFrame
     recordings run in parallel.  Spark sorts the rows by recording and frame and
     the scan holds the tracker's bounded state and one frame, never a recording.
     """
-    rows = objects.select("analysis_id", "frame", "ordinal", "raw_id", "class", "blocks")
-    return _scan(rows, lambda: Tracker(n, rate, cap), lambda r: (r.ordinal, r.raw_id, r.cls, list(r.blocks)))
+    rows = objects.select("analysis_id", "frame", *_SEEN)
+    return _scan(rows, lambda: Tracker(n, rate, cap), lambda batch: lists_of(batch, _SEEN))
 
 
 def remembered(objects: DataFrame) -> DataFrame:
@@ -301,14 +350,19 @@ def track_similar(objects: DataFrame, rate: int, n: int = 3, k: int = 5, cap: in
     rows = objects.select("analysis_id", "frame", "ordinal", "raw_id", "class", "blocks", "embedding").join(
         lists, ["analysis_id", "frame", "ordinal"], "left")
 
-    def object_of(row):
-        if row.near is None:
-            return row.ordinal, row.raw_id, row.cls, list(row.blocks), None, []
-        vector = unit(pd.Series([row.embedding]))[0]
-        near = [(e["distance"], e["frame"], e["class_id"], e["class"], list(e["blocks"])) for e in row.near]
-        return row.ordinal, row.raw_id, row.cls, list(row.blocks), vector, near
+    def objects_of(batch: pa.RecordBatch) -> list[tuple]:
+        out = []
+        for *seen, look, near in lists_of(batch, [*_SEEN, "embedding", "near"]):
+            if near is None:
+                out.append((*seen, None, []))
+            else:
+                out.append((*seen, unit(pd.Series([look]))[0], [
+                    (e["distance"], e["frame"], e["class_id"], e["class"], e["blocks"]) for e in near]))
+        return out
 
-    return _scan(rows, lambda: MemoryTracker(n, rate, cap, k), object_of)
+    # Only what has entries to be compared with needs its vector in the scan.
+    rows = rows.withColumn("embedding", F.when(F.col("near").isNotNull(), F.col("embedding")))
+    return _scan(rows, lambda: MemoryTracker(n, rate, cap, k), objects_of)
 
 
 def number_untracked(objects: DataFrame, chunk: int = CHUNK) -> DataFrame:
