@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -16,6 +19,45 @@ from spanloom.operators.identity import TRACKED, MemoryTracker, Remembered, Trac
 from spanloom.operators.nearest import DISTANCE_DIGITS, unit
 
 
+SEEN = ["frame", "ordinal", "raw_id", "cls", "blocks"]
+SLICE = 10_000  # rows that are Python objects at a time, and of a result
+
+
+def frames_in_order(batches: Iterable[pd.DataFrame], shape: pa.Schema) -> Iterator[tuple[int, list[tuple]]]:
+    """(frame, its rows) of a recording's new rows, by frame and ordinal.
+
+    Spark gives a recording's rows in no order, so those of a batch wait as Arrow columns, with one
+    number for a text; as objects there are only those of one slice and one frame.
+    """
+    parts = [pa.Table.from_arrays([pa.array(part[f.name], f.type, from_pandas=True) for f in shape], schema=shape).unify_dictionaries()
+             for part in batches]
+    rows = pa.concat_tables(parts).unify_dictionaries().combine_chunks()
+    del parts
+    order = np.lexsort((rows["ordinal"].to_numpy(), rows["frame"].to_numpy()))
+    current, held = None, []
+    for begin in range(0, len(order), SLICE):
+        piece = rows.take(pa.array(order[begin : begin + SLICE]))
+        for row in zip(*[piece[f.name].to_pylist() for f in shape]):
+            if row[0] != current:
+                if held:
+                    yield current, held
+                current, held = row[0], []
+            held.append(row[1:])
+    if held:
+        yield current, held
+
+
+def _shape(objects: DataFrame, names: list[str]) -> pa.Schema:
+    """The columns as Arrow holds them while they wait."""
+    fields = [pa.field(f.name, f.type) for f in to_arrow_schema(objects.select(*names).schema)]
+    return pa.schema([pa.field(f.name, pa.dictionary(pa.int32(), f.type)) if pa.types.is_string(f.type) else f for f in fields])
+
+
+def _in_parts(recording: object, hits: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    while part := list(islice(hits, SLICE)):
+        yield pd.DataFrame([(recording, *hit) for hit in part], columns=["analysis_id", "frame", "ordinal", "class_id", "fresh"])
+
+
 def stream_track(objects: DataFrame, rate: int, n: int = 3, cap: int = 30) -> DataFrame:
     """Ids per recording, continued from batch to batch.
 
@@ -32,18 +74,13 @@ def stream_track(objects: DataFrame, rate: int, n: int = 3, cap: int = 30) -> Da
             tracker = Tracker(n, rate, cap, next_id, seen)
         else:
             tracker = Tracker(n, rate, cap)
-        # One micro-batch of one recording: a few frames, not its history.
-        rows = pd.concat(list(batches)).sort_values(["frame", "ordinal"])
-        out = []
-        for frame, part in rows.groupby("frame", sort=True):
-            objs = [(o, r, c, [int(b) for b in bs]) for o, r, c, bs in zip(
-                part["ordinal"], part["raw_id"], part["cls"], part["blocks"])]
-            out += [(group[0], frame, *hit) for hit in tracker.step(int(frame), objs)]
+        hits = ((frame, *hit) for frame, seen in frames_in_order(batches, shape) for hit in tracker.step(frame, seen))
+        yield from _in_parts(group[0], hits)
         state.update((tracker.next_id, json.dumps(list(tracker.recent))))
-        yield pd.DataFrame(out, columns=["analysis_id", "frame", "ordinal", "class_id", "fresh"])
 
     rows = objects.select("analysis_id", "frame", "ordinal", "raw_id", F.col("class").alias("cls"),
-                          "blocks")
+                          "blocks").where("analysis_id IS NOT NULL AND frame IS NOT NULL")
+    shape = _shape(rows, SEEN)
     return rows.groupBy("analysis_id").applyInPandasWithState(
         advance, TRACKED.format(key=key), "next_id long, recent string", "append",
         GroupStateTimeout.NoTimeout)
@@ -88,8 +125,8 @@ class StoredMemory(MemoryTracker):
 class Remembering(StatefulProcessor):
     """A recording's counter and last frames as one value, its memory as a list that only grows at its end."""
 
-    def __init__(self, n: int, rate: int, cap: int, k: int) -> None:
-        self.setting = n, rate, cap, k
+    def __init__(self, n: int, rate: int, cap: int, k: int, shape: pa.Schema) -> None:
+        self.setting, self.shape = (n, rate, cap, k), shape
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.value = handle.getValueState("tracker", "next_id long, recent string")
@@ -97,23 +134,21 @@ class Remembering(StatefulProcessor):
             "memory", "frame long, ordinal int, class_id int, kind string, blocks string, asks boolean, vector binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        come = pd.concat(list(rows)).sort_values(["frame", "ordinal"])
         next_id, recent = self.value.get() if self.value.exists() else (1, "[]")
         seen = [(f, [tuple(o) for o in objs]) for f, objs in json.loads(recent)]
         held = [tuple(r) for r in self.memory.get()] if self.memory.exists() else []
         tracker = StoredMemory(*self.setting, next_id, seen, held)
-        out = []
-        for frame, part in come.groupby("frame", sort=True):
-            objects = []
-            for r in part.itertuples(index=False):
-                blocks = [int(b) for b in r.blocks]
-                vector = unit(pd.Series([r.embedding]))[0] if r.embedding is not None and blocks else None
-                objects.append((r.ordinal, r.raw_id, r.cls, blocks, vector, []))
-            out += [(key[0], frame, *hit) for hit in tracker.step(int(frame), objects)]
+
+        def hits() -> Iterator[tuple]:
+            for frame, seen in frames_in_order(rows, self.shape):
+                objects = [(*o, unit(pd.Series([look]))[0] if look is not None and o[3] else None, []) for *o, look in seen]
+                for hit in tracker.step(frame, objects):
+                    yield frame, *hit
+
+        yield from _in_parts(key[0], hits())
         self.value.update((tracker.next_id, json.dumps(list(tracker.recent))))
         if tracker.added():
             self.memory.appendList(tracker.added())
-        yield pd.DataFrame(out, columns=["analysis_id", "frame", "ordinal", "class_id", "fresh"])
 
     def close(self) -> None:
         pass
@@ -129,4 +164,4 @@ def stream_track_similar(objects: DataFrame, rate: int, n: int = 3, k: int = 5,
     rows = objects.select("analysis_id", "frame", "ordinal", "raw_id", F.col("class").alias("cls"), "blocks", "embedding").where(
         "analysis_id IS NOT NULL AND frame IS NOT NULL")
     return rows.groupBy("analysis_id").transformWithStateInPandas(
-        Remembering(n, rate, cap, k), TRACKED.format(key=key), "Append", "None")
+        Remembering(n, rate, cap, k, _shape(rows, [*SEEN, "embedding"])), TRACKED.format(key=key), "Append", "None")
