@@ -29,6 +29,10 @@ def event_time(started: Column, frame: Column, fps: int | Column) -> Column:
     return F.timestamp_micros(F.unix_micros(started.cast("timestamp")) + frame.cast("long") * frame_micros(fps))
 
 
+def bucket_of(frame: Column, width: int) -> Column:
+    return F.floor(frame / F.lit(width)).cast("long")
+
+
 def stream_intervals(observed: DataFrame, sampling_rate: int | Column, keys: Sequence[str], *,
                      started: Column, fps: int | Column, lateness: str) -> DataFrame:
     """Collapse streamed frames; a gap over two sampling steps ends an interval.
@@ -62,12 +66,19 @@ def stream_before(left: DataFrame, right: DataFrame, delta: int, *, left_started
 
     ``left`` holds key, r_sf, r_ef and ``right`` holds key, s_sf, s_ef (other
     columns ride along).  Because s_sf lies in [r_ef - rho, r_ef + delta + rho],
-    the watermarks let Spark drop rows that can no longer match.
+    the watermarks let Spark drop rows that can no longer match.  A time bucket is part of the
+    key, as in the batch join: a left row lies in one, a right row in the one or two it can be met
+    from, so a row reads few others from the state and a long recording spreads over the tasks.
     """
     step = MICROS // fps
     r = left.withColumn("__r", event_time(left_started, F.col("r_ef"), fps)).withWatermark("__r", lateness)
     s = right.withColumn("__s", event_time(right_started, F.col("s_sf"), fps)).withColumnRenamed(
         key, "__key").withWatermark("__s", lateness)
+    # Eight reaches wide, so that few right rows are copied.
+    width = 8 * (delta + 2 * rho + 1)
+    r = r.withColumn("__r_bucket", bucket_of(F.col("r_ef"), width))
+    s = s.withColumn("__s_bucket", F.explode(F.sequence(
+        bucket_of(F.col("s_sf") - delta - rho, width), bucket_of(F.col("s_sf") + rho, width))))
     gap = F.col("s_sf") - F.col("r_ef")
     opening = F.col("r_ef") < F.col("s_sf") + rho if strict else F.col("r_ef") <= F.col("s_sf") + rho
 
@@ -75,6 +86,6 @@ def stream_before(left: DataFrame, right: DataFrame, delta: int, *, left_started
         return F.expr(f"make_dt_interval(0, 0, 0, {frames * step / MICROS:.6f})")
 
     condition = (
-        (F.col(key) == F.col("__key")) & opening & (gap <= delta + rho)
+        (F.col(key) == F.col("__key")) & (F.col("__r_bucket") == F.col("__s_bucket")) & opening & (gap <= delta + rho)
         & (F.col("__s") >= F.col("__r") - span(rho)) & (F.col("__s") <= F.col("__r") + span(delta + rho)))
-    return r.join(s, condition).drop("__r", "__s", "__key")
+    return r.join(s, condition).drop("__r", "__s", "__key", "__r_bucket", "__s_bucket")
