@@ -6,6 +6,7 @@ import math
 import random
 
 from spanloom.operators.islands import merge_close
+from spanloom.operators.prefix import prefix_max
 
 
 def test_chunks_are_placed_once(spark):
@@ -28,3 +29,14 @@ def test_chunks_are_placed_once(spark):
     assert plan.count("Scan ExistingRDD") == 1 and plan.count("ReusedExchange") == 1
     # One exchange of the chunks, in all partitions, and none of the pieces by their null-safe keys.
     assert "hashpartitioning(__place#" in plan and "isnull(id" not in plan
+
+
+def test_running_values_are_placed_once(spark):
+    """Null keys of running values meet their chunk's summary without being placed anew."""
+    rng = random.Random(5)
+    rows = sorted({(rng.choice([1, None]), rng.choice(["a", None]), rng.randrange(400)) for _ in range(300)}, key=str)
+    got = prefix_max(spark.createDataFrame(rows, "id int, kind string, at long"), ["id", "kind"], "at", "at", "before", size=20)
+    want = [(*r, max((o[2] for o in rows if o[:2] == r[:2] and o[2] < r[2]), default=None)) for r in rows]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "hashpartitioning(__place#" in plan and "isnull(id" not in plan
