@@ -103,7 +103,9 @@ def projected(matrix: BlockMatrix, weights: np.ndarray) -> DataFrame:
     blocks = [((k // tall, 0), Matrices.dense(*w.shape, w.ravel(order="F").tolist()))
               for k in range(0, len(weights), tall) for w in [weights[k : k + tall]]]
     right = BlockMatrix(sc.parallelize(blocks, 1), tall, weights.shape[1], *weights.shape)
-    rows = callMLlibFunc("getIndexedRows", matrix.multiply(right).toIndexedRowMatrix()._java_matrix_wrapper._java_model)
+    # Named, since a wrapper that nothing holds any more has its matrix freed in the JVM, perhaps before the call comes.
+    product = matrix.multiply(right).toIndexedRowMatrix()
+    rows = callMLlibFunc("getIndexedRows", product._java_matrix_wrapper._java_model)
     return rows.select("index", vector_to_array("vector").alias("values"))
 
 
