@@ -26,14 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared folder, so that neither lineage nor lost executors matter."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Like ``checkpointed``, as columns in Parquet: for wide rows of which later steps read a part."""
+    """The rows, written once to the shared folder as Parquet, so that neither lineage nor lost executors matter."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

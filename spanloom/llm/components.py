@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from spanloom.llm.common import checkpointed
+from spanloom.llm.common import stored
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    return stored(rows, "components")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,26 +18,29 @@ def components(links: DataFrame) -> DataFrame:
     way each time, what that one took, to the end.  Links between nodes of one label are
     gone then and the others join labels, so their number falls quickly: a star is done in
     one round, and any component at least halves.
+
+    What a step leaves is stored as columns: a checkpoint of rows computes them twice and
+    keeps one file and one later task for every shuffle partition, however few the links.
     """
-    edges = checkpointed(links.where("a <> b").select(
+    edges = kept(links.where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).dropDuplicates())
     found = None
     while found is None or edges.limit(1).count():
         ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = ends.groupBy("a").agg(F.min("b").alias("b")).select(
             F.col("a").alias("label"), F.least("a", "b").alias("lower"))
-        step, changed = checkpointed(step), True
+        step, changed = kept(step), True
         while changed:
             further = step.select(F.col("label").alias("lower"), F.col("lower").alias("least"))
-            jumped = checkpointed(step.join(further, "lower").select("label", F.col("lower").alias("was"),
-                                                                     F.col("least").alias("lower")))
+            jumped = kept(step.join(further, "lower").select("label", F.col("lower").alias("was"),
+                                                             F.col("least").alias("lower")))
             changed = jumped.where("lower <> was").limit(1).count() > 0
             step = jumped.select("label", "lower")
         if found is None:
             found = step.select(F.col("label").alias("id"), F.col("lower").alias("label"))
         else:
-            found = checkpointed(found.join(step, "label", "left").select("id", F.coalesce("lower", "label").alias("label")))
+            found = kept(found.join(step, "label", "left").select("id", F.coalesce("lower", "label").alias("label")))
         low, high = (step.select(F.col("label").alias(e), F.col("lower").alias(f"{e}_")) for e in "ab")
-        edges = checkpointed(edges.join(low, "a").join(high, "b").where("a_ <> b_").select(
+        edges = kept(edges.join(low, "a").join(high, "b").where("a_ <> b_").select(
             F.greatest("a_", "b_").alias("a"), F.least("a_", "b_").alias("b")).dropDuplicates())
     return found
