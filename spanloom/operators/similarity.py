@@ -22,7 +22,8 @@ def recent_objects(objects: DataFrame, sampled: DataFrame, rate: int, n: int) ->
     once = ahead.groupBy("analysis_id", "frame", "class_id").agg(
         F.min(F.struct("origin", *[c for c in objects.columns
                                    if c not in ("analysis_id", "frame", "class_id")])).alias("o"))
-    targets = sampled.select("analysis_id", "frame").distinct()
+    # By sorting: the size of the files says little about how many frames there are.
+    targets = sampled.select("analysis_id", "frame").distinct().hint("merge")
     return once.join(targets, ["analysis_id", "frame"], "left_semi").select(
         "analysis_id", "frame", "class_id", "o.*")
 
@@ -34,7 +35,7 @@ def similar_objects(objects: DataFrame, sampled: DataFrame, rate: int, n: int, k
     Each vector of those frames fetches its k nearest earlier entries, an object
     keeps its best entry over all of them, and the k nearest objects remain.
     """
-    targets = sampled.select("analysis_id", "frame").distinct()
+    targets = sampled.select("analysis_id", "frame").distinct().hint("merge")
     asks = objects.withColumn("seen_frame", F.col("frame")).withColumn(
         "frame", F.explode(F.transform(F.sequence(F.lit(1), F.lit(n)),
                                        lambda i: F.col("frame") + i * rate))
