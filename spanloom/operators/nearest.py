@@ -37,7 +37,7 @@ DISTANCE_DIGITS = 9
 # Entries of a tile, queries that meet it together, rows multiplied at a time.
 TILE_ROWS, ASKED, BLOCK_ROWS = 4096, 8192, 1024
 # A recording's queries make up to PARTS groups of at least ASKED, then larger ones; so do entries in CHUNKS of HELD.
-PARTS, ASKED_MOST, CHUNKS, HELD, HELD_MOST = 64, 32_768, 8, 4096, 32_768
+PARTS, ASKED_MOST, CHUNKS, HELD, HELD_MOST = 24, 65_536, 8, 4096, 65_536
 # Found rows that wait before they are reduced to the k nearest, pairs whose vectors are multiplied one by one.
 WAITING, SINGLE = 1 << 18, 1 << 16
 # Pivots of a recording, rows of the sample they come from, rows compared with them in one task.
